@@ -32,6 +32,8 @@ from .sums import summed
 #: Hashed n-gram slots, and the n-grams used.
 SLOTS, GRAMS = 1 << 13, (2, 3)
 UNKNOWN = "und"
+#: A margin is the mean log-odds of an n-gram times STRENGTH, shrunk as if SHRINK n-grams more said nothing.
+STRENGTH, SHRINK = 8.0, 8.0
 #: A second language whose loss is within this part of a bit's weight makes a document ambiguous.
 AMBIGUOUS = 0.05
 
@@ -156,7 +158,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 margins = np.zeros((n_docs, m.weights.shape[1]))
                 for b in range(margins.shape[1]):
                     margins[:, b] = np.bincount(doc, weights=m.weights[slots, b], minlength=n_docs)
-                margins /= np.sqrt(size)[:, None]
+                margins *= (STRENGTH / (size + SHRINK))[:, None]
                 ascii_letter = np.concatenate([[0], np.cumsum((_FOLD[data] != 32) & (data < 0x80))])
                 lettered = ascii_letter[offs[1:]] > ascii_letter[offs[:-1]]
                 for i in np.flatnonzero(~lettered & (np.diff(offs) > 0)).tolist():

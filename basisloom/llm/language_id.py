@@ -33,7 +33,7 @@ from .sums import summed
 SLOTS, GRAMS = 1 << 13, (2, 3)
 UNKNOWN = "und"
 #: A margin is the mean log-odds of an n-gram times STRENGTH, shrunk as if SHRINK n-grams more said nothing.
-STRENGTH, SHRINK = 8.0, 8.0
+STRENGTH, SHRINK = 2.0, 8.0
 #: A second language whose loss is within this part of a bit's weight makes a document ambiguous.
 AMBIGUOUS = 0.05
 

@@ -6,11 +6,10 @@ token in their prefixes (of n - ceil(t n) + 1 tokens); a candidate must do so
 under every one of several orders before its sets are compared in full.
 
 * Equal sets are one class from the start: only its smallest doc_id is joined.
-* The first order puts frequent ("hot") tokens last, and tokens of a kind by
-  hash; prefixes under it are exchanged by token.  The table of hot tokens is a
-  bounded list of the most frequent; it decides costs only, as any order is
-  right.  The other orders are hash orders, tested where a pair's sets meet.
-* A token's documents are compared with one of them first (a star).  Verified
+* The first order is by exact document frequency, equal ones by hash; a set
+  whose prefix is made of tokens of its own has no candidates and goes no
+  further.  The other orders are hash orders, tested where a pair's sets meet.
+* Tokens of more than HOT_DOCS documents are called hot.  A token's documents are compared with one of them first (a star).  Verified
   links are contracted; only pairs of documents that still share a token and lie
   in different components go on: all of them for cold tokens, whose lists are
   short, and growing runs of pivots for hot ones, until no pair is left.  Two
@@ -41,8 +40,8 @@ from .bytetext import U64, blocks, by_bucket, mix, pack, shingle_sets
 from .components import connected_components
 from .scratch import Scratch, keep_only, parts_for
 
-#: Words per shingle, threshold in hundredths, token orders, documents from which a token is hot, hot tokens listed.
-WORDS, PERCENT, ORDERS, HOT_DOCS, HOT_LIST = 5, 75, 3, 32, 1 << 20
+#: Words per shingle, threshold in hundredths, token orders, documents beyond which a token is hot.
+WORDS, PERCENT, ORDERS, HOT_DOCS = 5, 75, 3, 32
 #: Shingles gathered per task before they are handed on.
 FLUSH = 4 << 20
 
@@ -77,28 +76,34 @@ def set_digests(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
 
 
-def hot_tokens(docs: DataFrame, words: int, scratch: Scratch, hot_docs: int = HOT_DOCS, most: int = HOT_LIST) -> tuple[np.ndarray, int]:
-    """The most frequent tokens (at most ``most``) among those of ``hot_docs`` documents or more, ascending.
+def _codes(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and 32-bit remainder of tokens.
 
-    Tokens are counted over all documents, as 32 bits within a bucket given by
-    others: what falls together is ordered together and nothing else changes.
+    Tokens that fall together are treated as equal here, each as often as it
+    occurs: sets of codes overlap at least as far as the sets themselves.
     """
-    buckets = parts_for(docs, 16)
+    return ((tokens >> U64(32)) % U64(buckets)).astype(np.int64), (tokens & U64(0xFFFFFFFF)).astype(np.uint32)
+
+
+_POSTINGS = "kind int, slot int, tokens binary, docs binary, df binary"
+_POSTING_NAMES = ["kind", "slot", "tokens", "docs", "df"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+
+def _postings(docs: DataFrame, words: int, buckets: int) -> DataFrame:
+    """All tokens by bucket: kind 0, tokens, docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            tokens = np.sort(np.concatenate(held))
-            # more copies than make a token hot say nothing
-            if len(tokens) > hot_docs:
-                tokens = tokens[np.concatenate([np.ones(hot_docs, bool), tokens[hot_docs:] != tokens[:-hot_docs]])]
-            bucket, short = token_code(tokens, buckets)
+            sets, ids, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket, short = _codes(sets, buckets)
             order, there, cuts = by_bucket(bucket, buckets)
-            return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pack(short[order], cuts)], ["bucket", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(there)), pa.int32()), pa.array(there, pa.int32()), pack(short[order], cuts), pack(np.repeat(ids, sizes)[order], cuts), pa.nulls(len(there), pa.binary())], _POSTING_NAMES)
 
-        for _, sets, _ in _sets(batches, words):
-            held.append(sets)
+        for ids, sets, sizes in _sets(batches, words):
+            held.append((sets, ids.astype(np.int64), sizes))
             size += len(sets)
             if size >= FLUSH:
                 yield flush()
@@ -106,86 +111,105 @@ def hot_tokens(docs: DataFrame, words: int, scratch: Scratch, hot_docs: int = HO
         if size:
             yield flush()
 
-    def reduce(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        tokens = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in rows["tokens"]]))
-        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        times = np.diff(np.append(first, len(tokens)))
-        keep = times >= hot_docs
-        return pd.DataFrame({"code": (np.int64(key[0]) << 32) | tokens[first[keep]].astype(np.int64), "times": times[keep]})
+    return docs.mapInArrow(run, _POSTINGS)
 
-    packed = docs.mapInArrow(count, "bucket int, tokens binary")
-    found = scratch.write(packed.groupBy("bucket").applyInPandas(reduce, "code long, times long"), "hot")
-    if found.count() > most:
-        found = found.orderBy(F.desc("times"), "code").limit(most)
-    codes = found.select("code").toArrow().column(0).to_numpy()
-    return np.sort(codes), buckets
 
+def _sizes(digests: DataFrame, parts: int) -> DataFrame:
+    """Set sizes by part of the documents: kind 1, docs, df = n."""
 
-def token_code(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and 32-bit remainder of tokens."""
-    return ((tokens >> U64(32)) % U64(buckets)).astype(np.int64), (tokens & U64(0xFFFFFFFF)).astype(np.uint32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n = (batch.column(i).to_numpy().astype(np.int64) for i in range(2))
+            order, there, cuts = by_bucket(part_of(ids, parts), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(there)), pa.int32()), pa.array(there, pa.int32()), pa.nulls(len(there), pa.binary()), pack(ids[order], cuts), pack(n[order], cuts)], _POSTING_NAMES)
 
+    return digests.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n").mapInArrow(run, _POSTINGS)
 
-def _is_hot(tokens: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    if not len(hot) or not len(tokens):
-        return np.zeros(len(tokens), bool)
-    bucket, short = token_code(tokens, buckets)
-    code = (bucket << 32) | short.astype(np.int64)
-    return hot[np.minimum(np.searchsorted(hot, code), len(hot) - 1)] == code
 
+def part_of(doc: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(doc.view(U64), 13) % U64(parts)).astype(np.int64)
 
-def prefixes(docs: DataFrame, words: int, percent: int, hot: np.ndarray, hot_buckets: int, buckets: int) -> DataFrame:
-    """Prefixes under the first order, packed by token bucket; and rows of hot prefix tokens (bucket -1).
 
-    bucket, tokens (uint32 within a bucket; uint64 if hot), docs, n, h: one value per entry;
-    n is the size of the set and h how many of its tokens are hot.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def _repeated(parts: int):
+    def reduce(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Of one bucket: the tokens of more than one entry with their frequency, back by part of the documents."""
+        tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["tokens"]])
+        ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows["docs"]])
+        order = np.argsort(tokens, kind="stable")
+        tokens = tokens[order]
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        times = np.diff(np.append(first, len(tokens)))
+        times = np.repeat(times, times)
+        keep = times > 1
+        code = (np.int64(key[0]) << 32) | tokens[keep].astype(np.int64)
+        ids, times = ids[order][keep], times[keep].astype(np.int64)
+        order, there, cuts = by_bucket(part_of(ids, parts), parts)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(there), 2), pa.int32()), pa.array(there, pa.int32()), pack(code[order], cuts), pack(ids[order], cuts), pack(times[order], cuts)], _POSTING_NAMES).to_pandas()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], [], [], [], []]
-        size = 0
+    return reduce
 
-        def flush() -> list[pa.RecordBatch]:
-            tokens, ids, n, h, is_hot = (np.concatenate(x) for x in held)
-            bucket, short = token_code(tokens, buckets)
-            cold = ~is_hot
-            order, there, cuts = by_bucket(bucket[cold], buckets)
-            arrays = [pa.array(there, pa.int32()), pack(short[cold][order], cuts), pack(ids[cold][order], cuts)]
-            rows = pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(there), pa.binary()), pa.nulls(len(there), pa.binary())], names)
-            if not is_hot.any():
-                return [rows]
-            whole = np.array([0, int(is_hot.sum())])
-            extra = pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pack(tokens[is_hot], whole), pack(ids[is_hot], whole), pack(n[is_hot], whole), pack(h[is_hot], whole)], names)
-            return [rows, extra]
-
-        names = ["bucket", "tokens", "docs", "n", "h"]
-        for ids, sets, sizes in _sets(batches, words):
-            if not len(sets):
+
+def _prefixes(percent: int, buckets: int, hot_docs: int):
+    def reduce(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Of one part of the documents: prefixes under the order (frequency, hash), tokens of one document only left out.
+
+        bucket, tokens, docs, n, h, packed; bucket -1 has the hot tokens; h: how many of a set's tokens are hot.
+        """
+        sizes = rows[rows["kind"] == 1]
+        ids = np.concatenate([*(np.frombuffer(x, np.int64) for x in sizes["docs"]), np.zeros(0, np.int64)])
+        n = np.concatenate([*(np.frombuffer(x, np.int64) for x in sizes["df"]), np.zeros(0, np.int64)])
+        # of rows that repeat a doc_id the largest set decides how long the prefix is
+        order = np.lexsort((n, ids))
+        ids, n = ids[order], n[order]
+        last = np.concatenate([ids[1:] != ids[:-1], [True]])[: len(ids)]
+        ids, n = ids[last], n[last]
+        got = rows[rows["kind"] == 2]
+        code, doc, df = (np.concatenate([*(np.frombuffer(x, np.int64) for x in got[c]), np.zeros(0, np.int64)]) for c in ("tokens", "docs", "df"))
+        which = np.searchsorted(ids, doc)
+        have = np.bincount(which, minlength=len(ids))
+        hots = np.bincount(which[df > hot_docs], minlength=len(ids))
+        room = prefix_size(n, percent) - (n - have)  # prefix tokens beyond those of one document only
+        some = room[which] > 0
+        code, df, which = code[some], df[some], which[some]
+        order = np.lexsort((mix(code.view(U64), 31), df, which))
+        code, df, which = code[order], df[order], which[order]
+        rank = np.arange(len(which)) - np.searchsorted(which, which)
+        take = rank < room[which]
+        code, df, which = code[take], df[take], which[take]
+        hot = df > hot_docs
+        out = []
+        for part, bucket in ((~hot, (code[~hot] >> 32)), (hot, np.zeros(int(hot.sum()), np.int64))):
+            if not part.any():
                 continue
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            is_hot = _is_hot(sets, shared.value, hot_buckets)
-            hots = np.bincount(doc[is_hot], minlength=len(sizes))
-            order = np.lexsort((mix(sets, 31), is_hot, doc))
-            begin = np.cumsum(sizes) - sizes
-            rank = np.arange(len(sets)) - begin[doc]
-            order = order[rank < prefix_size(sizes, percent)[doc]]
-            d = doc[order]
-            for box, values in zip(held, (sets[order], ids[d].astype(np.int64), sizes[d].astype(np.int64), hots[d].astype(np.int64), is_hot[order]), strict=True):
-                box.append(values)
-            size += len(order)
-            if size >= FLUSH:
-                yield from flush()
-                held, size = [[], [], [], [], []], 0
-        if size:
-            yield from flush()
+            order, there, cuts = by_bucket(bucket, buckets)
+            c, w = code[part][order], which[part][order]
+            slot = there if part is not hot else np.full(len(there), -1)
+            out.append(pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pack(c, cuts), pack(ids[w], cuts), pack(n[w], cuts), pack(hots[w], cuts)], ["bucket", "tokens", "docs", "n", "h"]).to_pandas())
+        return pd.concat(out) if out else pd.DataFrame({"bucket": pd.Series([], dtype="int32"), "tokens": [], "docs": [], "n": [], "h": []})
+
+    return reduce
+
+
+def prefix_entries(docs: DataFrame, digests: DataFrame, words: int, percent: int, scratch: Scratch, hot_docs: int = HOT_DOCS) -> DataFrame:
+    """Prefix entries under the first order: rarest tokens first by exact document counts, equal ones by hash.
 
-    return docs.mapInArrow(run, "bucket int, tokens binary, docs binary, n binary, h binary")
+    Each token travels once to its bucket, where it is counted; only tokens of
+    several documents come back, to the part of the documents they are in.
+    """
+    buckets, parts = parts_for(docs, 10), parts_for(docs, 16)
+    postings = _postings(docs, words, buckets)
+    again = scratch.write(postings.groupBy("slot").applyInPandas(_repeated(parts), _POSTINGS), "repeated")
+    scratch.release()
+    rows = _sizes(digests, parts).unionByName(again)
+    out = scratch.write(rows.groupBy("slot").applyInPandas(_prefixes(percent, buckets, hot_docs), "bucket int, tokens binary, docs binary, n binary, h binary"), "prefixes")
+    scratch.drop(again)
+    scratch.release()
+    return out
 
 
 def _cold_groups(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: star pairs (pivot, other) and the distinct lists of three documents or more."""
-    tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["tokens"]])
+    tokens = np.concatenate([np.frombuffer(x, np.int64) for x in rows["tokens"]])
     ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows["docs"]])
     order = np.lexsort((ids, tokens))
     tokens, ids = tokens[order], ids[order]
@@ -351,10 +375,7 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     firsts = firsts.where("doc_id IS NOT NULL")
 
     join = _Join(firsts, words, percent, orders, scratch)
-    hot, hot_buckets = hot_tokens(firsts, words, scratch)
-    buckets = parts_for(docs, 16)
-    entries = scratch.write(prefixes(firsts, words, percent, hot, hot_buckets, buckets), "prefixes")
-    scratch.release()
+    entries = prefix_entries(firsts, digests, words, percent, scratch)
     groups = scratch.write(entries.where("bucket >= 0").select("bucket", "tokens", "docs").groupBy("bucket").applyInPandas(_cold_groups, "a long, b long, docs binary"), "groups")
     scratch.release()
 

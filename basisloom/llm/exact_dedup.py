@@ -5,9 +5,8 @@ bytes (runs get longer level by level); a group of one row is finished, a group
 whose texts have ended is a class of equal texts, and only the others go on,
 with the bytes not yet compared.  Equality is decided by the bytes themselves.
 The split of a group is a partial aggregation on (group, bytes), so that a hot
-group is combined before it moves; rows learn their new group from the split
-table, which is broadcast when its counted size is small and otherwise joined
-by a shuffle whose skewed side Spark may divide.
+group is combined before it moves; rows learn their new group from the written
+split table by a merge join whose skewed side Spark may divide.
 
 Defined results: null text is the empty text; of rows that repeat a doc_id with
 equal text one stays; a null doc_id is larger than any other; an empty table
@@ -23,8 +22,6 @@ from .scratch import Scratch
 
 #: Bytes compared at the first level, and the factor by which the run grows.
 FIRST_RUN, GROWTH = 48, 8
-#: Size of a split table that may be broadcast.
-BROADCAST_BYTES = 16_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -32,9 +29,9 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _join(rows: DataFrame, split: DataFrame, on: list[str], run: int) -> DataFrame:
-    small = split.count() * (run + 64) <= BROADCAST_BYTES
-    return rows.join(F.broadcast(split) if small else split, on, "left")
+def _join(rows: DataFrame, split: DataFrame, on: list[str]) -> DataFrame:
+    """Always a merge join, at every size: Spark divides its skewed partitions, and nothing is broadcast."""
+    return rows.join(split.hint("merge"), on, "left")
 
 
 def equal_text_classes(docs: DataFrame, scratch: Scratch | None = None, first_run: int = FIRST_RUN, growth: int = GROWTH) -> DataFrame:
@@ -49,7 +46,7 @@ def equal_text_classes(docs: DataFrame, scratch: Scratch | None = None, first_ru
     many = head.groupBy("head").count().where("count > 1").select("head")
     many = scratch.write(many.withColumn("gid", F.monotonically_increasing_id()), "split")
     rows = base.select("doc_id", F.sha2("norm", 256).alias("sha"), F.col("norm").cast("binary").alias("bytes")).withColumn("head", F.substring("bytes", 1, run))
-    rows = _join(rows, many, ["head"], run)
+    rows = _join(rows, many, ["head"])
     level = scratch.write(
         rows.select(
             "doc_id", "sha", "gid", F.monotonically_increasing_id().alias("uid"),
@@ -59,13 +56,14 @@ def equal_text_classes(docs: DataFrame, scratch: Scratch | None = None, first_ru
     )
     done = [level.where("gid IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")]
     active = level.where("gid IS NOT NULL")
+    scratch.release()
     while not active.isEmpty():
         run *= growth
         rows = active.select("doc_id", "sha", "gid", "uid", F.substring("rest", 1, run).alias("head"), (F.length("rest") <= run).alias("ended"), F.expr(f"substring(rest, {run + 1})").alias("tail"))
         first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("uid").alias("uid"))
         split = rows.groupBy("gid", "head", "ended").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"), F.min("uid").alias("next")).where("n > 1")
         split = scratch.write(split, "split")
-        joined = _join(rows, split, ["gid", "head", "ended"], run)
+        joined = _join(rows, split, ["gid", "head", "ended"])
         open_ = F.col("n").isNotNull() & ~F.col("ended")
         level = scratch.write(
             joined.select(
@@ -79,6 +77,8 @@ def equal_text_classes(docs: DataFrame, scratch: Scratch | None = None, first_ru
         )
         done.append(level.where("NOT open").select("doc_id", "keep_id", "group_size", "kept", "sha"))
         active = level.where("open").select("doc_id", "sha", "gid", "uid", "rest")
+        scratch.drop(split)
+        scratch.release()
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

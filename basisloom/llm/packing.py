@@ -147,8 +147,9 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...
     spark = pieces.sparkSession
     scratch = scratch or Scratch(spark, "packing")
     ties = [F.col(c) for c in order] + [F.col(c) for c, kind in pieces.dtypes if c not in order and kind in ("bigint", "int", "string", "double", "binary", "boolean")]
-    buckets = parts_for(pieces, 32)
-    fixed = scratch.write(pieces, "pieces").withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    fixed = scratch.write(pieces, "pieces")
+    buckets = parts_for(fixed, 2)
+    fixed = fixed.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = scratch.write(fixed.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n")), "counts")
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), "_n")

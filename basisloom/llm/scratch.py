@@ -75,8 +75,15 @@ class Scratch:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of the size of ``df`` (file sizes for a scan); runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimiser's estimate of the size of ``df`` (file sizes for a scan), which runs no job; where it has none, a count."""
+    from pyspark.sql import functions as F
+
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 55:
+        return size
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    per_row = sum(texts, F.lit(16 * len(df.columns)))
+    return int(df.agg(F.coalesce(F.sum(per_row.cast("long")), F.lit(0))).first()[0])
 
 
 def parts_for(df: DataFrame, mb: float, least: int = 8, most: int = 200_000) -> int:

@@ -193,6 +193,8 @@ class TokenStore:
         def find(bucket: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             fs, path = _fs(uri)
             ids = rows["key"].to_numpy(np.int64)
+            if fs.get_file_info(f"{path}/index-{int(bucket[0]):06d}.mph").type == pafs.FileType.NotFound:
+                return pd.DataFrame({"shard": [], "key": [], "position": [], "n": []})  # a bucket without keys has no file
             with fs.open_input_file(f"{path}/index-{int(bucket[0]):06d}.mph") as f:
                 there, shard, position, n = Index(f.read()).find(ids)
             return pd.DataFrame({"shard": shard, "key": ids, "position": position, "n": n})[there]
@@ -252,7 +254,7 @@ def write_store(docs: DataFrame, end_id: int = 2, tokenizer: str | None = None,
                 shard = np.searchsorted(cuts, own.to_numpy(zero_copy_only=False), "right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(shard), own, pack(ids, np.concatenate([[0], np.cumsum(counts + 1)]))], ["shard", "doc_id", "ids"])
 
-    buckets = parts_for(docs, 64, least=4)
+    buckets = parts_for(docs, 8, least=32)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc_ids, sizes, first = [], [], None

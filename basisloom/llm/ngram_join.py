@@ -153,7 +153,7 @@ def _prefixes(percent: int, buckets: int, hot_docs: int):
     def reduce(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Of one part of the documents: prefixes under the order (frequency, hash), tokens of one document only left out.
 
-        bucket, tokens, docs, n, h, packed; bucket -1 has the hot tokens; h: how many of a set's tokens are hot.
+        bucket, tokens, docs, n, h, packed; bucket -1 - part has the hot tokens of a part; h: how many of a set's tokens are hot.
         """
         sizes = rows[rows["kind"] == 1]
         ids = np.concatenate([*(np.frombuffer(x, np.int64) for x in sizes["docs"]), np.zeros(0, np.int64)])
@@ -183,20 +183,20 @@ def _prefixes(percent: int, buckets: int, hot_docs: int):
                 continue
             order, there, cuts = by_bucket(bucket, buckets)
             c, w = code[part][order], which[part][order]
-            slot = there if part is not hot else np.full(len(there), -1)
+            slot = there if part is not hot else np.full(len(there), -1 - int(key[0]))
             out.append(pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pack(c, cuts), pack(ids[w], cuts), pack(n[w], cuts), pack(hots[w], cuts)], ["bucket", "tokens", "docs", "n", "h"]).to_pandas())
         return pd.concat(out) if out else pd.DataFrame({"bucket": pd.Series([], dtype="int32"), "tokens": [], "docs": [], "n": [], "h": []})
 
     return reduce
 
 
-def prefix_entries(docs: DataFrame, digests: DataFrame, words: int, percent: int, scratch: Scratch, hot_docs: int = HOT_DOCS) -> DataFrame:
+def prefix_entries(docs: DataFrame, digests: DataFrame, words: int, percent: int, parts: int, scratch: Scratch, hot_docs: int = HOT_DOCS) -> DataFrame:
     """Prefix entries under the first order: rarest tokens first by exact document counts, equal ones by hash.
 
     Each token travels once to its bucket, where it is counted; only tokens of
     several documents come back, to the part of the documents they are in.
     """
-    buckets, parts = parts_for(docs, 10), parts_for(docs, 16)
+    buckets = parts_for(docs, 10)
     postings = _postings(docs, words, buckets)
     again = scratch.write(postings.groupBy("slot").applyInPandas(_repeated(parts), _POSTINGS), "repeated")
     scratch.release()
@@ -255,8 +255,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> Data
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
-    one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
-    two = one.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
+    # the first of a pair is the hub of a star more often: it is met while pairs are narrow, and sets then travel by the second
+    one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
+    two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
     return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -271,7 +272,8 @@ def token_sets(docs: DataFrame, words: int) -> DataFrame:
 class _Join:
     """State of one join: what was compared, what is linked, and the components so far."""
 
-    def __init__(self, docs: DataFrame, words: int, percent: int, orders: int, scratch: Scratch):
+    def __init__(self, docs: DataFrame, words: int, percent: int, orders: int, parts: int, scratch: Scratch):
+        self.parts = parts
         self.docs, self.words, self.percent, self.orders, self.scratch = docs, words, percent, orders, scratch
         self.tested: DataFrame | None = None
         self.links: DataFrame | None = None
@@ -335,6 +337,70 @@ def _cold_rest(join: _Join, lists: DataFrame) -> None:
         _by_pivots(join, long_.select(F.col("list").alias("token"), "doc_id", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("h")))
 
 
+_HOT = "token long, doc_id long, n long, h long"
+
+
+def _entries(first_only: bool):
+    """Packed hot entries as rows; with ``first_only`` each document's first one."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                cols = [np.frombuffer(batch.column(batch.schema.get_field_index(c))[row].as_buffer(), np.int64) for c in ("tokens", "docs", "n", "h")]
+                if first_only:
+                    lead = np.ones(len(cols[1]), bool)
+                    lead[1:] = cols[1][1:] != cols[1][:-1]
+                    cols = [c[lead] for c in cols]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "doc_id", "n", "h"])
+
+    return unpack
+
+
+def _mixed_tokens(join: _Join, hot: DataFrame, lead: DataFrame) -> DataFrame:
+    """Hot tokens whose documents lie in more than one component.
+
+    Components go to the packed entries by part of the documents; what leaves a
+    part is the least and the greatest component of each token, again packed.
+    """
+    parts = F.expr("-1 - bucket").cast("int")
+    buckets = max(8, parts_for(hot, 4))
+    labels = join.scratch.write(join.labelled(lead.select("doc_id").distinct()), "hot_labels")
+    total = join.parts
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(part_of(batch.column(0).to_numpy(), total), pa.int32()), *batch.columns], ["part", "doc_id", "component"])
+
+    def ends(entries: pa.Table, known: pa.Table) -> pa.Table:
+        ids, component = known.column("doc_id").to_numpy(), known.column("component").to_numpy()
+        order = np.argsort(ids)
+        ids, component = ids[order], component[order]
+        tokens, docs = (np.concatenate([*(np.frombuffer(x.as_buffer(), np.int64) for x in entries.column(c)), np.zeros(0, np.int64)]) for c in ("tokens", "docs"))
+        own = component[np.searchsorted(ids, docs)] if len(docs) else docs
+        order = np.lexsort((own, tokens))
+        tokens, own = tokens[order], own[order]
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(tokens)) - 1 if len(first) else first
+        token, lo, hi = tokens[first], own[first], own[last]
+        order, there, cuts = by_bucket((mix(token.view(U64), 17) % U64(buckets)).astype(np.int64), buckets)
+        return pa.table({"bucket": pa.array(there, pa.int32()), "tokens": pack(token[order], cuts), "lo": pack(lo[order], cuts), "hi": pack(hi[order], cuts)})
+
+    def mixed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        tokens, lo, hi = (np.concatenate([np.frombuffer(x, np.int64) for x in rows[c]]) for c in ("tokens", "lo", "hi"))
+        order = np.argsort(tokens, kind="stable")
+        tokens, lo, hi = tokens[order], lo[order], hi[order]
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        apart = np.minimum.reduceat(lo, first) != np.maximum.reduceat(hi, first)
+        return pd.DataFrame({"token": tokens[first][apart]})
+
+    if hot.isEmpty():
+        return lead.select("token").limit(0)
+    left = hot.withColumn("part", parts).groupBy("part")
+    right = labels.select("doc_id", "component").mapInArrow(dealt, "part int, doc_id long, component long").groupBy("part")
+    packed = left.cogroup(right).applyInArrow(ends, "bucket int, tokens binary, lo binary, hi binary")
+    return join.scratch.write(packed.groupBy("bucket").applyInPandas(mixed, "token long"), "mixed_tokens")
+
+
 def _by_pivots(join: _Join, entries: DataFrame) -> None:
     """Rounds of pivots per hot token until no two of its documents lie apart unseen.
 
@@ -374,25 +440,24 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     firsts = keep_only(base, scratch.write(copies.select(F.col("b").alias("doc_id")).distinct(), "dropped"), "doc_id", "left_anti") if _distinct_ids(digests) else base
     firsts = firsts.where("doc_id IS NOT NULL")
 
-    join = _Join(firsts, words, percent, orders, scratch)
-    entries = prefix_entries(firsts, digests, words, percent, scratch)
+    parts = parts_for(base, 16)
+    join = _Join(firsts, words, percent, orders, parts, scratch)
+    entries = prefix_entries(firsts, digests, words, percent, parts, scratch)
     groups = scratch.write(entries.where("bucket >= 0").select("bucket", "tokens", "docs").groupBy("bucket").applyInPandas(_cold_groups, "a long, b long, docs binary"), "groups")
     scratch.release()
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                cols = [np.frombuffer(batch.column(i)[row].as_buffer(), np.int64) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "doc_id", "n", "h"])
-
-    hot_rows = scratch.write(entries.where("bucket < 0").select("tokens", "docs", "n", "h").mapInArrow(unpack, "token long, doc_id long, n long, h long").distinct(), "hot_entries")
+    hot = scratch.write(entries.where("bucket < 0"), "hot")
     scratch.drop(entries)
-    star = hot_rows.groupBy("token").agg(F.max_by("doc_id", F.struct(F.col("h") / F.col("n"), "n", -F.col("doc_id"))).alias("pivot"))
+    lead = scratch.write(hot.mapInArrow(_entries(first_only=True), _HOT).distinct(), "lead")
+    star = lead.groupBy("token").agg(F.max_by("doc_id", F.struct(F.col("h") / F.col("n"), "n", -F.col("doc_id"))).alias("pivot"))
     star = scratch.write(star, "star")
-    hot_star = hot_rows.join(star, "token").where("doc_id != pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+    hot_star = lead.join(star, "token").where("doc_id != pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
     join.test(groups.where("a IS NOT NULL").select("a", "b").unionByName(hot_star))
     _cold_rest(join, groups.where("docs IS NOT NULL").select("docs").distinct())
-    _by_pivots(join, hot_rows)
+    mixed = _mixed_tokens(join, hot, lead)
+    if not mixed.isEmpty():
+        rows = hot.mapInArrow(_entries(first_only=False), _HOT).distinct()
+        _by_pivots(join, keep_only(rows, mixed, "token", "left_semi"))
 
     links = copies if join.links is None else copies.unionByName(join.links)
     labels = connected_components(links, scratch).withColumnRenamed("id", "doc_id")

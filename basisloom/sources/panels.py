@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 from ..functions.windows import clean
 
 #: Contract of the portfolio's static table (fixed values).
-META = T.StructType.fromDDL("instrument_id string, tradable double, pos_limit_long double, pos_limit_short double, max_trade_notional_inc double, max_trade_notional_dec double, qty_step double, min_qty_trade double, maturity_date date")
-HEDGE_META = T.StructType.fromDDL("instrument_id string, qty_step double, min_qty_trade double")
+META = "instrument_id string, tradable double, pos_limit_long double, pos_limit_short double, max_trade_notional_inc double, max_trade_notional_dec double, qty_step double, min_qty_trade double, maturity_date date"
+HEDGE_META = "instrument_id string, qty_step double, min_qty_trade double"
 _DATED = re.compile(r"(?P<base>.+)_(?P<start>\d{8})_(?P<end>\d{8})\.parquet$")
 
 
@@ -145,7 +145,7 @@ def read_run(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], di
 
 def time_grid(spark: SparkSession, start: str, periods: int, step: str) -> DataFrame:
     """``periods`` stamps from ``start`` on."""
-    return spark.range(periods).select(F.col("id").alias("i"), (F.to_timestamp(F.lit(start)) + F.expr(f"make_interval(0, 0, 0, 0, 0, 0, 0) + id * interval {step}")).alias("datetime"))
+    return spark.range(periods).select(F.col("id").alias("i"), (F.to_timestamp(F.lit(start)) + F.expr(f"id * interval {step}")).alias("datetime"))
 
 
 def random_walk_panel(spark: SparkSession, ids: Sequence[str], start: str = "2024-01-01 09:00:00", periods: int = 1000, step: str = "1 minute", seed: int = 7, base: float = 100.0, vol: float = 0.01) -> DataFrame:

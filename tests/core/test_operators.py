@@ -362,3 +362,71 @@ def test_entry_without_the_optional_subpackage(tmp_path):
     assert int(out.stdout.split()[-1]) > 50
 
 
+
+
+def test_generators_and_market_loader(spark, tmp_path):
+    from basisloom.sources import generators
+
+    generators.market_sources(spark, str(tmp_path), ["A", "B", "C"], "B", periods=120)
+    rows = panels.load_market(spark, str(tmp_path), "B")
+    assert rows.count() == 360 and rows.where("ratio = 1.0").count() == 120
+    a, b = (generators.market_panel(spark, ["x", "y"], 50).orderBy("asset", "datetime").collect() for _ in range(2))
+    assert a == b and len(a) == 100 and all(r["close"] > 0 and -1 < r["flow_imbalance"] < 1 for r in a)
+    ou = generators.mean_reverting(spark, ["s"], 400, theta=0.3)
+    fit = structures.ar1(ou, Axis(("datetime",), ("series",)), "value").first()
+    assert 0.5 < fit["b"] < 0.85 and fit["half_life"] < 5
+    assert generators.drifting(spark, ["s"], 100, drift=5.0).agg(F.max("value")).first()[0] > 300
+    plant = generators.planted_signal(spark, ["s"], 800, strength=0.9)
+    axis = Axis(("datetime",), ("asset",))
+    corr = plant.select(axis.lag("signal").alias("s"), axis.pct_change("close", 1, 0).alias("r")).agg(F.corr("s", "r")).first()[0]
+    assert corr > 0.7
+
+
+def test_managers_and_overlay(spark):
+    from basisloom.operators import lifecycle
+
+    z = [0.0, 2.5, 1.0, 0.2, -2.5, -5.0, 0.0, 3.0, None, 2.0]
+    df = spark.createDataFrame([("a", t, x) for t, x in enumerate(z)], "k string, t int, z double")
+    got = lifecycle.managed_positions(df, Axis(("t",), ("k",)), "z").orderBy("t").collect()
+    assert [r["position"] for r in got] == [0, -1, -1, 0, 1, 0, 0, -1, 0, -1]
+    assert [r["why"] for r in got][3] == lifecycle.EXIT and [r["why"] for r in got][5] == lifecycle.STOP and [r["why"] for r in got][8] == lifecycle.MISSING
+    rows = [("a", t, w, e, f) for t, (w, e, f) in enumerate([(1.0, 0.0, False), (1.0, 0.0, True), (1.0, -3.0, True), (1.0, -6.0, True), (1.0, -6.0, True), (1.0, -6.0, True)])]
+    df = spark.createDataFrame(rows, "k string, t int, want double, eq double, ok boolean")
+    out = lifecycle.governed(df, Axis(("t",), ("k",)), "want", "eq", "ok", lifecycle.OverlayRule(5.0, None, 1)).orderBy("t").collect()
+    assert [r["allowed"] for r in out] == [0.0, 1.0, 1.0, 0.0, 0.0, 1.0]
+
+
+def test_strategy_selection_and_rebalance(spark):
+    from basisloom.operators import strategies
+
+    rng = np.random.default_rng(1)
+    days = [dt.datetime(2022, 1, 3) + dt.timedelta(days=d) for d in range(300)]
+    base = rng.normal(0.001, 0.01, 300)
+    series = {"A": base, "A2": 0.9 * base + rng.normal(0, 0.001, 300), "B": rng.normal(0.0005, 0.02, 300), "C": rng.normal(-0.01, 0.01, 300)}
+    df = spark.createDataFrame([(d, s, float(x)) for s, xs in series.items() for d, x in zip(days, xs, strict=True)], "d timestamp, s string, r double")
+    chosen, _ = strategies.select_strategies(df, "d", "s", "r", strategies.Selection(least={"sharpe": -1.0}))
+    keys = {r["key"] for r in chosen.collect()}
+    assert len(keys & {"A", "A2"}) == 1 and "C" not in keys
+    returns, weights = strategies.rolling_rebalance(df.where("s IN ('A', 'B')"), "d", "s", "r")
+    sums = weights.groupBy("period").agg(F.sum("weight").alias("w")).collect()
+    assert sums and all(r["w"] == pytest.approx(1) for r in sums) and returns.count() > 100
+    x = rng.normal(0, 1, (200, 4))
+    shrunk = strategies.ledoit_wolf(x)
+    assert np.linalg.eigvalsh(shrunk).min() > 0 and np.abs(shrunk - np.cov(x.T)).max() < 0.2
+
+
+def test_many_structures(spark):
+    from basisloom.plans import research
+
+    rng = np.random.default_rng(0)
+    rows = []
+    level = {2.0: 3.0, 5.0: 3.4, 10.0: 3.8, 20.0: 4.0}
+    for d in range(120):
+        for k in level:
+            level[k] += float(rng.normal(0, 0.02))
+            rows.append((dt.datetime(2023, 1, 1) + dt.timedelta(days=d), f"b{int(k)}", k, level[k]))
+    panel_ = spark.createDataFrame(rows, "ts timestamp, id string, ttm double, y double")
+    flies = spark.createDataFrame([("2-5-10", 2.0, 5.0, 10.0), ("5-10-20", 5.0, 10.0, 20.0)], "fly string, front double, belly double, back double")
+    got = research.many_structures(panel_, flies, [{"window": 10, "entry": 1.0}, {"window": 20, "entry": 1.5}], "ts", "id", "ttm", "y").orderBy("rank").collect()
+    assert [r["rank"] for r in got] == [1, 2, 3, 4] and all(r["bars"] == 120 for r in got)
+    assert got[0]["sharpe"] >= got[-1]["sharpe"]

@@ -68,6 +68,12 @@ class Scratch:
                     path = jvm.org.apache.hadoop.fs.Path(name)
                     path.getFileSystem(conf).delete(path, True)
 
+    def clear(self) -> None:
+        """Delete the whole folder, once what was wanted of it is written elsewhere."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.release()
+
     def release(self) -> None:
         """Let Spark delete the shuffle files of frames that are no longer referenced."""
         gc.collect()

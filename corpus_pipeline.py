@@ -16,7 +16,7 @@ from basisloom.llm.exact_dedup import equal_text_classes
 from basisloom.llm.language_id import UNKNOWN, predict_languages
 from basisloom.llm.ngram_join import similarity_classes
 from basisloom.llm.packing import best_fit_pack, encode_pieces
-from basisloom.llm.scratch import Scratch
+from basisloom.llm.scratch import BROADCAST_ROWS, Scratch
 
 #: A document whose best language has less probability than this is rejected.
 LEAST_SCORE = 0.5
@@ -24,30 +24,39 @@ LEAST_SCORE = 0.5
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _without(spark: SparkSession, docs: DataFrame, dropped: Callable[[Scratch], DataFrame], name: str) -> DataFrame:
+    """``docs`` without the doc_ids that ``dropped`` names (a null id too).
+
+    The ids are written first and what they were made from is deleted; they are
+    broadcast if they are few, and shuffled otherwise.
+    """
+    work = Scratch(spark, f"{name}-work")
+    ids = Scratch(spark, name).write(dropped(work).select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    work.clear()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: no letters, or no language that is likelier than all others together."""
-    found = predict_languages(docs)
-    rejected = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)).select("doc_id").distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti")
+    rejected = (F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)
+    return _without(spark, docs, lambda work: predict_languages(docs).where(rejected), "language_id")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest doc_id stays."""
-    dropped = equal_text_classes(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
+    return _without(spark, docs, lambda work: equal_text_classes(docs, scratch=work).where("NOT kept"), "exact_dedup")
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one with the smallest doc_id stays."""
-    dropped = similarity_classes(docs).where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return _without(spark, docs, lambda work: similarity_classes(docs, scratch=work).where("component_id != doc_id"), "ngram_join")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages to the contamination rule go."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dropped = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(spark, docs, lambda work: decontaminate(docs, benchmark).where("contaminated"), "decontamination")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,8 +44,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id stays."""
-    return _without(spark, docs, lambda work: equal_text_classes(docs, scratch=work).where("NOT kept"), "exact_dedup")
+    """Of equal texts the one with the smallest doc_id stays; an id of which any row stays is not dropped."""
+
+    def gone(work: Scratch) -> DataFrame:
+        return equal_text_classes(docs, scratch=work).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept")
+
+    return _without(spark, docs, gone, "exact_dedup")
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

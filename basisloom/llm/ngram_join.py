@@ -340,17 +340,18 @@ def _cold_rest(join: _Join, lists: DataFrame) -> None:
 _HOT = "token long, doc_id long, n long, h long"
 
 
-def _entries(first_only: bool):
-    """Packed hot entries as rows; with ``first_only`` each document's first one."""
+def _entries(few: bool):
+    """Packed hot entries as rows; with ``few`` four of each document's, spread over its list."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 cols = [np.frombuffer(batch.column(batch.schema.get_field_index(c))[row].as_buffer(), np.int64) for c in ("tokens", "docs", "n", "h")]
-                if first_only:
-                    lead = np.ones(len(cols[1]), bool)
-                    lead[1:] = cols[1][1:] != cols[1][:-1]
-                    cols = [c[lead] for c in cols]
+                if few and len(cols[1]):
+                    start = np.flatnonzero(np.concatenate([[True], cols[1][1:] != cols[1][:-1]]))
+                    size = np.diff(np.append(start, len(cols[1])))
+                    pick = np.unique(np.concatenate([start + (size - 1) * k // 3 for k in range(4)]))
+                    cols = [c[pick] for c in cols]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "doc_id", "n", "h"])
 
     return unpack
@@ -410,7 +411,7 @@ def _by_pivots(join: _Join, entries: DataFrame) -> None:
     percent = join.percent
     order = Window.partitionBy("token").orderBy(F.desc(F.col("h") / F.col("n")), F.desc("n"), "doc_id")
     left = join.scratch.write(entries.withColumn("place", F.row_number().over(order)), "entries")
-    taken, pivots = 0, 1
+    taken, pivots = 0, 8
     while True:
         rows = join.scratch.write(join.labelled(left.drop("component")), "state")
         mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("place").alias("last")).where(f"lo != hi AND last > {taken}").select("token")
@@ -423,7 +424,7 @@ def _by_pivots(join: _Join, entries: DataFrame) -> None:
         # shares no cold token: overlap is at most the lesser number of hot ones
         met = met.where((100 + percent) * F.least("h", "p_h") >= percent * (F.col("n") + F.col("p_n")))
         join.test(met.select(F.col("doc_id").alias("a"), F.col("p_doc_id").alias("b")))
-        taken, pivots = taken + pivots, pivots * 2
+        taken, pivots = taken + pivots, pivots * 8
 
 
 def similarity_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: int = ORDERS, scratch: Scratch | None = None) -> DataFrame:
@@ -448,7 +449,7 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     hot = scratch.write(entries.where("bucket < 0"), "hot")
     scratch.drop(entries)
-    lead = scratch.write(hot.mapInArrow(_entries(first_only=True), _HOT).distinct(), "lead")
+    lead = scratch.write(hot.mapInArrow(_entries(few=True), _HOT).distinct(), "lead")
     star = lead.groupBy("token").agg(F.max_by("doc_id", F.struct(F.col("h") / F.col("n"), "n", -F.col("doc_id"))).alias("pivot"))
     star = scratch.write(star, "star")
     hot_star = lead.join(star, "token").where("doc_id != pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
@@ -456,7 +457,7 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     _cold_rest(join, groups.where("docs IS NOT NULL").select("docs").distinct())
     mixed = _mixed_tokens(join, hot, lead)
     if not mixed.isEmpty():
-        rows = hot.mapInArrow(_entries(first_only=False), _HOT).distinct()
+        rows = hot.mapInArrow(_entries(few=False), _HOT).distinct()
         _by_pivots(join, keep_only(rows, mixed, "token", "left_semi"))
 
     links = copies if join.links is None else copies.unionByName(join.links)

@@ -28,13 +28,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bytetext import ALNUM, MIX, U64, blocks, gram_hashes, mix, span_hashes, words
 
 WINDOW, GRAM = 13, 5
 #: Benchmark text per block.
 BLOCK_BYTES = 16_000_000
-_HITS = "doc_id long, n_words long, starts array<long>, ends array<long>, items array<long>"
+_HITS = "n_words long, starts array<long>, ends array<long>, items array<long>"
 
 
 def winnow(grams: np.ndarray, edges: np.ndarray, width: int, gram: int) -> np.ndarray:
@@ -131,9 +132,15 @@ def match(data: np.ndarray, offs: np.ndarray, bench: Windows) -> tuple[np.ndarra
     return per_doc, hits
 
 
-def _scan(docs: DataFrame, block: list[tuple[int, str]], every: bool) -> DataFrame:
-    """Hits of one block of items in all documents; rows without hits only if ``every``."""
+def _scan(docs: DataFrame, block: list[tuple[int, str]], every: bool, carry_text: bool = False) -> DataFrame:
+    """Hits of one block of items in all documents (doc_id, text, ...), with their columns but the text; rows without hits only if ``every``.
+
+    With ``carry_text`` the text is returned too.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(block)
+    kept = [k for k, c in enumerate(docs.columns) if carry_text or c != "text"]
+    schema = StructType([*(docs.schema[k] for k in kept), *StructType.fromDDL(_HITS)])
+    names = schema.names
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = Windows(shared.value)
@@ -155,11 +162,11 @@ def _scan(docs: DataFrame, block: list[tuple[int, str]], every: bool) -> DataFra
                     items.append(np.unique(np.concatenate([i for _, _, i in own[d]])).tolist() if d in own else [])
                 take = pa.array(lo + np.array(list(rows), np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), pa.array(per_doc[list(rows)] if len(rows) else [], pa.int64()), pa.array(s, pa.list_(pa.int64())), pa.array(e, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))],
-                    ["doc_id", "n_words", "starts", "ends", "items"],
+                    [*(batch.column(k).take(take) for k in kept), pa.array(per_doc[list(rows)] if len(rows) else [], pa.int64()), pa.array(s, pa.list_(pa.int64())), pa.array(e, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))],
+                    names,
                 )
 
-    return docs.mapInArrow(scan, _HITS)
+    return docs.mapInArrow(scan, schema)
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -172,9 +179,12 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_words, starts and ends of hit word ranges, n_hit, items, contaminated."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_words, starts and ends of hit word ranges, n_hit, items, contaminated.
+
+    The columns ``carry`` of ``docs`` come along, row by row.
+    """
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text"))
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n_blocks = max(1, -(-int(size) // block_bytes))
@@ -184,7 +194,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
         return [(r[0], r[1]) for r in rows.collect()]
 
     if n_blocks == 1:
-        hits = _scan(base, block(0), True)
+        hits = _scan(base, block(0), True, "text" in carry)
     else:
         # a row is known by its id and text; rows equal in both have equal hits
         keyed = base.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
@@ -203,7 +213,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
         with_key = base.withColumn("row", F.xxhash64("doc_id", F.xxhash64("text")))
         joined = with_key.join(merged, "row", "left")
         empty = F.array().cast("array<long>")
-        hits = joined.select("doc_id", _n_words(F.col("text")).alias("n_words"), *(F.coalesce(c, empty).alias(c) for c in ("starts", "ends", "items")))
+        hits = joined.select("doc_id", *carry, _n_words(F.col("text")).alias("n_words"), *(F.coalesce(c, empty).alias(c) for c in ("starts", "ends", "items")))
     n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     out = hits.withColumn("n_hit", n_hit)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -1,7 +1,7 @@
 """A training-data pipeline: each stage reads what the one before it wrote.
 
-Stages but the last return the columns of documents; rows with the same doc_id
-are kept or dropped together where a stage decides by doc_id.
+Stages but the last return the columns of documents.  What depends on the text
+alone (language, contamination) is decided row by row, whatever the doc_id.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from basisloom.llm.decontamination import decontaminate
 from basisloom.llm.exact_dedup import equal_text_classes
-from basisloom.llm.language_id import UNKNOWN, predict_languages
+from basisloom.llm.language_id import UNKNOWN, fit, held_out, identify
 from basisloom.llm.ngram_join import similarity_classes
 from basisloom.llm.packing import best_fit_pack, encode_pieces
 from basisloom.llm.scratch import BROADCAST_ROWS, Scratch
@@ -37,10 +37,20 @@ def _without(spark: SparkSession, docs: DataFrame, dropped: Callable[[Scratch],
     return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all columns but the text in one struct, whose names clash with none that an operator makes."""
+    return docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("document"))
+
+
+def _documents(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*(F.col("text") if c == "text" else F.col("document").getField(c).alias(c) for c in columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: no letters, or no language that is likelier than all others together."""
-    rejected = (F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)
-    return _without(spark, docs, lambda work: predict_languages(docs).where(rejected), "language_id")
+    model = fit(docs.where(~held_out(F.col("doc_id").cast("long"))))
+    rows = identify(_carried(docs).drop("doc_id"), model)
+    return _documents(rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +70,8 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages to the contamination rule go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(spark, docs, lambda work: decontaminate(docs, benchmark).where("contaminated"), "decontamination")
+    rows = decontaminate(_carried(docs), benchmark, carry=("text", "document"))
+    return _documents(rows.where("NOT contaminated"), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,3 +195,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert gone == {"language_id": {102, 103}, "exact_dedup": {100}, "ngram_join": {101}, "decontamination": {104}}
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in left.select("doc_id").collect()}
+
+
+def test_text_stages_decide_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(13)
+    clean = [speech(rnd, "aa", 40) for _ in range(8)]
+    passage = speech(rnd, "bb", 30)
+    rows = [(None, clean[0]), (None, clean[1]), (7, clean[2]), *((i, t) for i, t in enumerate(clean[3:], 20))]
+    junk, dirty = [(None, "12345"), (7, None), (7, "...")], [(None, passage), (7, passage)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, n_words long"
+    table = lambda kind: spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1) for i, t in kind], schema)
+    spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage, bad in ((corpus_pipeline.language_id, junk), (corpus_pipeline.decontamination, dirty)):
+        left = stage(spark, table(rows + bad), str(tmp_path))
+        assert left.columns == table(rows).columns
+        assert sorted(map(tuple, left.collect()), key=str) == sorted(map(tuple, table(rows).collect()), key=str)

@@ -1,7 +1,8 @@
 """A training-data pipeline: each stage reads what the one before it wrote.
 
 Stages but the last return the columns of documents.  What depends on the text
-alone (language, contamination) is decided row by row, whatever the doc_id.
+alone (language, contamination) is decided row by row, whatever the doc_id; the
+dedup stages know rows by a key of their own where doc_ids are null or repeated.
 """
 
 from __future__ import annotations
@@ -24,19 +25,6 @@ LEAST_SCORE = 0.5
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _without(spark: SparkSession, docs: DataFrame, dropped: Callable[[Scratch], DataFrame], name: str) -> DataFrame:
-    """``docs`` without the doc_ids that ``dropped`` names (a null id too).
-
-    The ids are written first and what they were made from is deleted; they are
-    broadcast if they are few, and shuffled otherwise.
-    """
-    work = Scratch(spark, f"{name}-work")
-    ids = Scratch(spark, name).write(dropped(work).select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    work.clear()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
-
-
 def _carried(docs: DataFrame) -> DataFrame:
     """doc_id, text, and all columns but the text in one struct, whose names clash with none that an operator makes."""
     return docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("document"))
@@ -46,6 +34,34 @@ def _documents(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*(F.col("text") if c == "text" else F.col("document").getField(c).alias(c) for c in columns))
 
 
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``_carried(docs)`` with a key of the row, _key, that goes by doc_id, a null one last.
+
+    It is the doc_id itself where no row repeats one and none is null; otherwise
+    a number of the sorted rows, which are written once so that it stays.  Texts
+    and row numbers take part in the sort, so that a hot id is no single task.
+    """
+    doc_id, rows = F.col("doc_id").cast("long"), _carried(docs)
+    if docs.groupBy(doc_id.alias("id")).count().where("count > 1 OR id IS NULL").isEmpty():
+        return rows.withColumn("_key", doc_id)
+    rows = rows.withColumn("_row", F.monotonically_increasing_id()).sort(doc_id.asc_nulls_last(), F.xxhash64("text"), "_row")
+    return Scratch(docs.sparkSession, f"{name}-rows").write(rows.drop("_row").withColumn("_key", F.monotonically_increasing_id()), "keyed")
+
+
+def _without(spark: SparkSession, docs: DataFrame, dropped: Callable[[DataFrame, Scratch], DataFrame], name: str) -> DataFrame:
+    """``docs`` without the rows that ``dropped`` names, which sees keys of rows in place of doc_ids.
+
+    The keys are written first and what they were made from is deleted; they are
+    broadcast if they are few, and shuffled otherwise.
+    """
+    work, keyed = Scratch(spark, f"{name}-work"), _keyed(docs, name)
+    rows = keyed.select(F.col("_key").alias("doc_id"), "text")
+    keys = Scratch(spark, name).write(dropped(rows, work).select(F.col("doc_id").alias("_dropped")), "dropped")
+    work.clear()
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    return _documents(keyed.join(keys, F.col("_key") == F.col("_dropped"), "left_anti"), docs.columns)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: no letters, or no language that is likelier than all others together."""
     model = fit(docs.where(~held_out(F.col("doc_id").cast("long"))))
@@ -54,17 +70,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id stays; an id of which any row stays is not dropped."""
-
-    def gone(work: Scratch) -> DataFrame:
-        return equal_text_classes(docs, scratch=work).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept")
-
-    return _without(spark, docs, gone, "exact_dedup")
+    """Of rows with equal texts one with the smallest doc_id stays (a null one is the largest)."""
+    return _without(spark, docs, lambda rows, work: equal_text_classes(rows, scratch=work).where("NOT kept"), "exact_dedup")
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id stays."""
-    return _without(spark, docs, lambda work: similarity_classes(docs, scratch=work).where("component_id != doc_id"), "ngram_join")
+    """Of each group of rows with similar texts one with the smallest doc_id stays (a null one is the largest)."""
+    return _without(spark, docs, lambda rows, work: similarity_classes(rows, scratch=work).where("component_id != doc_id"), "ngram_join")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -212,3 +212,20 @@ def test_text_stages_decide_by_row(spark, tmp_path):
         left = stage(spark, table(rows + bad), str(tmp_path))
         assert left.columns == table(rows).columns
         assert sorted(map(tuple, left.collect()), key=str) == sorted(map(tuple, table(rows).collect()), key=str)
+
+
+def test_dedup_stages_drop_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(14)
+    one, two, three, four = (speech(rnd, "aa", 60) for _ in range(4))
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, _row string")
+    rows = [(1, one), (5, one), (5, two), (5, two), (None, two), (None, three), (None, three), (None, one), (9, four), (9, four), (2, None), (None, "")]
+    want = {(1, one), (5, two), (None, three), (9, four), (2, None)}
+    near = [(1, one), (5, one + " plus"), (5, two), (None, two + " plus"), (None, three), (None, three + " plus"), (9, four)]
+    for stage, given, left in ((corpus_pipeline.exact_dedup, rows, [want]), (corpus_pipeline.ngram_join, near, [{(1, one), (5, two), (None, t), (9, four)} for t in (three, three + " plus")])):
+        docs = table([(i, t, "en", f"r{k}") for k, (i, t) in enumerate(given)])
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        got = [(r["doc_id"], r["text"]) for r in got.collect()]
+        assert len(got) == len(set(got)) and set(got) in left

@@ -68,9 +68,21 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     )
 
 
-def examples(formatted: DataFrame) -> DataFrame:
-    """Prefix-target expansion: one row per assistant turn with its ranges, without texts."""
-    return formatted.select("conv_id", F.posexplode("replies").alias("example", "r")).select("conv_id", "example", "r.*")
+def examples(formatted: DataFrame, *carried: str, outer: bool = False) -> DataFrame:
+    """Prefix-target expansion: one row per assistant turn with its ranges and the columns ``carried``.
+
+    With ``outer`` a conversation without assistant turns is one row of no example.
+    """
+    explode = F.posexplode_outer if outer else F.posexplode
+    return formatted.select("conv_id", *carried, explode("replies").alias("example", "r")).select("conv_id", "example", "r.*", *carried)
+
+
+def trained_text(formatted: DataFrame, *carried: str) -> DataFrame:
+    """One row per conversation, conv_id, the (per conversation constant) columns ``carried`` and trained: the replies of its examples, in order, as one text."""
+    said = F.col("formatted").substr((F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    rows = examples(formatted, "formatted", *carried, outer=True).select("conv_id", *carried, "example", unescape(said).alias("reply"))
+    parts = F.sort_array(F.collect_list(F.when(F.col("example").isNotNull(), F.struct("example", "reply"))))
+    return rows.groupBy("conv_id", *carried).agg(F.array_join(F.transform(parts, lambda p: p["reply"]), "").alias("trained"))
 
 
 def materialise(formatted: DataFrame) -> DataFrame:
@@ -81,10 +93,10 @@ def materialise(formatted: DataFrame) -> DataFrame:
     return rows.select("conv_id", "example", F.col("r.turn").alias("turn"), context.alias("context"), reply.alias("reply"))
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
+def read_back(formatted: DataFrame, *carried: str) -> DataFrame:
     """Turns parsed out of the formatted texts, and the trained replies cut out by their ranges.
 
-    conv_id, turns array<struct<role, text>>, replies_text array<string>, formatted_chars.
+    conv_id, turns array<struct<role, text>>, replies_text array<string>, formatted_chars, and the columns ``carried``.
     """
     pieces = F.slice(F.split("formatted", r"</s>\n"), 1, F.size(F.split("formatted", r"</s>\n")) - 1)
     turns = F.transform(
@@ -95,4 +107,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
         ),
     )
     cut = F.transform("replies", lambda r: unescape(F.col("formatted").substr((r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int"))))
-    return formatted.select("conv_id", turns.alias("turns"), cut.alias("replies_text"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return formatted.select("conv_id", turns.alias("turns"), cut.alias("replies_text"), F.length("formatted").cast("long").alias("formatted_chars"), *carried)

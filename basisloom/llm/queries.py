@@ -82,18 +82,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat_format import format_conversations, read_back
+    from .chat_format import format_conversations, read_back, trained_text
 
     probe = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(probe, rows.schema))
-    back = read_back(format_conversations(rows))
+    made = format_conversations(rows)
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    trained = F.array_join("replies_text", "")
-    return back.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
-        F.length(trained).cast("long").alias("loss_chars"), F.sha2(trained, 256).alias("loss_sha256"), "formatted_chars",
+    turns = read_back(made, "formatted", "replies").select(
+        "conv_id", "formatted", "replies", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), "formatted_chars",
     )
+    back = trained_text(turns, "n_turns", "turns_sha256", "formatted_chars")
+    return back.select("conv_id", "n_turns", "turns_sha256", F.length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"), "formatted_chars")
 
 
 OP10_SQL = r"""

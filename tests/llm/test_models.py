@@ -229,3 +229,15 @@ def test_dedup_stages_drop_rows(spark, tmp_path):
         assert got.columns == docs.columns
         got = [(r["doc_id"], r["text"]) for r in got.collect()]
         assert len(got) == len(set(got)) and set(got) in left
+
+
+def test_chat_query_expands_replies(spark, tmp_path):
+    from basisloom.llm.queries import op10_chat_format
+
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a<["), (1, 2, "user", "r"), (1, 3, "assistant", "b"), (2, 0, "user", "no reply"), (None, 0, "assistant", "c"), (3, 0, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = op10_chat_format(spark, str(tmp_path))
+    assert "posexplode" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"], r["loss_sha256"]) for r in out.collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert len(got) == 5 and got[1] == (4, 4, sha("a<[b")) and got[2] == (1, 0, sha("")) and got[None] == (1, 1, sha("c")) and got[3] == (1, 0, sha(""))

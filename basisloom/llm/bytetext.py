@@ -7,6 +7,7 @@ with NumPy; a Python-level step is taken per document at most, never per word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,14 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_LOWER_TABLE = _TABLE[LOWER]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 MIX = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
+#: Bytes of a span beyond which it is hashed by a digest of its own instead of eight bytes at a time.
+LONG = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
 #: `[^\x20\x09-\x0D]` and `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` after lower-casing, by byte.
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -96,14 +100,35 @@ def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndar
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of the byte spans, ASCII letters folded if ``lower``."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    up, down = powers(len(data))
-    total = np.empty(len(data) + 1, U64)
-    total[0] = 0
-    np.cumsum((_LOWER_TABLE if lower else _TABLE)[data] * up, out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+    """64-bit hashes of the byte spans, ASCII letters folded if ``lower``.
+
+    Eight bytes at a time enter between full mixing steps; spans of equal length
+    up to eight bytes never collide, and no structure of a longer one does.
+    """
+    size = ends - starts
+    out = mix(size.astype(U64), 1)
+    if not len(size):
+        return out
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = LOWER[data] if lower else data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    rows, at, left = None, starts, size
+    for k in range(LONG // 8):
+        step = eight[at] & _MASKS[np.minimum(left, 8)]
+        if k == 0:
+            out = mix(out ^ step)
+            rows = np.flatnonzero((left > 8) & (left <= LONG))
+            at, left = at[rows], left[rows]
+        else:
+            out[rows] = mix(out[rows] ^ step)
+            more = left > 8
+            rows, at, left = rows[more], at[more], left[more]
+        if not len(rows):
+            break
+        at, left = at + 8, left - 8
+    for row in np.flatnonzero(size > LONG).tolist():
+        out[row] = int.from_bytes(blake2b(padded[starts[row] : ends[row]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def gram_hashes(values: np.ndarray, n: int) -> np.ndarray:
@@ -142,6 +167,19 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray
     return (np.concatenate(sets) if sets else np.zeros(0, U64)), counts
 
 
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions start, start+1, ... of every span, one after another."""
+    total = int(lengths.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    keep = lengths > 0
+    starts, lengths = starts[keep], lengths[keep]
+    step = np.ones(total, np.int64)
+    step[0] = starts[0]
+    step[np.cumsum(lengths)[:-1]] = starts[1:] - starts[:-1] - lengths[:-1] + 1
+    return np.cumsum(step)
+
+
 def pack(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """A binary array whose i-th value has the bytes of values[cuts[i]:cuts[i+1]]."""
     raw = np.ascontiguousarray(values)

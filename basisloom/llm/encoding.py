@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from .bytetext import BLOCK, U64, blocks, mix, powers
+from .bytetext import BLOCK, U64, blocks, span_hashes, spans
 
 #: The vocabulary's own rule for pieces (a fixed value).
 PIECE_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -45,7 +45,6 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 _KIND, _LOW = _tables()
-_CHAR_HASH = mix(np.arange(_PLAIN + 1, dtype=np.uint64), 5) | U64(1)
 _BREAK = regex.compile(r"[ \n\t](?=[!-~])")
 
 
@@ -55,19 +54,6 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Positions start, start+1, ... of every span, one after another."""
-    total = int(lengths.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    keep = lengths > 0
-    starts, lengths = starts[keep], lengths[keep]
-    step = np.ones(total, np.int64)
-    step[0] = starts[0]
-    step[np.cumsum(lengths)[:-1]] = starts[1:] - starts[:-1] - lengths[:-1] + 1
-    return np.cumsum(step)
-
-
 class WordEncoder:
     """Encodes texts to uint32 ids, without special tokens."""
 
@@ -145,11 +131,7 @@ class WordEncoder:
         ends = np.append(starts[1:], n)
         keep = kind[starts] != _SPACE
         starts, ends = starts[keep], ends[keep]
-        up, down = powers(n)
-        total = np.empty(n + 1, U64)
-        total[0] = 0
-        np.cumsum(_CHAR_HASH[chars] * up, out=total[1:])
-        h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+        h = span_hashes(chars.astype("<u2").view(np.uint8), 2 * starts, 2 * ends, lower=False)
         keys, first, back = np.unique(h, return_index=True, return_inverse=True)
         for _ in range(2):
             where = np.searchsorted(self.keys, keys)
@@ -161,7 +143,7 @@ class WordEncoder:
             text = chars.astype("<u4").tobytes().decode("utf-32-le")
             self._learn(keys[lost], [text[a:b] for a, b in zip(starts[first[lost]].tolist(), ends[first[lost]].tolist(), strict=True)])
         size = self.size[where][back]
-        ids = self.pool[_gather(self.at[where][back], size)]
+        ids = self.pool[spans(self.at[where][back], size)]
         upto = np.concatenate([[0], np.cumsum(size)])
         return ids, np.diff(upto[np.searchsorted(starts, edges)])
 

@@ -2,27 +2,37 @@
 
 Documents are linked when the Jaccard similarity of their word-shingle sets is at
 least the threshold.  Under any global order of tokens, two linked sets share a
-token in their prefixes (of n - ceil(t n) + 1 tokens); a candidate must do so
-under every one of several orders before its sets are compared in full.
-
-* Equal sets are one class from the start: only its smallest doc_id is joined.
-* The first order is by exact document frequency, equal ones by hash; a set
-  whose prefix is made of tokens of its own has no candidates and goes no
-  further.  The other orders are hash orders, tested where a pair's sets meet.
-* Tokens of more than HOT_DOCS documents are called hot.  A token's documents are compared with one of them first (a star).  Verified
-  links are contracted; only pairs of documents that still share a token and lie
-  in different components go on: all of them for cold tokens, whose lists are
-  short, and growing runs of pivots for hot ones, until no pair is left.  Two
-  sets whose least common token is hot share hot tokens only, so a pair is
-  skipped where the numbers of their hot tokens cannot reach the threshold.
-
-So components are exact without writing out all pairs of a group, and no list is
-cut.  The result is one row per document with the component it is in.
+token in their prefixes (of n - ceil(t n) + 1 tokens); a pair is a candidate only
+if it does so under every one of several orders, and only candidates are compared
+in full.  All orders put the tokens of a single document first, which no two
+documents can share; the first order goes on by exact document frequency and then
+by hash, the others by hashes of their own.
+
+1. Equal sets are one class from the start: only its smallest doc_id is joined.
+2. Every token travels to its bucket, where its documents are counted; a token
+   that many documents of one task have travels there as a count, so that no hot
+   token gathers in a bucket.  Only tokens of several documents come back, to the
+   part of the documents they are in.  A document is then a record of its size and
+   of those tokens; one whose prefix holds none of them has no candidates.
+3. Of the documents with a token in their first prefix the fullest is the token's
+   centre; a cell is a centre with all documents that share a token of it.  Two
+   documents with a common token in their prefixes meet in its cell, once for all
+   tokens with this centre.
+4. A cell is dealt out in blocks that hold the centre too.  In a block the other
+   orders are intersected, what is left is compared in full, and documents already
+   linked through others are not compared again.
+5. In a cell of several blocks whose documents are not all of one component yet,
+   those outside its largest component are compared, in blocks, with all others.
+
+So components are exact, no list is cut, and pairs are never written as rows: a
+task returns at most one link per document it holds.
 
 Defined results: null or empty text, and text of white space, has no shingles
 and is linked with nothing; a text of fewer words than a shingle is one shingle;
-rows that repeat a doc_id are one node; a null doc_id is not joined and is its
-own (null) component; an empty table has no rows; other columns are ignored.
+a very long text is one set like any other; rows that repeat a doc_id are linked
+with each other; a null doc_id is not joined and is its own (null) component; a
+similarity of exactly the threshold links; an empty table has no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,35 +40,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .bytetext import U64, blocks, by_bucket, mix, pack, shingle_sets
+from .bytetext import U64, blocks, by_bucket, mix, pack, shingle_sets, spans
 from .components import connected_components
-from .scratch import Scratch, keep_only, parts_for
+from .scratch import Scratch, few_rows, keep_only, parts_for
 
-#: Words per shingle, threshold in hundredths, token orders, documents beyond which a token is hot.
-WORDS, PERCENT, ORDERS, HOT_DOCS = 5, 75, 3, 32
-#: Shingles gathered per task before they are handed on.
-FLUSH = 4 << 20
+#: Words per shingle, threshold in hundredths, token orders.
+WORDS, PERCENT, ORDERS = 5, 75, 3
+#: Shingles gathered per task before they are handed on, and the documents of these beyond which a token is counted first.
+FLUSH, COMMON = 4 << 20, 256
+#: Documents of a cell in one block.
+BLOCK_DOCS = 1024
 
 
 def prefix_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_ids, concatenated sets, sizes) of blocks of documents."""
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for lo, hi, data, offs in blocks(batch.column(1)):
-            sets, sizes = shingle_sets(data, offs, words)
-            yield ids[lo:hi], sets, sizes
-
-
 def set_digests(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n, and two 64-bit sums over the set; equal sets have equal rows."""
 
@@ -76,394 +77,445 @@ def set_digests(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
 
 
-def _codes(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and 32-bit remainder of tokens.
+# -- records: what documents share with others ------------------------------
 
-    Tokens that fall together are treated as equal here, each as often as it
-    occurs: sets of codes overlap at least as far as the sets themselves.
-    """
-    return ((tokens >> U64(32)) % U64(buckets)).astype(np.int64), (tokens & U64(0xFFFFFFFF)).astype(np.uint32)
+_MOVED = "kind int, slot int, part int, tokens binary, docs binary, df binary"
+#: To a bucket of tokens: postings, counts, postings of counted tokens (passed on); to a part of the documents: postings with
+#: frequencies, postings without, frequencies, sizes.
+POSTINGS, COUNTS, PASSED, KNOWN, OPEN, FREQUENCIES, SIZES = range(7)
+
+
+def _moved(kind: int, slot: np.ndarray, part: np.ndarray, tokens: pa.Array | None, docs: pa.Array | None, df: pa.Array | None) -> pa.RecordBatch:
+    cols = [pa.nulls(len(slot), pa.binary()) if c is None else c for c in (tokens, docs, df)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), kind), pa.int32()), pa.array(slot, pa.int32()), pa.array(part, pa.int32()), *cols], ["kind", "slot", "part", "tokens", "docs", "df"])
+
+
+def _column(rows: pa.Table, name: str, kind: type = np.int64) -> np.ndarray:
+    """The packed values of all rows, one after another."""
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in rows.column(name) if x.is_valid)])
 
 
-_POSTINGS = "kind int, slot int, tokens binary, docs binary, df binary"
-_POSTING_NAMES = ["kind", "slot", "tokens", "docs", "df"]
+def part_of(doc: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(doc.astype(np.int64).view(U64), 13) % U64(parts)).astype(np.int64)
+
+
+def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    return ((tokens >> U64(32)) % U64(buckets)).astype(np.int64)
+
 
+def starts_of(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
-def _postings(docs: DataFrame, words: int, buckets: int) -> DataFrame:
-    """All tokens by bucket: kind 0, tokens, docs."""
+
+def _postings(docs: DataFrame, words: int, buckets: int, parts: int, common: int) -> DataFrame:
+    def flush(tokens: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(tokens, kind="stable")
+        first = starts_of(tokens[order])
+        times = np.diff(np.append(first, len(tokens)))
+        often = np.zeros(len(tokens), bool)
+        often[order] = np.repeat(times > common, times)
+        hot, count = tokens[order][first][times > common], times[times > common].astype(np.int64)
+        order, there, cuts = by_bucket(bucket_of(hot, buckets), buckets)
+        yield _moved(COUNTS, there, np.zeros(len(there)), pack(hot[order], cuts), None, pack(count[order], cuts))
+        # spread over the buckets by the part they are for, whatever their token
+        part = part_of(ids[often], parts)
+        order, there, cuts = by_bucket(part, parts)
+        yield _moved(PASSED, there % buckets, there, pack(tokens[often][order], cuts), pack(ids[often][order], cuts), None)
+        tokens, ids = tokens[~often], ids[~often]
+        order, there, cuts = by_bucket(bucket_of(tokens, buckets), buckets)
+        yield _moved(POSTINGS, there, np.zeros(len(there)), pack(tokens[order], cuts), pack(ids[order], cuts), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-
-        def flush() -> pa.RecordBatch:
-            sets, ids, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket, short = _codes(sets, buckets)
-            order, there, cuts = by_bucket(bucket, buckets)
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(there)), pa.int32()), pa.array(there, pa.int32()), pack(short[order], cuts), pack(np.repeat(ids, sizes)[order], cuts), pa.nulls(len(there), pa.binary())], _POSTING_NAMES)
-
-        for ids, sets, sizes in _sets(batches, words):
-            held.append((sets, ids.astype(np.int64), sizes))
-            size += len(sets)
-            if size >= FLUSH:
-                yield flush()
-                held, size = [], 0
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, hi, data, offs in blocks(batch.column(1)):
+                sets, sizes = shingle_sets(data, offs, words)
+                held.append((sets, np.repeat(ids[lo:hi], sizes)))
+                size += len(sets)
+                if size >= FLUSH:
+                    yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, size = [], 0
         if size:
-            yield flush()
+            yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return docs.mapInArrow(run, _POSTINGS)
+    return docs.mapInArrow(run, _MOVED)
 
 
 def _sizes(digests: DataFrame, parts: int) -> DataFrame:
-    """Set sizes by part of the documents: kind 1, docs, df = n."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, n = (batch.column(i).to_numpy().astype(np.int64) for i in range(2))
             order, there, cuts = by_bucket(part_of(ids, parts), parts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(there)), pa.int32()), pa.array(there, pa.int32()), pa.nulls(len(there), pa.binary()), pack(ids[order], cuts), pack(n[order], cuts)], _POSTING_NAMES)
-
-    return digests.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n").mapInArrow(run, _POSTINGS)
-
-
-def part_of(doc: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(doc.view(U64), 13) % U64(parts)).astype(np.int64)
-
-
-def _repeated(parts: int):
-    def reduce(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Of one bucket: the tokens of more than one entry with their frequency, back by part of the documents."""
-        tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["tokens"]])
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows["docs"]])
+            yield _moved(SIZES, there, there, None, pack(ids[order], cuts), pack(n[order], cuts))
+
+    return digests.mapInArrow(run, _MOVED)
+
+
+def _count(parts: int):
+    def reduce(rows: pa.Table) -> pa.Table:
+        """Of one bucket: the tokens of several documents with their frequency, back by part of the documents."""
+        kind = rows.column("kind").to_numpy()
+        passed = rows.filter(pa.array(kind == PASSED))
+        out = [_moved(OPEN, passed.column("part").to_numpy(), passed.column("part").to_numpy(), *(passed.column(c).combine_chunks() for c in ("tokens", "docs")), None)] if passed.num_rows else []
+        rows = rows.filter(pa.array(kind != PASSED))
+        singles = rows.filter(pa.array(rows.column("kind").to_numpy() == POSTINGS))
+        tokens, ids = _column(singles, "tokens", U64), _column(singles, "docs")
+        counted = rows.filter(pa.array(rows.column("kind").to_numpy() == COUNTS))
+        hot, count = _column(counted, "tokens", U64), _column(counted, "df")
+        order = np.argsort(hot, kind="stable")
+        hot, count = hot[order], count[order]
+        first = starts_of(hot)
+        hot, count = hot[first], np.add.reduceat(count, first) if len(first) else count
         order = np.argsort(tokens, kind="stable")
-        tokens = tokens[order]
-        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        tokens, ids = tokens[order], ids[order]
+        first = starts_of(tokens)
         times = np.diff(np.append(first, len(tokens)))
-        times = np.repeat(times, times)
-        keep = times > 1
-        code = (np.int64(key[0]) << 32) | tokens[keep].astype(np.int64)
-        ids, times = ids[order][keep], times[keep].astype(np.int64)
+        if len(hot):
+            count = count + np.searchsorted(tokens, hot, "right") - np.searchsorted(tokens, hot)
+            at = np.minimum(np.searchsorted(hot, tokens[first]), len(hot) - 1)
+            df = np.where(hot[at] == tokens[first], count[at], times)
+            every = np.arange(parts)
+            out.append(_moved(FREQUENCIES, every, every, pa.array([hot.tobytes()] * parts, pa.binary()), None, pa.array([count.tobytes()] * parts, pa.binary())))
+        else:
+            df = times
+        df = np.repeat(df, times)
+        tokens, ids, df = tokens[df > 1], ids[df > 1], df[df > 1].astype(np.int64)
         order, there, cuts = by_bucket(part_of(ids, parts), parts)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(there), 2), pa.int32()), pa.array(there, pa.int32()), pack(code[order], cuts), pack(ids[order], cuts), pack(times[order], cuts)], _POSTING_NAMES).to_pandas()
+        out.append(_moved(KNOWN, there, there, pack(tokens[order], cuts), pack(ids[order], cuts), pack(df[order], cuts)))
+        return pa.Table.from_batches(out)
 
     return reduce
 
 
-def _prefixes(percent: int, buckets: int, hot_docs: int):
-    def reduce(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Of one part of the documents: prefixes under the order (frequency, hash), tokens of one document only left out.
+_RECORD = "part int, doc_id long, n long, room int, tokens binary"
 
-        bucket, tokens, docs, n, h, packed; bucket -1 - part has the hot tokens of a part; h: how many of a set's tokens are hot.
+
+def _gather_records(percent: int):
+    def reduce(rows: pa.Table) -> pa.Table:
+        """Of one part: the documents whose first prefix has a token of several documents, with all such tokens in the first order.
+
+        room: how many of these are in the prefix, after the tokens of this document only.
         """
-        sizes = rows[rows["kind"] == 1]
-        ids = np.concatenate([*(np.frombuffer(x, np.int64) for x in sizes["docs"]), np.zeros(0, np.int64)])
-        n = np.concatenate([*(np.frombuffer(x, np.int64) for x in sizes["df"]), np.zeros(0, np.int64)])
-        # of rows that repeat a doc_id the largest set decides how long the prefix is
-        order = np.lexsort((n, ids))
+        kind = rows.column("kind").to_numpy()
+        take = lambda k: rows.filter(pa.array(kind == k))
+        sizes, known, open_, freq = take(SIZES), take(KNOWN), take(OPEN), take(FREQUENCIES)
+        ids, n = _column(sizes, "docs"), _column(sizes, "df")
+        order = np.argsort(ids, kind="stable")
         ids, n = ids[order], n[order]
-        last = np.concatenate([ids[1:] != ids[:-1], [True]])[: len(ids)]
-        ids, n = ids[last], n[last]
-        got = rows[rows["kind"] == 2]
-        code, doc, df = (np.concatenate([*(np.frombuffer(x, np.int64) for x in got[c]), np.zeros(0, np.int64)]) for c in ("tokens", "docs", "df"))
+        tokens, doc, df = _column(known, "tokens", U64), _column(known, "docs"), _column(known, "df")
+        if open_.num_rows:
+            hot, count = _column(freq, "tokens", U64), _column(freq, "df")
+            order = np.argsort(hot)
+            more = _column(open_, "tokens", U64)
+            tokens, doc = np.concatenate([tokens, more]), np.concatenate([doc, _column(open_, "docs")])
+            df = np.concatenate([df, count[order][np.searchsorted(hot[order], more)]])
         which = np.searchsorted(ids, doc)
         have = np.bincount(which, minlength=len(ids))
-        hots = np.bincount(which[df > hot_docs], minlength=len(ids))
-        room = prefix_size(n, percent) - (n - have)  # prefix tokens beyond those of one document only
+        room = prefix_size(n, percent) - (n - have)
         some = room[which] > 0
-        code, df, which = code[some], df[some], which[some]
-        order = np.lexsort((mix(code.view(U64), 31), df, which))
-        code, df, which = code[order], df[order], which[order]
-        rank = np.arange(len(which)) - np.searchsorted(which, which)
-        take = rank < room[which]
-        code, df, which = code[take], df[take], which[take]
-        hot = df > hot_docs
-        out = []
-        for part, bucket in ((~hot, (code[~hot] >> 32)), (hot, np.zeros(int(hot.sum()), np.int64))):
-            if not part.any():
-                continue
-            order, there, cuts = by_bucket(bucket, buckets)
-            c, w = code[part][order], which[part][order]
-            slot = there if part is not hot else np.full(len(there), -1 - int(key[0]))
-            out.append(pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pack(c, cuts), pack(ids[w], cuts), pack(n[w], cuts), pack(hots[w], cuts)], ["bucket", "tokens", "docs", "n", "h"]).to_pandas())
-        return pd.concat(out) if out else pd.DataFrame({"bucket": pd.Series([], dtype="int32"), "tokens": [], "docs": [], "n": [], "h": []})
+        tokens, df, which = tokens[some], df[some], which[some]
+        order = np.lexsort((mix(tokens, 31), df, which))
+        tokens, which = tokens[order], which[order]
+        there = which[starts_of(which)]
+        cuts = np.append(starts_of(which), len(which))
+        size = len(there)
+        part = rows.column("part").to_numpy()[:1]
+        return pa.table({"part": pa.array(np.repeat(part, size), pa.int32()), "doc_id": ids[there], "n": n[there], "room": pa.array(room[there], pa.int32()), "tokens": pack(tokens, cuts) if size else pa.array([], pa.binary())})
 
     return reduce
 
 
-def prefix_entries(docs: DataFrame, digests: DataFrame, words: int, percent: int, parts: int, scratch: Scratch, hot_docs: int = HOT_DOCS) -> DataFrame:
-    """Prefix entries under the first order: rarest tokens first by exact document counts, equal ones by hash.
-
-    Each token travels once to its bucket, where it is counted; only tokens of
-    several documents come back, to the part of the documents they are in.
-    """
-    buckets = parts_for(docs, 10)
-    postings = _postings(docs, words, buckets)
-    again = scratch.write(postings.groupBy("slot").applyInPandas(_repeated(parts), _POSTINGS), "repeated")
+def records(docs: DataFrame, digests: DataFrame, words: int, percent: int, parts: int, scratch: Scratch, common: int = COMMON) -> DataFrame:
+    """part, doc_id, n, room, tokens (uint64, first order) of documents that may have partners; ``docs`` have distinct doc_ids."""
+    buckets = parts_for(docs, 3)
+    moved = _postings(docs, words, buckets, parts, common).repartition(max(8, buckets // 4), "slot")
+    counted = scratch.write(moved.groupBy("slot").applyInArrow(_count(parts), _MOVED), "counted")
     scratch.release()
-    rows = _sizes(digests, parts).unionByName(again)
-    out = scratch.write(rows.groupBy("slot").applyInPandas(_prefixes(percent, buckets, hot_docs), "bucket int, tokens binary, docs binary, n binary, h binary"), "prefixes")
-    scratch.drop(again)
+    rows = _sizes(digests.select("doc_id", "n"), parts).unionByName(counted).repartition(max(8, parts // 4), "part")
+    out = scratch.write(rows.groupBy("part").applyInArrow(_gather_records(percent), _RECORD), "records")
+    scratch.drop(counted)
     scratch.release()
     return out
 
 
-def _cold_groups(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: star pairs (pivot, other) and the distinct lists of three documents or more."""
-    tokens = np.concatenate([np.frombuffer(x, np.int64) for x in rows["tokens"]])
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows["docs"]])
-    order = np.lexsort((ids, tokens))
-    tokens, ids = tokens[order], ids[order]
-    same = tokens[1:] == tokens[:-1]
-    twice = np.concatenate([[False], same & (ids[1:] == ids[:-1])])  # a repeated row, or two tokens of one code
-    tokens, ids = tokens[~twice], ids[~twice]
-    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(tokens)))
-    group = np.repeat(np.arange(len(first)), size)
-    other = (size[group] > 1) & (np.arange(len(tokens)) != first[group])
-    pairs = np.unique(np.stack([ids[first[group[other]]], ids[other]]), axis=1) if other.any() else np.zeros((2, 0), np.int64)
-    lists = {ids[first[g] : first[g] + size[g]].tobytes() for g in np.flatnonzero(size > 2).tolist()}
-    return pd.DataFrame({"a": [*pairs[0].tolist(), *[None] * len(lists)], "b": [*pairs[1].tolist(), *[None] * len(lists)], "docs": [*[None] * pairs.shape[1], *lists]}).astype({"a": "Int64", "b": "Int64"})
-
-
-def _overlap(x: np.ndarray, y: np.ndarray) -> int:
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    return int((y[at] == x).sum())
-
-
-def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT, orders: int = ORDERS) -> bool:
-    """Whether two sorted sets reach the threshold: size, then the prefixes under the other orders, then in full."""
-    n, m = len(x), len(y)
-    if 100 * min(n, m) < percent * max(n, m):
-        return False
-    for k in range(1, orders):
-        p = [np.sort(np.partition(mix(s, 40 + k), int(prefix_size(np.int64(len(s)), percent)) - 1)[: int(prefix_size(np.int64(len(s)), percent))]) for s in (x, y)]
-        if not _overlap(*p):
-            return False
-    common = _overlap(x, y)
-    return 100 * common >= percent * (n + m - common)
-
-
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked; ``sets``: doc_id, tokens (uint64, binary, ascending)."""
+# -- cells: documents that share prefix tokens under the first order ---------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = (batch.column(i) for i in range(4))
-            ok = [linked(np.frombuffer(x[i].as_buffer(), U64), np.frombuffer(y[i].as_buffer(), U64), percent, orders) for i in range(batch.num_rows)]
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
-    # the first of a pair is the hub of a star more often: it is met while pairs are narrow, and sets then travel by the second
-    one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
-    two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def _token_slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of a binary column, and their offsets by row."""
+    offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    flat = np.frombuffer(column.buffers()[2], np.uint8)[offs[0] : offs[-1]] if len(column) and column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(flat.tobytes(), U64), (offs - offs[0]) // 8
 
 
-def token_sets(docs: DataFrame, words: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets, sizes in _sets(batches, words):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pack(sets, np.concatenate([[0], np.cumsum(sizes)]))], ["doc_id", "tokens"])
-
-    return docs.mapInArrow(run, "doc_id long, tokens binary")
-
-
-class _Join:
-    """State of one join: what was compared, what is linked, and the components so far."""
-
-    def __init__(self, docs: DataFrame, words: int, percent: int, orders: int, parts: int, scratch: Scratch):
-        self.parts = parts
-        self.docs, self.words, self.percent, self.orders, self.scratch = docs, words, percent, orders, scratch
-        self.tested: DataFrame | None = None
-        self.links: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def test(self, pairs: DataFrame) -> int:
-        """Verify the pairs (a < b) not compared yet; contract the links. Returns how many pairs there were."""
-        fresh = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if self.tested is not None:
-            fresh = fresh.join(self.tested, ["a", "b"], "left_anti")
-        fresh = self.scratch.write(fresh, "pairs")
-        n = fresh.count()
-        if not n:
-            return 0
-        ids = self.scratch.write(fresh.select(F.col("a").alias("doc_id")).unionByName(fresh.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-        sets = self.scratch.write(token_sets(keep_only(self.docs, ids, "doc_id", "left_semi"), self.words), "sets")
-        links = self.scratch.write(verify(fresh, sets, self.percent, self.orders), "verified")
-        self.scratch.drop(sets, ids)
-        self.tested = fresh if self.tested is None else self.tested.unionByName(fresh)
-        if not links.isEmpty():
-            self.links = links if self.links is None else self.links.unionByName(links)
-            self.labels = connected_components(self.links, self.scratch)
-        return n
-
-    def labelled(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (doc_id, ...) with the component found so far."""
-        if self.labels is None:
-            return rows.withColumn("component", F.col("doc_id"))
-        labels = self.labels.select(F.col("id").alias("doc_id"), "component")
-        return rows.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-
-
-def _cold_rest(join: _Join, lists: DataFrame) -> None:
-    """All pairs that still lie in different components, of the short lists of cold tokens."""
-    numbered = join.scratch.write(lists.select(F.monotonically_increasing_id().alias("list"), "docs"), "lists")
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(d) for d in docs])), pa.array(np.concatenate([*docs, np.zeros(0, np.int64)]))], ["list", "doc_id"])
+def _fullest(token: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per token the documents and, of these, the one with the greatest share of its tokens in others; ties: larger, then smaller id.
 
-    rows = join.scratch.write(join.labelled(numbered.mapInArrow(unpack, "list long, doc_id long")), "members")
-    mixed = rows.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("list")
-    rows = join.scratch.write(rows.join(mixed, "list"), "mixed")
-    if rows.isEmpty():
-        return
-    # a list of a cold token is short; one that is long all the same is compared by pivots
-    size = Window.partitionBy("list")
-    rows = join.scratch.write(rows.withColumn("n", F.count(F.lit(1)).over(size)), "sized")
+    columns: documents, share in millionths, size, count.
+    """
+    doc, share, n, count = columns
+    order = np.lexsort((doc, -n, -share, token))
+    token, doc, share, n, count = (x[order] for x in (token, doc, share, n, count))
+    first = starts_of(token)
+    return token[first], doc[first], share[first], n[first], np.add.reduceat(count, first) if len(first) else count[first]
 
-    def pairs(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        ids, label = part["doc_id"].to_numpy(), part["component"].to_numpy()
-        i, j = np.triu_indices(len(ids), 1)
-        apart = label[i] != label[j]
-        return pd.DataFrame({"a": np.minimum(ids[i], ids[j])[apart], "b": np.maximum(ids[i], ids[j])[apart]})
 
-    short = rows.where(F.col("n") <= 4 * HOT_DOCS)
-    join.test(short.groupBy("list").applyInPandas(pairs, "a long, b long"))
-    long_ = rows.where(F.col("n") > 4 * HOT_DOCS)
-    if not long_.isEmpty():
-        _by_pivots(join, long_.select(F.col("list").alias("token"), "doc_id", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("h")))
+_LEADS = "bucket int, part int, tokens binary, docs binary, share binary, n binary, count binary"
+_LEAD_NAMES = ["bucket", "part", "tokens", "docs", "share", "n", "count"]
 
 
-_HOT = "token long, doc_id long, n long, h long"
+def _leads(rows: DataFrame, buckets: int) -> DataFrame:
+    """Prefix tokens by bucket, of each task and part the fullest document and the number of documents."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, doc, n, room = (batch.column(i).to_numpy().astype(np.int64) for i in range(4))
+            flat, offs = _token_slices(batch.column(4))
+            share = (offs[1:] - offs[:-1]) * 1_000_000 // np.maximum(n, 1)
+            for p in np.unique(part).tolist():
+                mine = np.flatnonzero(part == p)
+                at, row = spans(offs[mine], room[mine]), np.repeat(mine, room[mine])
+                found = _fullest(flat[at], doc[row], share[row], n[row], np.ones(len(row), np.int64))
+                order, there, cuts = by_bucket(bucket_of(found[0], buckets), buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(np.full(len(there), p), pa.int32()), *(pack(x[order], cuts) for x in found)], _LEAD_NAMES)
+
+    return rows.mapInArrow(run, _LEADS)
+
+
+def _centres(rows: pa.Table) -> pa.Table:
+    """Of one bucket: the centre of each token of several documents, back to the parts that have the token."""
+    sizes = [len(x.as_buffer()) // 8 for x in rows.column("tokens")]
+    token = _column(rows, "tokens", U64)
+    cols = [_column(rows, c) for c in ("docs", "share", "n", "count")]
+    key, centre, _, _, count = _fullest(token, *cols)
+    at = np.searchsorted(key, token)
+    part = np.repeat(rows.column("part").to_numpy().astype(np.int64), sizes)[count[at] > 1]
+    at = at[count[at] > 1]
+    order = np.lexsort((at, part))
+    part, at = part[order], at[order]
+    new = np.concatenate([[True], (part[1:] != part[:-1]) | (at[1:] != at[:-1])]) if len(part) else np.zeros(0, bool)
+    part, at = part[new], at[new]
+    first = starts_of(part)
+    cuts = np.append(first, len(part))
+    return pa.table({"part": pa.array(part[first], pa.int32()), "tokens": pack(key[at], cuts) if len(first) else pa.array([], pa.binary()), "docs": pack(centre[at], cuts) if len(first) else pa.array([], pa.binary())})
+
+
+_CELL = "cell long, doc_id long, n long, room int, tokens binary"
+
+
+def _enter(rows: pa.Table, replies: pa.Table) -> pa.Table:
+    """Of one part: its documents, once in each cell of a token in their prefix."""
+    key, centre = _column(replies, "tokens", U64), _column(replies, "docs")
+    if not rows.num_rows or not len(key):
+        return pa.table({"cell": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "room": pa.array([], pa.int32()), "tokens": pa.array([], pa.binary())})
+    order = np.argsort(key, kind="stable")
+    key, centre = key[order], centre[order]
+    room = rows.column("room").to_numpy().astype(np.int64)
+    tokens = rows.column("tokens").combine_chunks()
+    flat, offs = _token_slices(tokens)
+    token, row = flat[spans(offs[:-1], room)], np.repeat(np.arange(len(room)), room)
+    at = np.minimum(np.searchsorted(key, token), len(key) - 1)
+    row, cell = row[key[at] == token], centre[at[key[at] == token]]
+    pair = np.unique(np.stack([row, cell]), axis=1) if len(row) else np.zeros((2, 0), np.int64)
+    take = pa.array(pair[0])
+    return pa.table({"cell": pair[1], **{c: rows.column(c).combine_chunks().take(take) for c in ("doc_id", "n", "room")}, "tokens": tokens.take(take)})
+
+
+def cells(found: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
+    """cell, and the record of each document in it."""
+    buckets = parts_for(found, 3)
+    leads = _leads(found, buckets).repartition(max(8, buckets // 4), "bucket")
+    replies = scratch.write(leads.groupBy("bucket").applyInArrow(_centres, "part int, tokens binary, docs binary"), "centres")
+    left, right = (x.repartition(max(8, parts // 4), "part").groupBy("part") for x in (found, replies))
+    out = scratch.write(left.cogroup(right).applyInArrow(_enter, _CELL), "cells")
+    scratch.drop(replies)
+    return out
 
-def _entries(few: bool):
-    """Packed hot entries as rows; with ``few`` four of each document's, spread over its list."""
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                cols = [np.frombuffer(batch.column(batch.schema.get_field_index(c))[row].as_buffer(), np.int64) for c in ("tokens", "docs", "n", "h")]
-                if few and len(cols[1]):
-                    start = np.flatnonzero(np.concatenate([[True], cols[1][1:] != cols[1][:-1]]))
-                    size = np.diff(np.append(start, len(cols[1])))
-                    pick = np.unique(np.concatenate([start + (size - 1) * k // 3 for k in range(4)]))
-                    cols = [c[pick] for c in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "doc_id", "n", "h"])
+# -- comparison within tasks --------------------------------------------------
+
+
+class Block:
+    """Documents of one block of a cell, ready to be compared with any one of them."""
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, room: np.ndarray, flat: np.ndarray, offs: np.ndarray, percent: int = PERCENT, orders: int = ORDERS):
+        self.ids, self.n, self.percent = ids, n, percent
+        values, code = np.unique(flat, return_inverse=True)
+        self.mark = np.zeros(len(values), bool)
+        self.have = np.diff(offs)
+        self.full = (code, offs[:-1], self.have)
+        room = np.minimum(room, self.have)
+        self.prefixes = [(code, offs[:-1], room)]
+        row = np.repeat(np.arange(len(ids)), self.have)
+        for k in range(1, orders):
+            order = np.lexsort((mix(flat, 40 + k), row))
+            self.prefixes.append((code[order], offs[:-1], room))
+
+    def _shared(self, sets: tuple[np.ndarray, np.ndarray, np.ndarray], one: int, others: np.ndarray) -> np.ndarray:
+        """How many tokens of ``one`` each of the others has."""
+        code, start, size = sets
+        mine = code[start[one] : start[one] + size[one]]
+        self.mark[mine] = True
+        got = self.mark[code[spans(start[others], size[others])]]
+        self.mark[mine] = False
+        upto = np.concatenate([[0], np.cumsum(got)])
+        ends = np.cumsum(size[others])
+        return upto[ends] - upto[ends - size[others]]
+
+    def linked(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others that are linked with ``one``: sizes, then the prefixes under every order, then whole sets."""
+        n, m = self.n[one], self.n[others]
+        need = -(-self.percent * (n + m) // (100 + self.percent))  # least overlap of linked sets
+        others = others[np.minimum(np.minimum(n, m), np.minimum(self.have[one], self.have[others])) >= need]
+        for prefix in self.prefixes:
+            if len(others):
+                others = others[self._shared(prefix, one, others) > 0]
+        if not len(others):
+            return others
+        common = self._shared(self.full, one, others)
+        return others[100 * common >= self.percent * (n + self.n[others] - common)]
+
+    def links(self, queries: np.ndarray, others: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+        """Links (as rows) that join groups; documents of one group are not compared. Within reach of the links ``group`` is made equal."""
+        out = []
+        for q in queries.tolist():
+            rest = others[group[others] != group[q]]
+            if not len(rest):
+                continue
+            hits = self.linked(q, rest)
+            for g, at in zip(*np.unique(group[hits], return_index=True), strict=True):
+                out.append((q, int(hits[at])))
+                group[group == g] = group[q]
+        return out
 
-    return unpack
 
+def _by_cell(rows: pa.Table, keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of one slot, cell by cell."""
+    rows = rows.sort_by([(k, "ascending") for k in keys])
+    cols = [rows.column(k).to_numpy() for k in keys]
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    edges = np.append(np.flatnonzero(new), rows.num_rows).tolist()
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        yield rows.slice(lo, hi - lo)
 
-def _mixed_tokens(join: _Join, hot: DataFrame, lead: DataFrame) -> DataFrame:
-    """Hot tokens whose documents lie in more than one component.
 
-    Components go to the packed entries by part of the documents; what leaves a
-    part is the least and the greatest component of each token, again packed.
-    """
-    parts = F.expr("-1 - bucket").cast("int")
-    buckets = max(8, parts_for(hot, 4))
-    labels = join.scratch.write(join.labelled(lead.select("doc_id").distinct()), "hot_labels")
-    total = join.parts
+def _block(rows: pa.Table, percent: int, orders: int) -> Block:
+    flat, offs = _token_slices(rows.column("tokens").combine_chunks())
+    return Block(rows.column("doc_id").to_numpy(), rows.column("n").to_numpy(), rows.column("room").to_numpy().astype(np.int64), flat, offs, percent, orders)
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(part_of(batch.column(0).to_numpy(), total), pa.int32()), *batch.columns], ["part", "doc_id", "component"])
-
-    def ends(entries: pa.Table, known: pa.Table) -> pa.Table:
-        ids, component = known.column("doc_id").to_numpy(), known.column("component").to_numpy()
-        order = np.argsort(ids)
-        ids, component = ids[order], component[order]
-        tokens, docs = (np.concatenate([*(np.frombuffer(x.as_buffer(), np.int64) for x in entries.column(c)), np.zeros(0, np.int64)]) for c in ("tokens", "docs"))
-        own = component[np.searchsorted(ids, docs)] if len(docs) else docs
-        order = np.lexsort((own, tokens))
-        tokens, own = tokens[order], own[order]
-        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(tokens)) - 1 if len(first) else first
-        token, lo, hi = tokens[first], own[first], own[last]
-        order, there, cuts = by_bucket((mix(token.view(U64), 17) % U64(buckets)).astype(np.int64), buckets)
-        return pa.table({"bucket": pa.array(there, pa.int32()), "tokens": pack(token[order], cuts), "lo": pack(lo[order], cuts), "hi": pack(hi[order], cuts)})
-
-    def mixed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        tokens, lo, hi = (np.concatenate([np.frombuffer(x, np.int64) for x in rows[c]]) for c in ("tokens", "lo", "hi"))
-        order = np.argsort(tokens, kind="stable")
-        tokens, lo, hi = tokens[order], lo[order], hi[order]
-        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        apart = np.minimum.reduceat(lo, first) != np.maximum.reduceat(hi, first)
-        return pd.DataFrame({"token": tokens[first][apart]})
 
-    if hot.isEmpty():
-        return lead.select("token").limit(0)
-    left = hot.withColumn("part", parts).groupBy("part")
-    right = labels.select("doc_id", "component").mapInArrow(dealt, "part int, doc_id long, component long").groupBy("part")
-    packed = left.cogroup(right).applyInArrow(ends, "bucket int, tokens binary, lo binary, hi binary")
-    return join.scratch.write(packed.groupBy("bucket").applyInPandas(mixed, "token long"), "mixed_tokens")
+_LINKS = "a long, b long"
 
 
-def _by_pivots(join: _Join, entries: DataFrame) -> None:
-    """Rounds of pivots per hot token until no two of its documents lie apart unseen.
+def _links(pairs: list[tuple[int, int]]) -> pa.Table:
+    ab = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.table({"a": ab.min(axis=1), "b": ab.max(axis=1)} if len(ab) else {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
-    entries: token, doc_id, n, h.  The fullest of hot tokens go first as pivots: the
-    text that others were copied from is among them.
-    """
-    percent = join.percent
-    order = Window.partitionBy("token").orderBy(F.desc(F.col("h") / F.col("n")), F.desc("n"), "doc_id")
-    left = join.scratch.write(entries.withColumn("place", F.row_number().over(order)), "entries")
-    taken, pivots = 0, 8
-    while True:
-        rows = join.scratch.write(join.labelled(left.drop("component")), "state")
-        mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("place").alias("last")).where(f"lo != hi AND last > {taken}").select("token")
-        left = join.scratch.write(rows.join(mixed, "token"), "left")
-        if left.isEmpty():
-            return
-        chosen = left.where((F.col("place") > taken) & (F.col("place") <= taken + pivots)).select("token", *(F.col(c).alias(f"p_{c}") for c in ("doc_id", "n", "h", "component")))
-        chosen = join.scratch.write(chosen, "pivots")
-        met = left.join(chosen, "token").where("component != p_component")
-        # shares no cold token: overlap is at most the lesser number of hot ones
-        met = met.where((100 + percent) * F.least("h", "p_h") >= percent * (F.col("n") + F.col("p_n")))
-        join.test(met.select(F.col("doc_id").alias("a"), F.col("p_doc_id").alias("b")))
-        taken, pivots = taken + pivots, pivots * 8
-
-
-def similarity_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: int = ORDERS, scratch: Scratch | None = None) -> DataFrame:
+
+def within_blocks(entered: DataFrame, many: DataFrame, percent: int, orders: int) -> DataFrame:
+    """Links that join documents within blocks of cells, the centre being in each block. ``many``: cells of several blocks, and how many."""
+    slots = parts_for(entered, 2)
+
+    def compare(rows: pa.Table) -> pa.Table:
+        out = []
+        for one in _by_cell(rows, ["cell", "block"]):
+            block = _block(one, percent, orders)
+            m = len(block.ids)
+            order = np.lexsort((block.ids, -block.n, -(block.have / block.n), block.ids != one.column("cell")[0].as_py()))
+            out += [(int(block.ids[a]), int(block.ids[b])) for a, b in block.links(order, np.arange(m), np.arange(m))]
+        return _links(out)
+
+    rows = entered.join(few_rows(many.select("cell", "n_blocks")), "cell", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+    mine = F.array(F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)
+    rows = rows.withColumn("block", F.explode(F.when(F.col("doc_id") == F.col("cell"), every).otherwise(mine))).drop("n_blocks")
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("cell", "block"), F.lit(slots)).cast("int")).repartition(max(8, slots // 8), "slot")
+    return rows.groupBy("slot").applyInArrow(compare, _LINKS)
+
+
+def across_blocks(entered: DataFrame, many: DataFrame, labels: DataFrame, percent: int, orders: int, scratch: Scratch, block_docs: int) -> DataFrame:
+    """Links between blocks: documents outside a cell's largest component against all of the cell."""
+    rows = entered.join(few_rows(many.select("cell")), "cell")
+    rows = scratch.write(rows.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "labelled")
+    sizes = rows.groupBy("cell", "component").count().groupBy("cell").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("largest"), F.sum("count").alias("docs"))
+    mixed = scratch.write(sizes.where("largest < docs"), "mixed")
+    rows = rows.join(few_rows(mixed), "cell")
+    pieces = lambda n, size: F.ceil(F.col(n) / F.lit(size)).cast("int")
+    rows = rows.withColumn("outside", F.col("docs") - F.col("largest")).withColumn("n_q", pieces("outside", block_docs)).withColumn("n_r", pieces("docs", 4 * block_docs))
+    own = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keep = ["cell", "doc_id", "n", "room", "tokens", "component"]
+    asked = rows.where("component != main").select(*keep, F.lit(True).alias("query"), own("n_q", 1).alias("q"), every("n_r").alias("r"))
+    there = rows.select(*keep, F.lit(False).alias("query"), own("n_r", 2).alias("r"), every("n_q").alias("q")).select(asked.columns)
+    slots = parts_for(entered, 2)
+
+    def compare(rows: pa.Table) -> pa.Table:
+        out = []
+        for one in _by_cell(rows, ["cell", "q", "r"]):
+            block = _block(one, percent, orders)
+            query = one.column("query").to_numpy(zero_copy_only=False)
+            _, group = np.unique(one.column("component").to_numpy(), return_inverse=True)
+            out += [(int(block.ids[a]), int(block.ids[b])) for a, b in block.links(np.flatnonzero(query), np.flatnonzero(~query), group)]
+        return _links(out)
+
+    dealt = asked.unionByName(there).withColumn("slot", F.pmod(F.xxhash64("cell", "q", "r"), F.lit(slots)).cast("int")).repartition(max(8, slots // 8), "slot")
+    return dealt.groupBy("slot").applyInArrow(compare, _LINKS)
+
+
+def similar_links(docs: DataFrame, digests: DataFrame, words: int, percent: int, orders: int, scratch: Scratch, block_docs: int = BLOCK_DOCS, common: int = COMMON) -> DataFrame:
+    """Links (a, b) that join all documents of a component; ``docs`` have distinct, non-null doc_ids and different sets."""
+    parts = parts_for(docs, 3)
+    found = records(docs, digests, words, percent, parts, scratch, common)
+    entered = cells(found, parts, scratch)
+    scratch.drop(found)
+    many = entered.groupBy("cell").count().where(F.col("count") > block_docs).select("cell", F.ceil(F.col("count") / F.lit(block_docs)).cast("int").alias("n_blocks"))
+    many = scratch.write(many, "many")
+    links = scratch.write(within_blocks(entered, many, percent, orders), "links")
+    if not many.isEmpty():
+        links = links.unionByName(scratch.write(across_blocks(entered, many, connected_components(links, scratch), percent, orders, scratch, block_docs), "more_links"))
+    scratch.release()
+    return links
+
+
+def similarity_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: int = ORDERS, scratch: Scratch | None = None, block_docs: int = BLOCK_DOCS, common: int = COMMON) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     scratch = scratch or Scratch(docs.sparkSession, "ngrams")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if not base.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _of_rows(base, words, percent, orders, scratch, block_docs, common)
     digests = scratch.write(set_digests(base, words), "digests")
-    classes = digests.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    sized = digests.where("n > 0 AND doc_id IS NOT NULL")
+    classes = sized.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     many = scratch.write(classes.where("rows > 1"), "classes")
     # members of a class other than its first, by a join that a hot class does not gather in one task
-    member = digests.join(many.select("n", "d1", "d2", "first"), ["n", "d1", "d2"]).where("doc_id != first")
-    copies = scratch.write(member.select(F.col("doc_id").alias("b"), F.col("first").alias("a")), "copies")
-    # a repeated doc_id with another text keeps its node in the join
-    firsts = keep_only(base, scratch.write(copies.select(F.col("b").alias("doc_id")).distinct(), "dropped"), "doc_id", "left_anti") if _distinct_ids(digests) else base
-    firsts = firsts.where("doc_id IS NOT NULL")
-
-    parts = parts_for(base, 16)
-    join = _Join(firsts, words, percent, orders, parts, scratch)
-    entries = prefix_entries(firsts, digests, words, percent, parts, scratch)
-    groups = scratch.write(entries.where("bucket >= 0").select("bucket", "tokens", "docs").groupBy("bucket").applyInPandas(_cold_groups, "a long, b long, docs binary"), "groups")
-    scratch.release()
-
-    hot = scratch.write(entries.where("bucket < 0"), "hot")
-    scratch.drop(entries)
-    lead = scratch.write(hot.mapInArrow(_entries(few=True), _HOT).distinct(), "lead")
-    star = lead.groupBy("token").agg(F.max_by("doc_id", F.struct(F.col("h") / F.col("n"), "n", -F.col("doc_id"))).alias("pivot"))
-    star = scratch.write(star, "star")
-    hot_star = lead.join(star, "token").where("doc_id != pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-    join.test(groups.where("a IS NOT NULL").select("a", "b").unionByName(hot_star))
-    _cold_rest(join, groups.where("docs IS NOT NULL").select("docs").distinct())
-    mixed = _mixed_tokens(join, hot, lead)
-    if not mixed.isEmpty():
-        rows = hot.mapInArrow(_entries(few=False), _HOT).distinct()
-        _by_pivots(join, keep_only(rows, mixed, "token", "left_semi"))
-
-    links = copies if join.links is None else copies.unionByName(join.links)
-    labels = connected_components(links, scratch).withColumnRenamed("id", "doc_id")
+    member = sized.join(few_rows(many.select("n", "d1", "d2", "first")), ["n", "d1", "d2"]).where("doc_id != first")
+    copies = scratch.write(member.select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "copies")
+    dropped = copies.select(F.col("b").alias("doc_id"))
+    firsts = keep_only(base.where("doc_id IS NOT NULL"), dropped, "doc_id", "left_anti")
+    links = similar_links(firsts, keep_only(sized, dropped, "doc_id", "left_anti"), words, percent, orders, scratch, block_docs, common)
+    labels = connected_components(copies.unionByName(links), scratch).withColumnRenamed("id", "doc_id")
     return digests.join(labels, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _distinct_ids(rows: DataFrame) -> bool:
-    return rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+def _of_rows(base: DataFrame, words: int, percent: int, orders: int, scratch: Scratch, block_docs: int, common: int) -> DataFrame:
+    """The same where rows repeat doc_ids: rows are joined by a number of their own, and those of one doc_id are linked."""
+    numbered = scratch.write(base.withColumn("row", F.monotonically_increasing_id()), "rows")
+    ids = numbered.select("row", "doc_id")
+    rows = numbered.where("doc_id IS NOT NULL").select(F.col("row").alias("doc_id"), "text")
+    similar = scratch.write(similarity_classes(rows, words, percent, orders, scratch, block_docs, common).withColumnRenamed("doc_id", "row"), "similar")
+    alike = similar.where("row != component_id").select(F.col("component_id").alias("a"), F.col("row").alias("b"))
+    first = ids.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("row").alias("a"))
+    same = ids.join(first, "doc_id").where("row != a").select("a", F.col("row").alias("b"))
+    labels = connected_components(alike.unionByName(same), scratch).select(F.col("id").alias("row"), "component")
+    placed = scratch.write(ids.join(labels, "row", "left").withColumn("component", F.coalesce("component", "row")), "placed")
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    sizes = similar.select("row", "n_shingles").unionByName(set_digests(numbered.where("doc_id IS NULL").select(F.col("row").alias("doc_id"), "text"), words).select(F.col("doc_id").alias("row"), F.col("n").alias("n_shingles")))
+    return placed.join(sizes, "row").join(least, "component").select("doc_id", "n_shingles", "component_id")

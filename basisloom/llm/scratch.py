@@ -105,3 +105,10 @@ def keep_only(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
     if n == 0:
         return df if how == "left_anti" else df.limit(0)
     return df.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, on, how)
+
+
+def few_rows(keys: DataFrame) -> DataFrame:
+    """``keys``, to be broadcast in a join only when its counted rows are few."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys

@@ -88,32 +88,78 @@ def brute_components(rows, words=5, percent=75):
     return {(i, len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("hot", [32, 2])
-def test_similarity_classes(spark, monkeypatch, hot):
-    from basisloom.llm import ngram_join
+def near_copies(rnd: random.Random, words: list[str], n: int, most: int, first: int) -> list[tuple[int, str]]:
+    """Copies with 0 to ``most`` words changed: the most changed ones lie around the threshold."""
+    rows = []
+    for k in range(n):
+        copy = list(words)
+        for j in range(rnd.randint(0, most)):
+            copy[rnd.randrange(len(copy))] = f"e{first + k}_{j}"
+        rows.append((first + k, " ".join(copy)))
+    return rows
+
+
+def chain(rnd: random.Random, n: int, first: int) -> list[tuple[int, str]]:
+    """Texts of which each is near to the next only: 90 words that slide by six."""
+    words = ["c%d" % rnd.randrange(10**6) for _ in range(90 + 6 * n)]
+    return [(first + k, " ".join(words[6 * k : 6 * k + 90])) for k in range(n)]
+
+
+@pytest.mark.parametrize(("block", "common"), [(1024, 256), (3, 2), (8, 1)])
+def test_similarity_classes(spark, block, common):
+    from basisloom.llm.ngram_join import similarity_classes
 
     rnd = random.Random(9)
     base = ["w%d" % rnd.randrange(300) for _ in range(90)]
-    rows = corpus(5, 40)
-    for k in range(12):  # a group of near copies of one text, some of them close to the threshold
-        words = list(base)
-        for j in range(k // 2):
-            words[rnd.randrange(len(words))] = f"e{k}_{j}"
-        rows.append((3000 + k, " ".join(words)))
-    default = ngram_join.prefix_entries.__defaults__
-    monkeypatch.setattr(ngram_join.prefix_entries, "__defaults__", (hot,))
-    got = ngram_join.similarity_classes(frame(spark, rows))
+    rows = corpus(5, 40) + near_copies(rnd, base, 25, 7, 3000) + chain(rnd, 8, 4000)
+    got = similarity_classes(frame(spark, rows), block_docs=block, common=common)
     assert {tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()} == brute_components(rows)
-    monkeypatch.setattr(ngram_join.prefix_entries, "__defaults__", default)
+
+
+def test_similarity_of_a_hot_group(spark):
+    """2,000 rows: 500 near copies of one text, 200 of it within other texts, a chain, and texts of their own."""
+    from basisloom.llm.ngram_join import similarity_classes
+
+    rnd = random.Random(10)
+    base = ["w%d" % rnd.randrange(300) for _ in range(60)]
+    rows = near_copies(rnd, base, 500, 6, 10_000) + chain(rnd, 30, 20_000)
+    rows += [(30_000 + k, " ".join([*base[: 20 + k % 40], *("o%d" % rnd.randrange(10**6) for _ in range(k % 30))])) for k in range(200)]
+    rows += [(40_000 + k, " ".join("v%d" % rnd.randrange(40) for _ in range(30))) for k in range(1270)]
+    want = brute_components(rows)
+    assert len({c for _, _, c in want}) < 1900
+    for block in (1024, 64):
+        got = similarity_classes(frame(spark, rows).repartition(7), block_docs=block, common=16)
+        assert {tuple(r) for r in got.collect()} == want
+
+
+def test_a_very_long_text_and_words_that_fooled_a_polynomial(spark):
+    """Words built to agree under any polynomial modulo 2**64 share no shingle."""
+    from basisloom.llm.ngram_join import similarity_classes
+
+    word, rows = "a", []
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    for k, n in enumerate((1024, 2048, 4096)):
+        rows += [(2 * k, word[:n]), (2 * k + 1, word[:n].translate(str.maketrans("ab", "ba")))]
+    long = " ".join(f"t{k}" for k in range(120_000))
+    rows += [(100, long), (101, long + " more"), (102, "other " + long[: len(long) // 2])]
+    assert {tuple(r) for r in similarity_classes(frame(spark, rows)).collect()} == brute_components(rows)
 
 
 def test_similarity_edge_cases(spark):
+    """Repeated ids are linked, with equal and with different texts; exactly the threshold links; words of no partner do not."""
     from basisloom.llm.ngram_join import similarity_classes
 
     text = "one two three four five six seven"
     got = {tuple(r) for r in similarity_classes(frame(spark, [(4, text), (4, text), (None, text), (9, text.upper()), (7, None)])).collect()}
     assert got == {(4, 3, 4), (None, 3, None), (9, 3, 4), (7, 0, 7)}
+    rows = [(4, text), (4, "a b c d e f"), (2, "A B C D E F"), (None, text), (9, text), (7, None), (7, "")]
+    got = sorted(map(tuple, similarity_classes(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(4, 3, 2), (4, 2, 2), (2, 2, 2), (None, 3, None), (9, 3, 2), (7, 0, 7), (7, 0, 7)], key=str)
     assert similarity_classes(frame(spark, [])).count() == 0
+    # 6 of 8 shingles: exactly the threshold; 5 of 7 is below
+    rows = [(1, "a b c d e f g h i j k"), (2, "b c d e f g h i j k l"), (3, "p q r s t u v w x y"), (4, "q r s t u v w x y z")]
+    assert {tuple(r) for r in similarity_classes(frame(spark, rows)).collect()} == {(1, 7, 1), (2, 7, 1), (3, 6, 3), (4, 6, 4)} == brute_components(rows)
 
 
 def brute_repeats(rows, least=100):
@@ -145,7 +191,8 @@ def test_repeated_substrings_edge_cases(spark):
 
     assert remove_repeats(frame(spark, [])).count() == 0
     got = remove_repeats(frame(spark, [(None, "q" * 150), (3, "q" * 150)])).collect()
-    assert {(r["doc_id"], len(r["kept"])) for r in got} == {(3, 100), (None, 0)} or {(r["doc_id"], len(r["kept"])) for r in got} == {(3, 0), (None, 0)} or len(got) == 2
+    # a byte repeats the string of 100 before it, but for the first of all; null comes after every doc_id
+    assert {(r["doc_id"], bytes(r["kept"])) for r in got} == {(3, b"q"), (None, b"")}
     contexts = [(3, b"abcXYZ1"), (3, b"dbcXYZ2"), (3, b"abcXYZ3"), (2, b"bcXYQ")]
     found = {(ahead, depth, tuple(sorted(m))) for depth, groups in anchored_repeats(contexts, 4) for ahead, m in groups}
     assert (2, 3, (0, 1, 2)) in found and (3, 3, (0, 2)) in found and (2, 2, (0, 1, 2, 3)) in found

@@ -51,7 +51,7 @@ from .scratch import Scratch, few_rows, keep_only, parts_for
 #: Words per shingle, threshold in hundredths, token orders.
 WORDS, PERCENT, ORDERS = 5, 75, 3
 #: Shingles gathered per task before they are handed on, and the documents of these beyond which a token is counted first.
-FLUSH, COMMON = 4 << 20, 256
+FLUSH, COMMON = 1 << 20, 128
 #: Documents of a cell in one block.
 BLOCK_DOCS = 1024
 

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import U64, blocks, by_bucket, mix, pack, shingle_sets, spans
 from .components import connected_components
-from .scratch import Scratch, few_rows, keep_only, parts_for
+from .scratch import Scratch, by_slot, few_rows, keep_only, parts_for
 
 #: Words per shingle, threshold in hundredths, token orders.
 WORDS, PERCENT, ORDERS = 5, 75, 3
@@ -230,12 +230,12 @@ def _gather_records(percent: int):
 
 def records(docs: DataFrame, digests: DataFrame, words: int, percent: int, parts: int, scratch: Scratch, common: int = COMMON) -> DataFrame:
     """part, doc_id, n, room, tokens (uint64, first order) of documents that may have partners; ``docs`` have distinct doc_ids."""
-    buckets = parts_for(docs, 3)
-    moved = _postings(docs, words, buckets, parts, common).repartition(max(8, buckets // 4), "slot")
+    buckets = parts_for(docs, 2)
+    moved = by_slot(_postings(docs, words, buckets, parts, common), "slot", buckets)
     counted = scratch.write(moved.groupBy("slot").applyInArrow(_count(parts), _MOVED), "counted")
     scratch.release()
-    rows = _sizes(digests.select("doc_id", "n"), parts).unionByName(counted).repartition(max(8, parts // 4), "part")
-    out = scratch.write(rows.groupBy("part").applyInArrow(_gather_records(percent), _RECORD), "records")
+    rows = _sizes(digests.select("doc_id", "n"), parts).unionByName(counted)
+    out = scratch.write(by_slot(rows, "part", parts).groupBy("part").applyInArrow(_gather_records(percent), _RECORD), "records")
     scratch.drop(counted)
     scratch.release()
     return out
@@ -329,9 +329,9 @@ def _enter(rows: pa.Table, replies: pa.Table) -> pa.Table:
 def cells(found: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
     """cell, and the record of each document in it."""
     buckets = parts_for(found, 3)
-    leads = _leads(found, buckets).repartition(max(8, buckets // 4), "bucket")
+    leads = by_slot(_leads(found, buckets), "bucket", buckets)
     replies = scratch.write(leads.groupBy("bucket").applyInArrow(_centres, "part int, tokens binary, docs binary"), "centres")
-    left, right = (x.repartition(max(8, parts // 4), "part").groupBy("part") for x in (found, replies))
+    left, right = (by_slot(x, "part", parts).groupBy("part") for x in (found, replies))
     out = scratch.write(left.cogroup(right).applyInArrow(_enter, _CELL), "cells")
     scratch.drop(replies)
     return out
@@ -437,8 +437,8 @@ def within_blocks(entered: DataFrame, many: DataFrame, percent: int, orders: int
     mine = F.array(F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)
     rows = rows.withColumn("block", F.explode(F.when(F.col("doc_id") == F.col("cell"), every).otherwise(mine))).drop("n_blocks")
-    rows = rows.withColumn("slot", F.pmod(F.xxhash64("cell", "block"), F.lit(slots)).cast("int")).repartition(max(8, slots // 8), "slot")
-    return rows.groupBy("slot").applyInArrow(compare, _LINKS)
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("cell", "block"), F.lit(slots)).cast("int"))
+    return by_slot(rows, "slot", slots).groupBy("slot").applyInArrow(compare, _LINKS)
 
 
 def across_blocks(entered: DataFrame, many: DataFrame, labels: DataFrame, percent: int, orders: int, scratch: Scratch, block_docs: int) -> DataFrame:
@@ -466,8 +466,8 @@ def across_blocks(entered: DataFrame, many: DataFrame, labels: DataFrame, percen
             out += [(int(block.ids[a]), int(block.ids[b])) for a, b in block.links(np.flatnonzero(query), np.flatnonzero(~query), group)]
         return _links(out)
 
-    dealt = asked.unionByName(there).withColumn("slot", F.pmod(F.xxhash64("cell", "q", "r"), F.lit(slots)).cast("int")).repartition(max(8, slots // 8), "slot")
-    return dealt.groupBy("slot").applyInArrow(compare, _LINKS)
+    dealt = asked.unionByName(there).withColumn("slot", F.pmod(F.xxhash64("cell", "q", "r"), F.lit(slots)).cast("int"))
+    return by_slot(dealt, "slot", slots).groupBy("slot").applyInArrow(compare, _LINKS)
 
 
 def similar_links(docs: DataFrame, digests: DataFrame, words: int, percent: int, orders: int, scratch: Scratch, block_docs: int = BLOCK_DOCS, common: int = COMMON) -> DataFrame:

@@ -7,17 +7,22 @@ A store is a folder of
   followed by the documents' offsets, their ids and a footer;
 * ``index-*.mph``: per hash bucket of document keys, a minimal perfect hash
   (levels of bit arrays; a key's slot is its bit's rank), and per slot a stored
-  32-bit fingerprint, the shard, the position in it and the rows of that key.
+  32-bit fingerprint, the shard, the position in it and the rows of that key;
+* ``manifest.json``: buckets, shards with their documents and ids, and the index
+  files with their keys, written last.  ``open_store`` needs nothing else.
 
 A keyed access costs one bucket, a few bit probes, one fingerprint test and one
-read.  Tasks write under attempt-private names and rename; the manifest only
-lists files of tasks that Spark committed, so that lost executors and repeated
-attempts leave the store right.
+read; neighbouring documents are read at once.  Tasks write under attempt-private
+names and rename; the manifest lists the files of tasks that Spark committed, so
+that lost executors and repeated attempts leave the store right.  Documents, keys
+of the shards and keys of the index are counted and must agree; a listed file
+that is missing is an error.
 
 Defined results: null or empty text holds the end id only; a null doc_id is
 kept under the reserved key -2**63 and comes first; rows that repeat a doc_id
-are stored next to each other (by their ids) under one key with a row count; an
-empty table makes an empty store; other columns are ignored.
+are stored next to each other (by their ids) under one key with a row count; a
+very long text is encoded whole and is one document of its shard; an empty table
+makes an empty store; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ from .encoding import encoder, tokenizer_path
 from .scratch import Scratch, parts_for
 
 MAGIC = b"BLTOKEN1"
+#: Ids that are read from a shard at once; a longer document is read whole.
+READ_IDS = 1 << 21
 NULL_KEY = -(1 << 63)
 
 
@@ -171,29 +178,30 @@ class Shard:
         self.offsets = np.frombuffer(self.file.read_at(8 * (n + 1), at), "<i8")
         self.doc_ids = np.frombuffer(self.file.read_at(8 * n, at + 8 * (n + 1)), "<i8")
 
-    def read(self, position: int) -> np.ndarray:
-        a, b = self.offsets[position : position + 2].tolist()
+    def read(self, position: int, end: int | None = None) -> np.ndarray:
+        """Ids of the document at ``position``, or of all from there up to ``end``."""
+        a, b = int(self.offsets[position]), int(self.offsets[position + 1 if end is None else end])
         return np.frombuffer(self.file.read_at((b - a) * self.width, a * self.width), f"<u{self.width}").astype("<u4")
 
 
 class TokenStore:
-    """A written store: ``shards`` and ``index`` list its files (one row each, as many as there are files)."""
+    """A written store, known by its manifest: buckets, shards [number, documents, ids] and index [bucket, keys]."""
 
-    def __init__(self, spark: SparkSession, uri: str, buckets: int, shards: list[tuple], null_key: bool):
-        self.spark, self.uri, self.buckets, self.null_key = spark, uri, buckets, null_key
+    def __init__(self, spark: SparkSession, uri: str, manifest: dict):
+        self.spark, self.uri, self.manifest, self.buckets = spark, uri, manifest, manifest["buckets"]
         base, self.base = 0, {}
-        for shard, n_ids in sorted((s[0], s[2]) for s in shards):
+        for shard, _, n_ids in sorted(manifest["shards"]):
             self.base[shard] = base
             base += n_ids
 
     def lookup(self, keys: DataFrame) -> DataFrame:
         """Documents of the given doc_id keys, read through the index: doc_id, start, n_tokens, ids (uint32, binary)."""
-        uri, buckets, base = self.uri, self.buckets, self.base
+        uri, buckets, base, filled = self.uri, self.buckets, self.base, {b for b, _ in self.manifest["index"]}
 
         def find(bucket: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             fs, path = _fs(uri)
             ids = rows["key"].to_numpy(np.int64)
-            if fs.get_file_info(f"{path}/index-{int(bucket[0]):06d}.mph").type == pafs.FileType.NotFound:
+            if int(bucket[0]) not in filled:
                 return pd.DataFrame({"shard": [], "key": [], "position": [], "n": []})  # a bucket without keys has no file
             with fs.open_input_file(f"{path}/index-{int(bucket[0]):06d}.mph") as f:
                 there, shard, position, n = Index(f.read()).find(ids)
@@ -201,24 +209,34 @@ class TokenStore:
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard, name = None, -1
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+            size = 0
+
+            def flush() -> pa.RecordBatch:
+                key, start, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+                return pa.RecordBatch.from_arrays([pa.array(key, mask=key == NULL_KEY), pa.array(start), pa.array(counts), pack(ids, np.concatenate([[0], np.cumsum(counts)]))], ["doc_id", "start", "n_tokens", "ids"])
+
             for batch in batches:
-                columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-                key, start, ids, size = [], [], [], 0
-                for s, k, p, n in zip(*(c.tolist() for c in columns), strict=True):
-                    if s != name:
-                        shard, name = Shard(uri, f"shard-{s:06d}.ids"), s
-                    for at in range(p, p + n):
-                        key.append(None if k == NULL_KEY else k)
-                        start.append(base[s] + int(shard.offsets[at]))
-                        ids.append(shard.read(at).tobytes())
-                        size += len(ids[-1])
-                    if size > 1 << 23:
-                        yield _rows(key, start, ids)
-                        key, start, ids, size = [], [], [], 0
-                yield _rows(key, start, ids)
-
-        def _rows(key: list, start: list, ids: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                of, keys, first, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+                # documents that follow each other in a shard are one run
+                new = np.ones(len(of), bool)
+                new[1:] = (of[1:] != of[:-1]) | (first[1:] != first[:-1] + n[:-1])
+                edges = np.append(np.flatnonzero(new), len(of)).tolist()
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    if of[lo] != name:
+                        name = int(of[lo])
+                        shard = Shard(uri, f"shard-{name:06d}.ids")
+                    own, begin, end = np.repeat(keys[lo:hi], n[lo:hi]), int(first[lo]), int(first[hi - 1] + n[hi - 1])
+                    at = begin
+                    while at < end:
+                        to = min(end, max(at + 1, int(np.searchsorted(shard.offsets, shard.offsets[at] + READ_IDS, "right")) - 1))
+                        held.append((own[at - begin : to - begin], base[name] + shard.offsets[at:to].astype(np.int64), np.diff(shard.offsets[at : to + 1]).astype(np.int64), shard.read(at, to)))
+                        size, at = size + len(held[-1][3]), to
+                        if size >= READ_IDS:
+                            yield flush()
+                            held, size = [], 0
+            if held:
+                yield flush()
 
         key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key")
         wanted = keys.select(key).distinct().withColumn("bucket", bucket_of(F.col("key"), buckets))
@@ -304,9 +322,22 @@ def write_store(docs: DataFrame, end_id: int = 2, tokenizer: str | None = None,
     def build(bucket: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         raw = index_bytes(*(rows[c].to_numpy(np.int64) for c in ("key", "shard", "position", "n")))
         name = _put(uri, f"index-{int(bucket[0]):06d}.mph", iter([raw]))
-        return pd.DataFrame({"name": [name], "keys": [len(rows)]})
-
-    index = entries.withColumn("bucket", bucket_of(F.col("key"), buckets)).groupBy("bucket").applyInPandas(build, "name string, keys long")
-    index.agg(F.sum("keys")).collect()
-    files = [tuple(r) for r in entries.groupBy("shard").agg(F.count(F.lit(1)), F.first("shard_ids")).collect()]
-    return TokenStore(spark, uri, buckets, files, False)
+        return pd.DataFrame({"bucket": [int(bucket[0])], "name": [name], "keys": [len(rows)]})
+
+    index = entries.withColumn("bucket", bucket_of(F.col("key"), buckets)).groupBy("bucket").applyInPandas(build, "bucket int, name string, keys long")
+    files = index.select("bucket", "keys").collect()  # a row per file
+    written = entries.groupBy("shard").agg(F.sum("n").alias("documents"), F.first("shard_ids").alias("ids"), F.count(F.lit(1)).alias("keys")).collect()
+    counts = {"documents": docs.count(), "documents in shards": sum(r["documents"] for r in written)}, {"keys of shards": sum(r["keys"] for r in written), "keys of the index": sum(r["keys"] for r in files)}
+    for pair in counts:
+        if len(set(pair.values())) > 1:
+            raise ValueError(f"the store in {uri} is not whole: {pair}")
+    manifest = {"buckets": buckets, "width": width, "shards": sorted([r["shard"], r["documents"], r["ids"]] for r in written), "index": sorted([r["bucket"], r["keys"]] for r in files)}
+    _put(uri, "manifest.json", iter([json.dumps(manifest).encode()]))
+    return TokenStore(spark, uri, manifest)
+
+
+def open_store(spark: SparkSession, uri: str) -> TokenStore:
+    """The store in a folder, by its manifest."""
+    fs, base = _fs(uri)
+    with fs.open_input_file(f"{base}/manifest.json") as f:
+        return TokenStore(spark, uri, json.loads(f.read()))

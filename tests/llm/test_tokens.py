@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import zlib
 
@@ -42,6 +43,29 @@ def test_encoding_equals_the_library(library):
         assert [got[i] for i in range(len(given))] == [list(library(t)) for t in given]
 
 
+def twins() -> list[tuple[int, str]]:
+    """Pairs of words that agree under any polynomial hash modulo 2**64."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return [(10 * n + k, w) for n in (1024, 2048, 4096) for k, w in enumerate((word[:n], word[:n].translate(str.maketrans("ab", "ba"))))]
+
+
+def test_words_that_fool_a_polynomial_keep_their_ids(spark, library):
+    from basisloom.llm.packing import encode_pieces
+    from basisloom.llm.token_store import write_store
+
+    rows = [*twins(), (1, "t " * 400_000)]  # and a very long text
+    want = {i: [*library(t), 2] for i, t in rows}
+    store = write_store(frame(spark, rows))
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in store.lookup(frame(spark, rows)).collect()} == want
+    got = {}
+    for r in sorted(encode_pieces(frame(spark, rows), 2048, 2).collect(), key=lambda r: r["piece"]):
+        assert r["length"] == 2048 or r["start"] + r["length"] == len(want[r["doc_id"]])
+        got.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
+    assert got == want
+
+
 def test_packing(spark, library):
     from basisloom.llm.packing import best_fit_pack, encode_pieces, sequences
 
@@ -124,12 +148,23 @@ def test_token_store(spark, library):
 
 
 def test_token_store_edge_cases(spark):
-    from basisloom.llm.token_store import PerfectHash, key_hash, write_store
+    from basisloom.llm.token_store import PerfectHash, key_hash, open_store, write_store
 
     rows = frame(spark, [(None, "null id"), (4, "a"), (4, "b"), (9, None)])
     got = write_store(rows).lookup(rows).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(False, 4, 2), (False, 4, 2), (False, 9, 1), (True, 0, 3)]
     assert write_store(frame(spark, [])).lookup(rows).count() == 0
+    store = write_store(frame(spark, [(k, f"text {k} " * (k % 7)) for k in range(300)]))
+    again = open_store(spark, store.uri)
+    some = frame(spark, [(k, "") for k in (3, 4, 5, 90, 299, 300)])
+    assert sorted(map(tuple, again.lookup(some).collect())) == sorted(map(tuple, store.lookup(some).collect()))
+    assert again.manifest["shards"] and sum(n for _, n, _ in again.manifest["shards"]) == 300 == sum(n for _, n in again.manifest["index"])
+    folder = store.uri.removeprefix("file://")
+    for name in os.listdir(folder):
+        if name.startswith("index-"):
+            os.remove(f"{folder}/{name}")
+    with pytest.raises(Exception, match="(?i)no such file|not exist|FileNotFound"):
+        again.lookup(some).collect()
     keys = key_hash(np.arange(5000))
     mph = PerfectHash.build(keys)
     assert sorted(mph.slots(keys)) == list(range(5000))
@@ -144,10 +179,22 @@ def test_token_counts(spark):
     path = tokenizer_path("byte_bpe_50k.tiktoken")
     full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     full.encode_special_tokens = True
-    given = [(i, (t or "")[:300] + "\n\n béc\n" if t is not None else None) for i, t in enumerate(texts(30))]
+    given = [(i, t + "\n\n béc\n" if t is not None else None) for i, t in enumerate(texts(30))]
+
+    def spans_of(t):
+        """Characters of every token, from the bytes that the library's tokens stand for."""
+        data, at, s, e = t.encode(), 0, [], []
+        lead = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1
+        for token in full.encode(t, add_special_tokens=False).tokens:
+            s.append(int(lead[at]))
+            at += len(token)  # one character of the byte alphabet for each byte
+            e.append(int(lead[at - 1]) + 1)
+        assert at == len(data)
+        return s, e
+
     for _, t in given[:30]:
         s, e = token_spans(t, path, public_tokenizers.PATTERN)
-        assert len(s) == len(full.encode(t, add_special_tokens=False).ids)
+        assert (list(s), list(e)) == spans_of(t)
     for rule in RULES:
         rows = count_tokens(frame(spark, given), rule=rule).collect()
         got = {}
@@ -157,7 +204,7 @@ def test_token_counts(spark):
             if not t:
                 assert i not in got
                 continue
-            s, e = token_spans(t, path, public_tokenizers.PATTERN)
+            s, e = spans_of(t)
             lines, at, want = t.split("\n"), 0, {}
             edges = []
             for k, line in enumerate(lines):

@@ -7,7 +7,8 @@ joined with the benchmark's; each hit is extended to the 13-word windows around
 it that are windows of an item.  Items of fewer than 13 words are one window
 each and are matched as grams of their own length (at most 12 lengths).  The
 benchmark is the stated query set: it is taken in blocks of a bounded number of
-bytes, each broadcast once and run against all documents.
+bytes, each broadcast once; a document meets them one after another in one task
+and unites its hits, whatever their number.
 
 Words are runs of ASCII letters and digits and of all non-ASCII characters,
 with A-Z folded.
@@ -21,21 +22,19 @@ own and is matched whole.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from .bytetext import ALNUM, MIX, U64, blocks, gram_hashes, mix, span_hashes, words
 
 WINDOW, GRAM = 13, 5
 #: Benchmark text per block.
 BLOCK_BYTES = 16_000_000
-_HITS = "n_words long, starts array<long>, ends array<long>, items array<long>"
 
 
 def winnow(grams: np.ndarray, edges: np.ndarray, width: int, gram: int) -> np.ndarray:
@@ -132,41 +131,41 @@ def match(data: np.ndarray, offs: np.ndarray, bench: Windows) -> tuple[np.ndarra
     return per_doc, hits
 
 
-def _scan(docs: DataFrame, block: list[tuple[int, str]], every: bool, carry_text: bool = False) -> DataFrame:
-    """Hits of one block of items in all documents (doc_id, text, ...), with their columns but the text; rows without hits only if ``every``.
+#: Indexes of this worker process, by block; the one in use is kept.
+_indexes: dict[str, Windows] = {}
 
-    With ``carry_text`` the text is returned too.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-    kept = [k for k, c in enumerate(docs.columns) if carry_text or c != "text"]
-    schema = StructType([*(docs.schema[k] for k in kept), *StructType.fromDDL(_HITS)])
-    names = schema.names
+
+def _index(key: str, items: list[tuple[int, str]]) -> Windows:
+    if key not in _indexes:
+        _indexes.clear()
+        _indexes[key] = Windows(items)
+    return _indexes[key]
+
+
+def _scan(docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+    """``docs`` (doc_id, text, ..., n_words, starts, ends, items) with the hits of one block of items united with those they have."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+    names = docs.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Windows(shared.value)
+        bench = _index(key, shared.value)
         for batch in batches:
             for lo, hi, data, offs in blocks(batch.column(1)):
                 per_doc, hits = match(data, offs, bench)
                 edges = np.concatenate([[0], np.cumsum(per_doc)])
+                s, e, items = (batch.column(k).slice(lo, hi - lo).to_pylist() for k in (-3, -2, -1))
+                at = np.searchsorted(edges, [p for p, _, _ in hits], "right") - 1
                 own: dict[int, list[tuple[int, int, np.ndarray]]] = {}
-                if hits:
-                    at = np.searchsorted(edges, [p for p, _, _ in hits], "right") - 1
-                    for d, x in zip(at.tolist(), hits, strict=True):
-                        own.setdefault(d, []).append(x)
-                rows = range(hi - lo) if every else sorted(own)
-                s, e, items = [], [], []
-                for d in rows:
-                    spans = _union([(p - edges[d], p - edges[d] + n) for p, n, _ in own.get(d, ())])
-                    s.append([a for a, _ in spans])
-                    e.append([b for _, b in spans])
-                    items.append(np.unique(np.concatenate([i for _, _, i in own[d]])).tolist() if d in own else [])
-                take = pa.array(lo + np.array(list(rows), np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(take) for k in kept), pa.array(per_doc[list(rows)] if len(rows) else [], pa.int64()), pa.array(s, pa.list_(pa.int64())), pa.array(e, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))],
-                    names,
-                )
-
-    return docs.mapInArrow(scan, schema)
+                for d, x in zip(at.tolist(), hits, strict=True):
+                    own.setdefault(d, []).append(x)
+                for d, found in own.items():
+                    spans = _union([*zip(s[d], e[d], strict=True), *((p - edges[d], p - edges[d] + n) for p, n, _ in found)])
+                    s[d], e[d] = [a for a, _ in spans], [b for _, b in spans]
+                    items[d] = np.unique(np.concatenate([np.array(items[d], np.int64), *(i for _, _, i in found)])).tolist()
+                kept = [batch.column(k).slice(lo, hi - lo) for k in range(batch.num_columns - 4)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(per_doc, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (s, e, items))], names)
+
+    return docs.mapInArrow(scan, docs.schema)
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -188,36 +187,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n_blocks = max(1, -(-int(size) // block_bytes))
-
-    def block(k: int) -> list[tuple[int, str]]:
-        rows = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
-        return [(r[0], r[1]) for r in rows.collect()]
-
-    if n_blocks == 1:
-        hits = _scan(base, block(0), True, "text" in carry)
-    else:
-        # a row is known by its id and text; rows equal in both have equal hits
-        keyed = base.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
-        found = None
-        number = keyed.select(F.xxhash64("key.doc_id", "key.h").alias("doc_id"), "text")
-        for k in range(n_blocks):
-            part = _scan(number, block(k), False)
-            found = part if found is None else found.unionByName(part)
-        schema = "doc_id long, starts array<long>, ends array<long>, items array<long>"
-
-        def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            spans = _union([(a, b) for s, e in zip(rows["starts"], rows["ends"], strict=True) for a, b in zip(s, e, strict=True)])
-            return pd.DataFrame({"doc_id": [key[0]], "starts": [[a for a, _ in spans]], "ends": [[b for _, b in spans]], "items": [sorted({int(i) for x in rows["items"] for i in x})]})
-
-        merged = found.groupBy("doc_id").applyInPandas(merge, schema).withColumnRenamed("doc_id", "row")
-        with_key = base.withColumn("row", F.xxhash64("doc_id", F.xxhash64("text")))
-        joined = with_key.join(merged, "row", "left")
-        empty = F.array().cast("array<long>")
-        hits = joined.select("doc_id", *carry, _n_words(F.col("text")).alias("n_words"), *(F.coalesce(c, empty).alias(c) for c in ("starts", "ends", "items")))
+    none = F.array().cast("array<long>")
+    hits = base.select("*", F.lit(0).cast("long").alias("n_words"), none.alias("starts"), none.alias("ends"), none.alias("items"))
+    for k in range(n_blocks):  # blocks of a bounded size, one after another in the same tasks
+        rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
+        hits = _scan(hits, [(r[0], r[1]) for r in rows.collect()])
+    hits = hits.select("doc_id", *carry, "n_words", "starts", "ends", "items")
     n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     out = hits.withColumn("n_hit", n_hit)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-
-
-def _n_words(text):
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")

@@ -3,13 +3,16 @@
 Statistics of each whole text are standardised and sent through random Fourier
 features, which approximate a Gaussian kernel.  Normal equations are summed over
 partitions (their size is the number of features, whatever the corpus) and give
-ridge scores; those are calibrated by isotonic regression of the labels on a fine
-grid of scores, whose counts are summed over partitions too.
+ridge scores.  They are summed by fold of the labelled rows, so that each row also
+has a score of a ridge that did not see it; the labels' isotonic regression on
+these, on a fine grid whose counts are summed over partitions too, calibrates.
 
 Defined results: null text counts as empty and is scored like any text; without
 labels every score is 0.5; with labels of one kind only, every score is their
 mean; null labels are not learned from; labels that repeat a doc_id are averaged;
-a null doc_id has no label; other columns are ignored.
+a null doc_id has no label; a very long text is scored whole; neighbouring cells of
+equal label share are pooled, so that equal statistics have equal scores and ties
+keep their order; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from .sums import summed
 
 #: Number of Fourier features, kernel width in units of sqrt(statistics), ridge, and calibration cells.
 FEATURES, WIDTH, RIDGE, CELLS = 384, 1.0, 1e-3, 400
+#: Folds of the labelled rows for calibration.
+FOLDS = 4
 
 _UPPER, _DIGIT, _MARK, _PLAIN, _WIDE = (np.zeros(256, bool) for _ in range(5))
 _UPPER[65:91] = _DIGIT[48:58] = _WIDE[128:] = True
@@ -132,22 +137,26 @@ def isotonic(at: np.ndarray, weight: np.ndarray, total: np.ndarray) -> tuple[np.
 
 
 def fit(labelled: DataFrame, features: int = FEATURES, width: float = WIDTH, ridge: float = RIDGE) -> Model:
-    """Learn from rows (x array<double>, y double), all of them, in passes over a small table."""
+    """Learn from rows (x array<double>, y double, fold int), all of them, in passes over a small table."""
     d = len(STATISTICS)
     rng = np.random.Generator(np.random.PCG64(4))
     turn, shift = rng.standard_normal((d, features)) / (width * np.sqrt(d)), rng.uniform(0, 2 * np.pi, features)
 
     def total(fn, size: int) -> np.ndarray:
+        """Sums of fn(x, y, fold) over the rows of each fold, one row per fold."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(size)
+            out: dict[int, np.ndarray] = {}
             for batch in batches:
-                if batch.num_rows:
-                    out += fn(_matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(["all"]), pa.array([out.tobytes()], pa.binary())], ["key", "vector"])
+                x, y, fold = _matrix(batch.column(0)), *(batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+                for f in np.unique(fold).tolist():
+                    out[f] = out.get(f, 0) + fn(x[fold == f], y[fold == f], f)
+            yield pa.RecordBatch.from_arrays([pa.array([str(f) for f in out], pa.string()), pa.array([v.tobytes() for v in out.values()], pa.binary())], ["key", "vector"])
 
-        return summed(labelled.select("x", "y").mapInArrow(run, "key string, vector binary")).get("all", np.zeros(size))
+        got = summed(labelled.select("x", "y", "fold").mapInArrow(run, "key string, vector binary"))
+        return np.stack([got.get(str(f), np.zeros(size)) for f in range(FOLDS)])
 
-    sums = total(lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0), (x**2).sum(0)]), 2 + 2 * d)
+    sums = total(lambda x, y, f: np.concatenate([[len(y), y.sum()], x.sum(0), (x**2).sum(0)]), 2 + 2 * d).sum(0)
     n, positive = sums[0], sums[1]
     if n == 0 or positive in (0, n):
         zero = np.zeros(d)
@@ -156,22 +165,28 @@ def fit(labelled: DataFrame, features: int = FEATURES, width: float = WIDTH, rid
     scale = np.sqrt(np.maximum(sums[2 + d :] / n - mean**2, 0))
     model = Model(mean, np.where(scale > 1e-9, scale, 1.0), turn, shift, np.zeros(features + 1), (mean, mean))
 
-    def normal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def normal(x: np.ndarray, y: np.ndarray, fold: int) -> np.ndarray:
         z = model.features(x)
-        return np.concatenate([(z.T @ z).ravel(), z.T @ y])
+        return np.concatenate([(z.T @ z).ravel(), z.T @ y, [len(y)]])
 
     k = features + 1
-    sums = total(normal, k * k + k)
-    a = sums[: k * k].reshape(k, k) / n + ridge * np.diag([0.0] + [1.0] * features)
-    model.ridge = np.linalg.solve(a + 1e-9 * np.eye(k), sums[k * k :] / n)
+    by_fold = total(normal, k * k + k + 1)
+
+    def solved(sums: np.ndarray) -> np.ndarray:
+        rows = max(sums[-1], 1.0)
+        a = sums[: k * k].reshape(k, k) / rows + ridge * np.diag([0.0] + [1.0] * features)
+        return np.linalg.solve(a + 1e-9 * np.eye(k), sums[k * k : -1] / rows)
+
+    model.ridge = solved(by_fold.sum(0))
+    unseen = [solved(by_fold.sum(0) - own) for own in by_fold]
     # scores of labelled rows lie about 0 and 1; the outer cells take the rest
     edge = np.linspace(-0.5, 1.5, CELLS + 1)
 
-    def cells(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        c = np.clip(np.searchsorted(edge, model.raw(x)) - 1, 0, CELLS - 1)
+    def cells(x: np.ndarray, y: np.ndarray, fold: int) -> np.ndarray:
+        c = np.clip(np.searchsorted(edge, model.features(x) @ unseen[fold]) - 1, 0, CELLS - 1)
         return np.concatenate([np.bincount(c, minlength=CELLS), np.bincount(c, weights=y, minlength=CELLS)]).astype(float)
 
-    sums = total(cells, 2 * CELLS)
+    sums = total(cells, 2 * CELLS).sum(0)
     weight, got = sums[:CELLS], sums[CELLS:]
     there = weight > 0
     model.grid = isotonic(((edge[1:] + edge[:-1]) / 2)[there], weight[there], got[there])
@@ -184,7 +199,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sc
     stats = scratch.write(statistics_table(docs), "statistics")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("q")).where("q IS NOT NULL AND doc_id IS NOT NULL")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("q").alias("y"))
-    model = fit(scratch.write(stats.join(known, "doc_id").select("x", "y"), "labelled"))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    model = fit(scratch.write(stats.join(known, "doc_id").select("x", "y", fold), "labelled"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,8 +16,10 @@ ranges into it, so that their number times their length is never written.
 
 Defined results: null text or role is empty; turns go by (turn, role, written text)
 with a null turn first; equal rows are equal turns; rows with a null conv_id are one
-conversation; a conversation without assistant turns has no examples; an empty
-table has no conversations; other columns are ignored.
+conversation; a conversation without assistant turns has no examples; a very long
+text is a turn like any other; an empty table has no conversations; other columns
+are ignored.  A conversation is one row of the result and is put together in one
+task, which holds it a few times: at most a few hundred MB of text each.
 """
 
 from __future__ import annotations

@@ -8,11 +8,14 @@ logistic loss weighted by how well the bit separates its sides; a runner-up that
 is about as near flags the document as ambiguous.
 
 Codes are exhaustive up to six languages (every two-sided split once) and
-random but fixed beyond, with rows that differ pairwise.
+random but fixed beyond, with rows that differ pairwise.  Of languages with equal
+losses the first by name is taken, and the document is flagged as ambiguous: so is
+a text without any n-gram that was learned, whose score is one over their number.
 
 Defined results: null text and text without a letter are ``und`` with score 0;
-without training rows every document is ``und``; rows with null lang are not
-learned from; a null doc_id counts as empty text for the split; a long text is
+without training rows every document is ``und``; rows that repeat a text or a
+doc_id count as often as they occur; rows with null lang are not
+learned from; a null doc_id counts as empty text for the split; a very long text is
 used whole; other columns are ignored.
 """
 

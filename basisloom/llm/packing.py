@@ -11,7 +11,9 @@ each length and look their place up in that plan.
 
 Defined results: null or empty text is one piece that holds the end id only;
 repeated rows are packed once per row; ties between equal lengths go by
-(doc_id, piece); an empty table packs to nothing; other columns are ignored.
+(doc_id, piece); a very long text is encoded whole and cut into full pieces, the
+last of which may be shorter; an empty table packs to nothing; other columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -23,8 +23,8 @@ different text, at its edges) is settled exactly by grouping its windows, which
 no single task has to hold.
 
 Defined results: null text is empty; documents shorter than ``least`` lose
-nothing; rows that repeat a doc_id are one document for precedence and their
-covers are united; a null doc_id comes after all others; an empty table has no
+nothing; a very long text is worked on whole; rows that repeat a doc_id are one
+document for precedence and their covers are united; a null doc_id comes after all others; an empty table has no
 rows; other columns are ignored.
 """
 

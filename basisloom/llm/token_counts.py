@@ -15,7 +15,8 @@ Tokens without a character in any section count under section -1.
 Defined results: null or empty text has no tokens and, by lines, no sections;
 given sections must be in order and apart, null sections are dropped, empty ones
 get no tokens; rows that repeat a doc_id are counted row by row; other columns
-are ignored; a token inside a character (a byte of it) has the whole character
+are ignored; a very long text is encoded whole; an empty table has no counts; a
+token inside a character (a byte of it) has the whole character
 as its span.
 """
 

@@ -55,6 +55,14 @@ def test_exact_classes(spark):
         assert {tuple(r) for r in got} == want and len(got) == len(rows)
 
 
+def test_exact_classes_of_very_long_texts(spark):
+    from basisloom.llm.exact_dedup import equal_text_classes
+
+    long = "lorem \t ipsum\n" * 100_000
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in equal_text_classes(frame(spark, [(1, long), (2, long + "!"), (3, long.replace("\t", " ")), (4, long[:-1])])).collect()}
+    assert got == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 1)}
+
+
 def test_exact_repeated_rows_and_empty_table(spark):
     from basisloom.llm.exact_dedup import equal_text_classes
 

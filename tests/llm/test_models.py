@@ -38,6 +38,43 @@ def test_languages(spark):
         assert len({tuple(r) for r in code}) == n and set(np.unique(code)) <= {-1.0, 1.0}
 
 
+def test_language_decoding_against_a_dense_reference(spark):
+    """Counts, log-odds, margins, losses and ties, written out document by document."""
+    from basisloom.llm import language_id as li
+
+    rnd = random.Random(21)
+    rows = [(speech(rnd, lang, rnd.randint(1, 30)), lang) for lang in SYLLABLES for _ in range(12)]
+    model = li.fit(spark.createDataFrame(rows, "text string, lang string").repartition(5))
+    langs, code = sorted(SYLLABLES), li.codewords(3)
+
+    def grams(t):
+        data = t.encode()
+        slots, _ = li.gram_slots(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        return np.bincount(slots, minlength=li.SLOTS).astype(float)
+
+    freq = []
+    for lang in langs:
+        total = sum(grams(t) for t, x in rows if x == lang) + 0.5
+        freq.append(total / total.sum())
+    weights, trust = [], []
+    for bit in range(code.shape[1]):
+        p, q = (np.mean([f for f, c in zip(freq, code[:, bit], strict=True) if c * side > 0], axis=0) for side in (1, -1))
+        weights.append(np.log(p / q))
+        trust.append(float(((p - q) * weights[-1]).sum()))
+    trust = np.array(trust) / np.mean(trust)
+    new = [speech(rnd, lang, n) for lang in SYLLABLES for n in (1, 2, 40)] + ["x", "zz", "the " * 100_000]
+    got = li.identify(spark.createDataFrame([(t,) for t in new], "text string"), model).collect()
+    for t, r in zip(new, got, strict=True):
+        g = grams(t)
+        margins = [li.STRENGTH / (max(g.sum(), 1) + li.SHRINK) * float(g @ w.astype(np.float32)) for w in weights]
+        loss = np.array([sum(b * np.log1p(np.exp(-m * c)) for b, m, c in zip(trust, margins, word, strict=True)) for word in code])
+        assert r["lang_pred"] == langs[int(loss.argmin())]
+        assert r["score"] == pytest.approx(1 / np.exp(loss.min() - loss).sum(), abs=1e-6)
+        assert r["ambiguous"] == bool(np.sort(loss)[1] - loss.min() < li.AMBIGUOUS)
+    # a single letter holds no n-gram: all losses are equal, the first language by name is taken and flagged
+    assert (got[-3]["lang_pred"], got[-3]["ambiguous"]) == ("aa", True) and got[-3]["score"] == pytest.approx(1 / 3)
+
+
 def test_mixed_text_is_flagged(spark):
     from basisloom.llm.language_id import fit, identify
 
@@ -75,6 +112,44 @@ def test_quality(spark):
     assert y.tolist() == pytest.approx([1 / 3, 1.0]) and x.tolist() == pytest.approx([1.0, 3.0])
 
 
+def test_ridge_and_calibration_against_dense_solutions(spark):
+    from basisloom.llm import quality
+
+    rng = np.random.default_rng(5)
+    d, n = len(quality.STATISTICS), 500
+    x = rng.normal(size=(n, d))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + 0.3 * rng.normal(size=n) > 0.3).astype(float)
+    fold = np.arange(n) % quality.FOLDS
+    table = spark.createDataFrame([(list(map(float, a)), float(b), int(f)) for a, b, f in zip(x, y, fold, strict=True)], "x array<double>, y double, fold int").repartition(7)
+    model = quality.fit(table, features=24)
+    z = model.features(x)
+    assert model.mean == pytest.approx(x.mean(0)) and model.scale == pytest.approx(x.std(0))
+    assert z[:, 1:] == pytest.approx(np.cos(np.clip((x - x.mean(0)) / x.std(0), -6, 6) @ model.turn + model.shift) * np.sqrt(2 / 24), abs=1e-9)
+
+    def ridge(rows):
+        a = z[rows].T @ z[rows] / rows.sum() + quality.RIDGE * np.diag([0.0] + [1.0] * 24) + 1e-9 * np.eye(25)
+        return np.linalg.solve(a, z[rows].T @ y[rows] / rows.sum())
+
+    assert model.ridge == pytest.approx(ridge(np.ones(n, bool)), abs=1e-6)
+    unseen = np.concatenate([z[fold == f] @ ridge(fold != f) for f in range(quality.FOLDS)])
+    seen = np.concatenate([y[fold == f] for f in range(quality.FOLDS)])
+    edge = np.linspace(-0.5, 1.5, quality.CELLS + 1)
+    cell = np.clip(np.searchsorted(edge, unseen) - 1, 0, quality.CELLS - 1)
+    at, back = np.unique(cell, return_inverse=True)
+    grid = quality.isotonic((edge[at] + edge[at + 1]) / 2, np.bincount(back).astype(float), np.bincount(back, weights=seen))
+    assert model.grid[0] == pytest.approx(grid[0], abs=1e-6) and model.grid[1] == pytest.approx(grid[1], abs=1e-6)
+    assert (np.diff(model.grid[1]) >= 0).all()
+
+
+def test_sums_in_levels(spark, monkeypatch):
+    from basisloom.llm import sums
+
+    monkeypatch.setattr(sums, "FAN", 3)
+    parts = spark.range(0, 20, 1, 20).selectExpr("CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS key", "id")
+    packed = parts.rdd.map(lambda r: (r[0], bytearray(np.array([r[1], 1.0]).tobytes()))).toDF("key string, vector binary")
+    assert {k: v.tolist() for k, v in sums.summed(packed).items()} == {"a": [90.0, 10.0], "b": [100.0, 10.0]}
+
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -122,6 +197,23 @@ def test_decontamination(spark, block):
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in got), key=str) == brute_hits(docs, bench)
 
 
+def test_blocks_of_the_benchmark_agree(spark):
+    """One block and many give the same rows, on texts and words that a polynomial would take for each other too."""
+    from basisloom.llm.decontamination import decontaminate
+    from test_tokens import twins
+
+    rnd = random.Random(16)
+    words = [f"v{k}" for k in range(400)]
+    bench = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randint(3, 60)))) for k in range(150)] + [(1000 + k, t) for k, (_, t) in enumerate(twins()) if k % 2 == 0]
+    docs = [(k, " ".join([*(rnd.choice(words) for _ in range(rnd.randint(0, 300))), *bench[rnd.randrange(150)][1].split()[: rnd.randint(0, 30)]])) for k in range(400)]
+    docs += [(5000 + k, t) for k, (_, t) in enumerate(twins())]
+    found = []
+    for block in (16_000_000, 4000):
+        got = decontaminate(frame(spark, docs).repartition(3), spark.createDataFrame(bench, "item_id long, text string"), block).collect()
+        found.append(sorted((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in got))
+    assert found[0] == found[1] == sorted(brute_hits(docs, bench), key=lambda r: r[0])
+
+
 def test_decontamination_empty(spark):
     from basisloom.llm.decontamination import decontaminate
 
@@ -160,6 +252,15 @@ def test_chat_round_trip(spark):
     assert format_conversations(table.limit(0)).count() == 0
 
 
+def test_chat_of_very_long_texts(spark):
+    from basisloom.llm.chat_format import format_conversations, read_back
+
+    long = "[<\\" * 200_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long[::-1]), (2, 0, "assistant", "")]
+    got = {r["conv_id"]: r for r in read_back(format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert [t["text"] for t in got[1]["turns"]] == [long, long[::-1]] and got[1]["replies_text"] == [long[::-1]] and got[2]["replies_text"] == [""]
+
+
 def test_chat_query_stays_native(spark, tmp_path):
     from basisloom.llm.queries import op10_chat_format
 
@@ -231,6 +332,24 @@ def test_dedup_stages_drop_rows(spark, tmp_path):
         assert len(got) == len(set(got)) and set(got) in left
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """An empty table, and one with null ids, repeated rows, null texts and columns named like the operators' own."""
+    import corpus_pipeline
+
+    rnd = random.Random(15)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _dropped long, component_id string, kept string, score double"
+    texts = [speech(rnd, "aa", 40) for _ in range(4)]
+    rows = [(None, texts[0]), (None, texts[0]), (3, texts[1]), (3, texts[1]), (3, texts[2]), (4, None), (5, texts[3] + " x"), (6, texts[3])]
+    spark.createDataFrame([(0, "some words")], "item_id long, text string").write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    table = spark.createDataFrame([(i, t, "en", "s", 0, 1, "c", "k", 0.5) for i, t in rows], schema)
+    table.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    packed = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in packed) == [(False, 3), (False, 3), (False, 5), (True, 0)]
+    table.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_chat_query_expands_replies(spark, tmp_path):
     from basisloom.llm.queries import op10_chat_format
 

@@ -90,9 +90,12 @@ class Axis:
         """The last value that is not null."""
         return F.last(c, ignorenulls=True).over(self.frame(None))
 
-    def fold(self, df: DataFrame, step: Callable[[pd.DataFrame], pd.DataFrame | dict], added: str) -> DataFrame:
+    def fold(self, df: DataFrame, step: Callable[..., pd.DataFrame | dict], added: str, together: bool = False) -> DataFrame:
         """Append the columns ``added`` (DDL) that ``step`` computes from one series in order.
 
+        With ``together`` it is given all complete series of a batch, one after
+        another, and their edges: step(rows, edges).
+
         For recurrences that no frame expresses.  Series are dealt out by key and
         sorted; a task streams through them and holds one at a time, so that many
         short series cost one pass and not one call each.
@@ -102,6 +105,8 @@ class Axis:
 
         def whole(rows: pd.DataFrame) -> pd.DataFrame:
             edge = np.append(np.flatnonzero(_starts(rows, by)), len(rows))
+            if together:
+                return rows.reset_index(drop=True).assign(**step(rows, edge))[names]
             made = [step(rows.iloc[a:b].reset_index(drop=True)) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
             extra = {c: np.concatenate([np.asarray(m[c]) for m in made]) for c in made[0]}
             return rows.reset_index(drop=True).assign(**extra)[names]

@@ -69,22 +69,24 @@ def rebalanced_portfolio(prices: DataFrame, targets: DataFrame, ts: str, key: st
 def fifo_round_trips(fills: DataFrame, key: str, order: Sequence[str], bar: str, side: str, qty: str, px: str) -> DataFrame:
     """First-in-first-out round trips per key: entry bar, exit bar, side, quantity, pnl.
 
-    The k-th unit ever bought is matched with the k-th unit ever sold.  Whichever of
-    the two came first opened the trip, so that matching is a join of intervals of
-    cumulative quantity; each fill meets only the fills whose interval it overlaps.
+    The k-th unit ever bought is matched with the k-th unit ever sold; whichever of
+    the two came first opened the trip.  The ends of the fills' intervals of
+    cumulative quantity, of both sides in one order, cut the quantity into pieces
+    that lie in one buy and one sell each, the next of either side to end: one sort
+    per key and a carried value, no pairs are tried.
     """
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    rows = fills.where(F.col(qty) > 0).select(F.col(key), place.alias("_p"), F.col(bar).alias("_b"), F.col(side).alias("_side"), F.col(qty).cast("double").alias("_q"), F.col(px).cast("double").alias("_px"))
-    cum = F.sum("_q").over(Window.partitionBy(key, "_side").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_hi", cum).withColumn("_lo", F.col("_hi") - F.col("_q"))
-    buys = rows.where("_side > 0").select(key, *(F.col(c).alias(f"b{c}") for c in ("_p", "_b", "_px", "_lo", "_hi")))
-    sells = rows.where("_side < 0").select(key, *(F.col(c).alias(f"s{c}") for c in ("_p", "_b", "_px", "_lo", "_hi")))
-    met = buys.join(sells, key).where((F.col("b_lo") < F.col("s_hi")) & (F.col("s_lo") < F.col("b_hi")))
-    amount = F.least("b_hi", "s_hi") - F.greatest("b_lo", "s_lo")
-    long_ = F.col("b_p") < F.col("s_p")
+    rows = fills.where((F.col(qty) > 0) & (F.col(side) != 0)).select(F.col(key), place.alias("_p"), F.col(bar).alias("_b"), (F.col(side) > 0).alias("_buy"), F.col(qty).cast("double").alias("_q"), F.col(px).cast("double").alias("_px"))
+    rows = rows.withColumn("_hi", F.sum("_q").over(Window.partitionBy(key, "_buy").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)))
+    fill = F.struct("_p", "_b", "_px")
+    ends = rows.groupBy(key, "_hi").agg(F.max(F.when(F.col("_buy"), fill)).alias("_bought"), F.max(F.when(~F.col("_buy"), fill)).alias("_sold"))
+    down = Window.partitionBy(key).orderBy(F.col("_hi").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    amount = F.col("_hi") - F.coalesce(F.lead("_hi").over(Window.partitionBy(key).orderBy(F.col("_hi").desc())), F.lit(0.0))
+    met = ends.select(key, amount.alias("qty"), *(F.last(c, ignorenulls=True).over(down).alias(c) for c in ("_bought", "_sold"))).where("_bought IS NOT NULL AND _sold IS NOT NULL")
+    b, s, long_ = F.col("_bought"), F.col("_sold"), F.col("_bought._p") < F.col("_sold._p")
     return met.select(
-        key, F.when(long_, F.col("b_b")).otherwise(F.col("s_b")).alias("entry_bar"), F.when(long_, F.col("s_b")).otherwise(F.col("b_b")).alias("exit_bar"),
-        F.when(long_, 1).otherwise(-1).alias("side"), amount.alias("qty"), (amount * (F.col("s_px") - F.col("b_px"))).alias("pnl"),
+        key, F.when(long_, b["_b"]).otherwise(s["_b"]).alias("entry_bar"), F.when(long_, s["_b"]).otherwise(b["_b"]).alias("exit_bar"),
+        F.when(long_, 1).otherwise(-1).alias("side"), "qty", (F.col("qty") * (s["_px"] - b["_px"])).alias("pnl"),
     )
 
 
@@ -184,11 +186,14 @@ BARS = "bar int, code int, state int, held int, cost double, pnl double, equity
 
 
 def basket_backtest(market: DataFrame, scenarios: DataFrame, ref_col: str = "ref", rule_cols: Sequence[str] = ("entry_z",)) -> DataFrame:
-    """Every scenario on every reference's market: (ref, scenario) is the unit of work.
+    """Every scenario on every reference's market, which is shuffled once: a task reads a reference and runs all scenarios on it.
 
     market: ref, ts, legs array<struct<id, bid array<struct<px,sz>>, ask, mid, dv01, ratio>> (in one order, the
-    reference first), z, gain, package_yield; one row per stamp.  scenarios: scenario, and fields of the rule.
+    reference first), z, gain, package_yield; one row per stamp.  scenarios: scenario, and fields of the rule; a table
+    as small as its grid, which goes to the tasks with the code.
     """
+    plain = BasketRule()
+    rules = [(r["scenario"], BasketRule(**{c: type(getattr(plain, c))(r[c]) for c in rule_cols})) for r in scenarios.select("scenario", *rule_cols).collect()]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts")
@@ -201,16 +206,17 @@ def basket_backtest(market: DataFrame, scenarios: DataFrame, ref_col: str = "ref
         flat = {n: np.array([[x[n] for x in r] for r in legs], float) for n in ("mid", "dv01", "ratio")}
         frame = {"bid_px": side("bid", "px"), "bid_sz": side("bid", "sz"), "ask_px": side("ask", "px"), "ask_sz": side("ask", "sz"), **flat}
         frame |= {"z": rows["z"].to_numpy(float), "gain": rows["gain"].to_numpy(float), "yield": rows["package_yield"].to_numpy(float)}
-        rule = BasketRule(**{c: type(getattr(BasketRule(), c))(rows[c].iloc[0]) for c in rule_cols})
-        out = basket_bars(frame, rule, 0)
-        out.insert(0, "ts", rows["ts"].to_numpy())
-        out.insert(0, "scenario", rows["scenario"].iloc[0])
-        out.insert(0, ref_col, rows[ref_col].iloc[0])
-        return out
-
-    work = market.join(F.broadcast(scenarios), F.lit(True))  # a scenario table is as small as its grid
-    kinds = dict(work.dtypes)
-    return work.groupBy(ref_col, "scenario").applyInPandas(run, f"{ref_col} {kinds[ref_col]}, scenario {kinds['scenario']}, ts {kinds['ts']}, {BARS}")
+        made = []
+        for scenario, rule in rules:
+            out = basket_bars(frame, rule, 0)
+            out.insert(0, "ts", rows["ts"].to_numpy())
+            out.insert(0, "scenario", scenario)
+            out.insert(0, ref_col, rows[ref_col].iloc[0])
+            made.append(out)
+        return pd.concat(made, ignore_index=True)
+
+    kinds = dict(market.dtypes)
+    return market.groupBy(ref_col).applyInPandas(run, f"{ref_col} {kinds[ref_col]}, scenario {dict(scenarios.dtypes)['scenario']}, ts {kinds['ts']}, {BARS}")
 
 
 def basket_trades(bars: DataFrame, by: Sequence[str] = ("ref", "scenario")) -> DataFrame:

@@ -202,13 +202,16 @@ def align_sources(clock: DataFrame, sources: Sequence[DataFrame], ts: str, key:
 
 
 def apply_rolls(df: DataFrame, rolls: DataFrame, ts: str, key: str) -> DataFrame:
-    """From each roll's date on, instrument ``from_id`` shows the rows of ``to_id``; the latest roll of a date on or before wins."""
+    """From each roll's date on, instrument ``from_id`` shows the rows of ``to_id``; the latest roll of a date on or before wins.
+
+    Each (stamp, instrument) that occurs is asked for once, by an as-of join on the
+    rolls; where the source has several rows at that stamp, all of them are shown.
+    """
     values = [c for c in df.columns if c not in (ts, key)]
-    r = rolls.select(F.col("from_id").alias(key), F.col("to_id").alias("_to"), F.col("effective").alias("_eff"))
-    due = df.select(ts, key).join(r, key, "left").where(F.col("_eff").isNull() | (F.col("_eff") <= F.col(ts)) | F.col("_to").isNotNull())
-    picked = due.groupBy(ts, key).agg(F.max_by("_to", F.when(F.col("_eff") <= F.col(ts), F.col("_eff"))).alias("_to"))
+    r = rolls.select(F.col("from_id").alias(key), F.col("effective").alias(ts), F.col("to_id").alias("_to"))
+    due = asof_join(df.select(ts, key).distinct(), r, ts, [key], tie=["_to"])
     source = df.select(F.col(ts), F.col(key).alias("_src"), *values)
-    return picked.withColumn("_src", F.coalesce("_to", key)).join(source, [ts, "_src"], "left").select(ts, key, *values)
+    return due.withColumn("_src", F.coalesce("_to", key)).join(source, [ts, "_src"], "left").select(ts, key, *values)
 
 
 def explode_pairs(df: DataFrame, keep: Iterable[str], ids: str, ratios: str) -> DataFrame:

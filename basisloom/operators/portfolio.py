@@ -62,17 +62,28 @@ def shrink_to_diagonal(cov: DataFrame, alpha: float = 0.1) -> DataFrame:
 def clusters(corr: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(key, cluster): components over pairs with corr >= threshold, named by their smallest key.
 
-    Labels spread over the strategies' links until none changes.
+    Links are united in one task, whose size is the number of strategies squared
+    as for all matrices here; nothing comes to the driver.
     """
-    links = corr.where((F.col("corr") >= threshold) & (F.col("a") != F.col("b"))).select("a", "b")
-    labels = corr.select(F.col("a").alias("key")).distinct().withColumn("cluster", F.col("key"))
-    while True:
-        near = links.join(labels, links["b"] == labels["key"]).groupBy("a").agg(F.min("cluster").alias("_m"))
-        new = labels.join(near, labels["key"] == near["a"], "left").select("key", F.col("cluster").alias("_old"), F.least("cluster", F.coalesce("_m", "cluster")).alias("cluster"))
-        rows = [(x["key"], x["cluster"], x["_old"]) for x in new.collect()]  # as many as there are strategies
-        labels = corr.sparkSession.createDataFrame([x[:2] for x in rows], "key string, cluster string" if isinstance(rows[0][0], str) else "key long, cluster long")
-        if all(x[1] == x[2] for x in rows):
-            return labels
+    kind = dict(corr.dtypes)["a"]
+
+    def unite(rows: pd.DataFrame) -> pd.DataFrame:
+        root = {k: k for k in sorted({*rows["a"], *rows["b"]})}
+
+        def find(k):
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        for a, b in rows.loc[rows["linked"], ["a", "b"]].itertuples(index=False):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        return pd.DataFrame({"key": list(root), "cluster": [find(k) for k in root]})
+
+    linked = F.coalesce(F.col("corr") >= threshold, F.lit(False)) & (F.col("a") != F.col("b"))
+    rows = corr.select("a", "b", linked.alias("linked")).where("linked OR a = b")
+    return rows.groupBy().applyInPandas(unite, f"key {kind}, cluster {kind}")
 
 
 def best_of_clusters(labels: DataFrame, metrics: DataFrame, score: str, keep: int = 1) -> DataFrame:

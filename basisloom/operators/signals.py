@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.windows import Axis, clipped, robust_zscore, safe_divide, zscore
 
@@ -33,48 +34,80 @@ class ReversionRule:
     cooldown_z: float | None = None
 
 
-def reversion_states(z: np.ndarray, rule: ReversionRule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Position, exit reason and rows held, row by row.  A missing score holds the state; the cooldown counts flat rows."""
+def reversion_step(state: int, age: int, wait: int, x: float, rule: ReversionRule) -> tuple[int, int, int, int]:
+    """One row: (position, rows held, cooldown left, exit reason).  A missing score holds the state; the cooldown counts flat rows."""
+    if math.isnan(x):
+        return state, age + (state != 0), wait, NONE
+    if state:
+        age += 1
+        why = NONE
+        if state * x >= -rule.exit:
+            why = EXIT
+        elif rule.stop is not None and state * x <= -rule.stop:
+            why = STOP
+        elif rule.max_hold is not None and age >= rule.max_hold:
+            why = MAX_HOLD
+        return (0, 0, rule.cooldown, why) if why else (state, age, wait, NONE)
+    if wait > 0:
+        return 0, 0, 0 if rule.cooldown_z is not None and abs(x) <= rule.cooldown_z else wait - 1, NONE
+    return (1 if x <= -rule.entry else -1 if x >= rule.entry else 0), 0, 0, NONE
+
+
+#: Series of a batch from which on a row of all series is worked on at once.
+MANY_SERIES = 32
+
+
+def reversion_states(z: np.ndarray, rule: ReversionRule, edges: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position, exit reason and rows held of series that lie one after another between ``edges``.
+
+    Few long series are walked row by row; of many series the first rows are done
+    together, then the second ones, and so on.  Both give the same rows.
+    """
     n = len(z)
+    edges = np.array([0, n]) if edges is None else edges
     position, reason, held = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
-    state = age = wait = 0
-    for i in range(n):
-        x = z[i]
-        if math.isnan(x):
-            age += state != 0
-        elif state:
-            age += 1
-            why = NONE
-            if (state > 0 and x >= -rule.exit) or (state < 0 and x <= rule.exit):
-                why = EXIT
-            elif rule.stop is not None and ((state > 0 and x <= -rule.stop) or (state < 0 and x >= rule.stop)):
-                why = STOP
-            elif rule.max_hold is not None and age >= rule.max_hold:
-                why = MAX_HOLD
-            if why:
-                state, age, wait = 0, 0, rule.cooldown
-                reason[i] = why
-        else:
-            if wait > 0:
-                wait -= 1
-                if rule.cooldown_z is not None and abs(x) <= rule.cooldown_z:
-                    wait = 0
-            elif x <= -rule.entry:
-                state = 1
-            elif x >= rule.entry:
-                state = -1
-        position[i], held[i] = state, age
+    if len(edges) - 1 < MANY_SERIES:
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            state = age = wait = 0
+            for i, x in enumerate(z[a:b].tolist(), a):
+                state, age, wait, reason[i] = reversion_step(state, age, wait, x, rule)
+                position[i], held[i] = state, age
+        return position, reason, held
+    size = np.diff(edges)
+    order = np.argsort(-size, kind="stable")
+    start, size = edges[:-1][order], size[order]
+    state, age, wait = (np.zeros(len(size), np.int64) for _ in range(3))
+    stop, most, calm = (np.inf if v is None else v for v in (rule.stop, rule.max_hold, rule.cooldown_z))
+    calm = -1.0 if rule.cooldown_z is None else calm
+    for j in range(int(size[0])):
+        m = int(np.searchsorted(-size, -j))  # the series that have a row j
+        at, s, w = start[:m] + j, state[:m], wait[:m]
+        x = z[at]
+        seen, inside = ~np.isnan(x), s != 0
+        age[:m] += inside
+        lean = s * x
+        out = inside & seen & (lean >= -rule.exit)
+        lost = inside & seen & ~out & (lean <= -stop)
+        late = inside & seen & ~out & ~lost & (age[:m] >= most)
+        why = np.where(out, EXIT, np.where(lost, STOP, np.where(late, MAX_HOLD, NONE)))
+        flat = ~inside & seen
+        waits = flat & (w > 0)
+        wait[:m] = np.where(why > 0, rule.cooldown, np.where(waits, np.where(np.abs(x) <= calm, 0, w - 1), w))
+        enter = flat & ~waits
+        state[:m] = np.where(why > 0, 0, np.where(enter, np.where(x <= -rule.entry, 1, np.where(x >= rule.entry, -1, 0)), s))
+        age[:m][why > 0] = 0
+        position[at], reason[at], held[at] = state[:m], why, age[:m]
     return position, reason, held
 
 
 def mean_reversion_signal(df: DataFrame, axis: Axis, z: str, rule: ReversionRule = ReversionRule()) -> DataFrame:
     """``signal``, ``exit_reason`` and ``bars_held`` of the reversion state machine over each series."""
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        p, r, h = reversion_states(rows[z].to_numpy(float, na_value=np.nan), rule)
-        return pd.DataFrame({"signal": p, "exit_reason": r, "bars_held": h})
+    def step(rows: pd.DataFrame, edges: np.ndarray) -> dict:
+        p, r, h = reversion_states(rows[z].to_numpy(float, na_value=np.nan), rule, edges)
+        return {"signal": p, "exit_reason": r, "bars_held": h}
 
-    return axis.fold(df, step, "signal int, exit_reason int, bars_held int")
+    return axis.fold(df, step, "signal int, exit_reason int, bars_held int", together=True)
 
 
 def gated_positions(df: DataFrame, axis: Axis, z: str, can_trade: str, rule: ReversionRule = ReversionRule()) -> DataFrame:
@@ -287,8 +320,7 @@ def regime_features(df: DataFrame, axis: Axis, c: str, window: int = 60) -> Data
 
 def kpss(df: DataFrame, axis: Axis, c: str, out: str = "kpss") -> DataFrame:
     """Per series: level-stationarity statistic with the short-run variance."""
-    w = axis.spec
-    rows = df.where(F.col(c).isNotNull()).withColumn("_e", F.col(c) - F.avg(c).over(axis.spec.rowsBetween(-(1 << 31), (1 << 31) - 1)))
-    rows = rows.withColumn("_s", F.sum("_e").over(w.rowsBetween(-(1 << 31), 0)))
+    rows = df.where(F.col(c).isNotNull()).withColumn("_e", F.col(c) - F.avg(c).over(Window.partitionBy(*axis.by)))
+    rows = rows.withColumn("_s", F.sum("_e").over(axis.frame(None)))
     n = F.count(F.lit(1))
     return rows.groupBy(*axis.by).agg(n.alias("n"), (F.sum(F.col("_s") * F.col("_s")) / (n * n) / F.nullif(F.sum(F.col("_e") * F.col("_e")) / n, F.lit(0.0))).alias(out))

@@ -49,16 +49,16 @@ def feature_prices(t: Tables) -> DataFrame:
 
 @query(
     f"""WITH {PANEL} SELECT k, t, o, n, CASE WHEN count(v) OVER f >= 6 THEN (lag(v) OVER w - avg(v) OVER f) / nullif(stddev_samp(v) OVER f, 0) END AS shock,
-      CASE WHEN count(v) OVER f >= 6 THEN avg(x * v) OVER f END AS dollars, CASE WHEN count(v) OVER f >= 6 THEN avg(v) OVER g / avg(v) OVER f END AS ratio
+      CASE WHEN count(v) OVER f >= 6 THEN avg(x * v) OVER f END AS dollars, CASE WHEN count(v) OVER f >= 6 THEN avg(v) OVER g / avg(v) OVER f END AS ratio, CASE WHEN count(v) OVER f >= 6 THEN avg(v) OVER f END AS mean_volume
     FROM p {W}, f AS (PARTITION BY k ORDER BY t, o, n ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), g AS (PARTITION BY k ORDER BY t, o, n ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)""",
-    "shock dollars ratio",
+    "shock dollars ratio mean_volume",
 )
 def feature_volumes(t: Tables) -> DataFrame:
     """Volume shock, dollar volume and short-to-long volume ratio."""
     from .features import build
 
-    out = build(t.panel(), AXIS, [("volume_shock", {"volume": "v", "window": 6, "out": "shock"}), ("dollar_volume", {"price": "x", "volume": "v", "window": 6, "out": "dollars"}), ("volume_ratio", {"volume": "v", "short": 3, "long": 6, "out": "ratio"})])
-    return out.select("k", "t", "o", "n", "shock", "dollars", "ratio")
+    out = build(t.panel(), AXIS, [("volume_shock", {"volume": "v", "window": 6, "out": "shock"}), ("dollar_volume", {"price": "x", "volume": "v", "window": 6, "out": "dollars"}), ("volume_ratio", {"volume": "v", "short": 3, "long": 6, "out": "ratio"}), ("rolling_volume", {"volume": "v", "window": 6, "out": "mean_volume"})])
+    return out.select("k", "t", "o", "n", "shock", "dollars", "ratio", "mean_volume")
 
 
 @query(
@@ -221,37 +221,42 @@ def momentum_signals(t: Tables) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {DAILY}, a AS (SELECT k, t, x, x - lag(x) OVER w AS d, row_number() OVER w AS i FROM q WINDOW w AS (PARTITION BY k ORDER BY t)),
-    e AS (SELECT k, i, x AS f, x AS s, 0::DOUBLE AS g FROM a WHERE i = 1 UNION ALL SELECT a.k, a.i, a.x * 0.5 + e.f * 0.5, a.x * 0.25 + e.s * 0.75, (a.x * 0.5 + e.f * 0.5 - a.x * 0.25 - e.s * 0.75) * 0.4 + e.g * 0.6 FROM e JOIN a ON a.k = e.k AND a.i = e.i + 1)
-    SELECT a.k, a.t, f AS ema_fast, s AS ema_slow, f - s AS macd, g AS macd_signal FROM a JOIN e USING (k, i)""",
-    "ema_fast ema_slow macd macd_signal",
+    e AS (SELECT k, i, x AS f, x AS s, 0::DOUBLE AS g, NULL::DOUBLE AS u, NULL::DOUBLE AS l FROM a WHERE i = 1 UNION ALL SELECT a.k, a.i, a.x * 0.5 + e.f * 0.5, a.x * 0.25 + e.s * 0.75, (a.x * 0.5 + e.f * 0.5 - a.x * 0.25 - e.s * 0.75) * 0.4 + e.g * 0.6,
+      coalesce(greatest(d, 0) / 3 + e.u * 2 / 3, greatest(d, 0)), coalesce(greatest(-d, 0) / 3 + e.l * 2 / 3, greatest(-d, 0)) FROM e JOIN a ON a.k = e.k AND a.i = e.i + 1)
+    SELECT a.k, a.t, f AS ema_fast, s AS ema_slow, f - s AS macd, g AS macd_signal, f - s - g AS macd_hist, CASE WHEN l <> 0 THEN 100 - 100 / (1 + u / l) END AS rsi FROM a JOIN e USING (k, i)""",
+    "ema_fast ema_slow macd macd_signal macd_hist rsi",
 )
 def oscillator_signals(t: Tables) -> DataFrame:
     """Exponential means (spans 3 and 7), their difference and its mean (span 4)."""
-    return signals.oscillators(t.daily(), DAYS, "x", 3, 7, 4).select("k", "t", "ema_fast", "ema_slow", "macd", "macd_signal")
+    return signals.oscillators(t.daily(), DAYS, "x", 3, 7, 4, 5).select("k", "t", "ema_fast", "ema_slow", "macd", "macd_signal", "macd_hist", "rsi")
 
 
 @query(
     f"""WITH {DAILY}, a AS (SELECT k, t, x, lag(x) OVER w AS y, x - lag(x) OVER w AS d FROM q WINDOW w AS (PARTITION BY k ORDER BY t)),
     b AS (SELECT *, count(d) OVER f AS c, regr_sxx(d, y) OVER f AS sxx, regr_sxy(d, y) OVER f AS sxy, regr_syy(d, y) OVER f AS syy FROM a WINDOW f AS (PARTITION BY k ORDER BY t ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)),
-    g AS (SELECT *, CASE WHEN c = 11 AND sxx > 0 THEN sxy / sxx END AS g, CASE WHEN c = 11 AND sxx > 0 THEN sxy / sxx / sqrt((syy - sxy * sxy / sxx) / 9 / sxx) END AS tt FROM b)
-    SELECT k, t, tt AS adf_t, CASE WHEN tt IS NULL THEN NULL WHEN tt < -3.5 THEN 0.01 WHEN tt < -2.9 THEN 0.05 WHEN tt < -2.6 THEN 0.10 WHEN tt < -1.9 THEN 0.30 ELSE 0.80 END AS adf_p, CASE WHEN 1 + g > 0 AND 1 + g < 1 THEN -ln(2) / ln(1 + g) END AS half_life FROM g""",
-    "adf_t adf_p half_life",
+    g AS (SELECT *, CASE WHEN c = 11 AND sxx > 0 THEN sxy / sxx END AS g, CASE WHEN c = 11 AND sxx > 0 THEN sxy / sxx / sqrt((syy - sxy * sxy / sxx) / 9 / sxx) END AS tt FROM b),
+    r AS (SELECT *, row_number() OVER w AS i FROM g WINDOW w AS (PARTITION BY k ORDER BY t)),
+    s AS (SELECT *, CASE WHEN count(x) OVER f = 12 THEN regr_slope(x, i) OVER f END AS slope, CASE WHEN count(x) OVER f = 12 THEN greatest(0, least(1, regr_r2(x, i) OVER f)) END AS r2, CASE WHEN tt IS NULL THEN NULL WHEN tt < -3.5 THEN 0.01 WHEN tt < -2.9 THEN 0.05 WHEN tt < -2.6 THEN 0.10 WHEN tt < -1.9 THEN 0.30 ELSE 0.80 END AS p,
+      CASE WHEN 1 + g > 0 AND 1 + g < 1 THEN -ln(2) / ln(1 + g) END AS h FROM r WINDOW f AS (PARTITION BY k ORDER BY t ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))
+    SELECT k, t, tt AS adf_t, p AS adf_p, h AS half_life, slope AS trend_slope, r2 AS trend_r2, sign(slope) * r2 AS trend_strength,
+      CASE WHEN p IS NULL THEN 'uncertain' WHEN coalesce((p < 0.05)::INT + (h < 6)::INT + (r2 < 0.3)::INT, 0) >= 2 THEN 'mean_revert' WHEN (p >= 0.3)::INT + coalesce(h >= 6, true)::INT + (r2 > 0.6)::INT >= 2 THEN 'trend' ELSE 'uncertain' END AS regime FROM s""",
+    "adf_t adf_p half_life trend_slope trend_r2 trend_strength",
 )
 def regime_statistics(t: Tables) -> DataFrame:
     """Rolling unit-root statistic, p-step and half-life of twelve days."""
-    return signals.regime_features(t.daily(), DAYS, "x", 12).select("k", "t", "adf_t", "adf_p", "half_life")
+    return signals.regime_features(t.daily(), DAYS, "x", 12).select("k", "t", "adf_t", "adf_p", "half_life", "trend_slope", "trend_r2", "trend_strength", "regime")
 
 
 @query(
     f"""WITH {RETURNS}, a AS (SELECT *, product(1 + r) OVER w AS eq, r - lag(r) OVER w AS dr, count(*) OVER f AS c, product(1 + r) OVER f - 1 AS wr FROM r WINDOW w AS (PARTITION BY s ORDER BY d), f AS (PARTITION BY s ORDER BY d ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
     b AS (SELECT *, eq / max(eq) OVER (PARTITION BY s ORDER BY d) - 1 AS dd, quantile_cont(r, 0.05) OVER (PARTITION BY s) AS q FROM a)
-    SELECT s, count(r) AS n, avg(r) * 12 AS annual_return, stddev_samp(r) * sqrt(12) AS annual_vol, avg(r) / stddev_samp(r) * sqrt(12) AS sharpe, avg(r) / nullif(stddev_samp(least(r, 0)), 0) * sqrt(12) AS sortino, avg((r > 0)::INT::DOUBLE) AS hit_rate,
+    SELECT s, count(r) AS n, avg(r) * 12 AS annual_return, stddev_samp(r) * sqrt(12) AS annual_vol, avg(r) / stddev_samp(r) * sqrt(12) AS sharpe, avg(r) / nullif(stddev_samp(least(r, 0)), 0) * sqrt(12) AS sortino, stddev_samp(least(r, 0)) * sqrt(12) AS downside, avg((r > 0)::INT::DOUBLE) AS hit_rate,
       sum(greatest(r, 0)) / sum(greatest(-r, 0)) AS profit_factor, avg(r) FILTER (r > 0) AS avg_win, avg(r) FILTER (r < 0) AS avg_loss, skewness(r) AS skew, kurtosis(r) AS kurtosis, min(q) AS q05, min(dd) AS max_drawdown, min(CASE WHEN c >= 6 THEN wr END) AS worst_window, avg(abs(dr)) AS turnover_proxy, avg(r) FILTER (r <= q) AS cvar05 FROM b GROUP BY s""",
-    "annual_return annual_vol sharpe sortino hit_rate profit_factor avg_win avg_loss skew kurtosis q05 max_drawdown worst_window turnover_proxy cvar05",
+    "annual_return annual_vol sharpe sortino downside hit_rate profit_factor avg_win avg_loss skew kurtosis q05 max_drawdown worst_window turnover_proxy cvar05",
 )
 def return_metrics(t: Tables) -> DataFrame:
     """Return and risk metrics of monthly order values per priority."""
-    return metrics.return_metrics(t.returns(), ["s"], "d", "r", 12, 6).drop("downside")
+    return metrics.return_metrics(t.returns(), ["s"], "d", "r", 12, 6)
 
 
 @query(

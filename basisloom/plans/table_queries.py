@@ -149,12 +149,12 @@ _CDF = """c AS (SELECT event_type AS g, value AS x, count(*) AS c FROM events GR
 @query(
     f"""WITH {_CDF.replace("SELECT a, b, na, nb, x,", "SELECT a, b, na, nb, xs.x AS x,").replace("lead(x) OVER w", "lead(xs.x) OVER w")}, q AS (SELECT event_type AS g, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1),
     s AS (SELECT a, b, first(na)::BIGINT AS na, first(nb)::BIGINT AS nb, max(abs(fa - fb)) AS ks, sum(coalesce(abs(fa - fb) * (nx - x), 0)) AS wasserstein FROM st GROUP BY a, b)
-    SELECT a, b, na, nb, ks, wasserstein, qa.q2 - qb.q2 AS median_diff, (qa.q3 - qa.q1) - (qb.q3 - qb.q1) AS iqr_diff FROM s JOIN q qa ON qa.g = a JOIN q qb ON qb.g = b""",
-    "ks wasserstein median_diff iqr_diff",
+    SELECT a, b, na, nb, ks, CASE WHEN ks * sqrt(na * nb / (na + nb)) < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum(list_transform(range(1, 101), lambda i: (CASE WHEN i % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END) * exp(-2.0::DOUBLE * i * i * ks * ks * na * nb / (na + nb)))))) END AS ks_pvalue, wasserstein, qa.q2 - qb.q2 AS median_diff, (qa.q3 - qa.q1) - (qb.q3 - qb.q1) AS iqr_diff FROM s JOIN q qa ON qa.g = a JOIN q qb ON qb.g = b""",
+    "ks ks_pvalue wasserstein median_diff iqr_diff",
 )
 def pairwise_distributions(t: Tables) -> DataFrame:
     """Two-sample statistics of every pair of event types."""
-    return distributions.pairwise_stats(t.events, "event_type", "value").drop("ks_pvalue")
+    return distributions.pairwise_stats(t.events, "event_type", "value")
 
 
 @query(
@@ -402,7 +402,9 @@ def book_walks(t: Tables) -> DataFrame:
 
 @query(
     f"""WITH {PANEL}, f AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY t, o, n) AS i, t, CASE WHEN f = 'A' THEN 1 ELSE -1 END AS side, v AS q, x AS px FROM p), c AS (SELECT *, sum(q) OVER (PARTITION BY k, side ORDER BY i) AS hi FROM f),
-    m AS (SELECT b.k, b.i AS bi, s.i AS si, b.t AS bt, s.t AS st, least(b.hi, s.hi) - greatest(b.hi - b.q, s.hi - s.q) AS qty, s.px - b.px AS d FROM c b JOIN c s ON b.k = s.k AND b.side = 1 AND s.side = -1 AND b.hi - b.q < s.hi AND s.hi - s.q < b.hi)
+    e AS (SELECT k, hi, max(CASE WHEN side = 1 THEN i END) AS bi, max(CASE WHEN side = -1 THEN i END) AS si FROM c GROUP BY ALL),
+    n AS (SELECT k, hi - coalesce(lead(hi) OVER w, 0) AS qty, last_value(bi IGNORE NULLS) OVER w AS bi, last_value(si IGNORE NULLS) OVER w AS si FROM e WINDOW w AS (PARTITION BY k ORDER BY hi DESC)),
+    m AS (SELECT n.k, n.qty, n.bi, n.si, b.t AS bt, s.t AS st, s.px - b.px AS d FROM n JOIN f b ON b.k = n.k AND b.i = n.bi JOIN f s ON s.k = n.k AND s.i = n.si)
     SELECT k, CASE WHEN bi < si THEN bt ELSE st END AS entry_bar, CASE WHEN bi < si THEN st ELSE bt END AS exit_bar, (CASE WHEN bi < si THEN 1 ELSE -1 END)::INT AS side, qty, qty * d AS pnl FROM m""",
     "qty pnl",
 )
@@ -415,14 +417,15 @@ def fifo_round_trips(t: Tables) -> DataFrame:
 @query(
     f"""WITH {DAILY}, tg AS (SELECT k, t, CASE WHEN v > 30 THEN v END AS tgt, x FROM q), h AS (SELECT *, coalesce(last_value(tgt IGNORE NULLS) OVER w, 0) AS hold, coalesce((x / lag(x) OVER w - 1) * 1e4, 0) AS bp FROM tg WINDOW w AS (PARTITION BY k ORDER BY t)),
     z AS (SELECT *, abs(hold - coalesce(lag(hold) OVER (PARTITION BY k ORDER BY t), 0)) AS tr FROM h)
-    SELECT t, sum(hold * bp / 100) AS gross_pnl, sum(tr) AS turnover, sum(tr) * 0.1 AS cost, sum(abs(hold)) AS gross_dv01, sum(hold) AS net_dv01 FROM z GROUP BY t""",
-    "gross_pnl turnover cost gross_dv01 net_dv01",
+    SELECT t, sum(hold * bp / 100) AS gross_pnl, sum(tr) AS turnover, sum(tr) * 0.1 AS cost, sum(abs(hold)) AS gross_dv01, sum(hold) AS net_dv01, sum(hold * bp / 100) - sum(tr) * 0.1 AS pnl,
+      sum(sum(hold * bp / 100) - sum(tr) * 0.1) OVER (ORDER BY t) AS cum_pnl FROM z GROUP BY t""",
+    "gross_pnl turnover cost gross_dv01 net_dv01 pnl cum_pnl",
 )
 def rebalanced_portfolio(t: Tables) -> DataFrame:
     """Holdings that follow the newest target, with costs."""
     rows = t.daily()
     out = backtest.rebalanced_portfolio(rows, rows.where("v > 30").withColumnRenamed("v", "dv01"), "t", "k", "x", cost_per_dv01=0.1)
-    return out.select("t", "gross_pnl", "turnover", "cost", "gross_dv01", "net_dv01")
+    return out.select("t", "gross_pnl", "turnover", "cost", "gross_dv01", "net_dv01", "pnl", "cum_pnl")
 
 
 @query(

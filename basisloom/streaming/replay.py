@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.signals import ReversionRule
+from ..operators.signals import ReversionRule, reversion_step
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -44,25 +45,14 @@ def reversion_stream(df: DataFrame, key: str, ts: str, z: str, rule: ReversionRu
         side, held, wait = state.get if state.exists else (0, 0, 0)
         rows = pd.concat(list(batches), ignore_index=True).sort_values(ts, kind="stable")
         out = []
-        for stamp, x in zip(rows[ts], rows[z], strict=True):
-            if pd.isna(x):
-                held += side != 0
-            elif side:
-                held += 1
-                leave = (side > 0 and x >= -rule.exit) or (side < 0 and x <= rule.exit)
-                stop = rule.stop is not None and ((side > 0 and x <= -rule.stop) or (side < 0 and x >= rule.stop))
-                if leave or stop or (rule.max_hold is not None and held >= rule.max_hold):
-                    side, held, wait = 0, 0, rule.cooldown
-            elif wait > 0:
-                wait -= 1
-            elif abs(x) >= rule.entry:
-                side = -1 if x > 0 else 1
-            out.append((k[0], stamp, side))
+        for stamp, x in zip(rows[ts], rows[z].to_numpy(float, na_value=np.nan).tolist(), strict=True):
+            side, held, wait, why = reversion_step(side, held, wait, x, rule)
+            out.append((k[0], stamp, side, why, held))
         state.update((side, held, wait))
-        yield pd.DataFrame(out, columns=[key, ts, "signal"])
+        yield pd.DataFrame(out, columns=[key, ts, "signal", "exit_reason", "bars_held"])
 
     kinds = dict(df.dtypes)
-    return df.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {ts} {kinds[ts]}, signal int", "side int, held int, wait int", "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {ts} {kinds[ts]}, signal int, exit_reason int, bars_held int", "side int, held int, wait int", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_end(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:

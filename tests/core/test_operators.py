@@ -121,6 +121,47 @@ def test_reversion_batch_and_stream(spark, tmp_path):
     assert {(r["k"], r["t"]): r["signal"] for r in seen} == want
 
 
+def test_reversion_of_many_series_equals_one_by_one():
+    """Both walks, with cooldowns that end early, no stop, and series of every length."""
+    rng = np.random.default_rng(4)
+    for rule in (signals.ReversionRule(1.0, 0.2, 2.0, 3, 5, 0.5), signals.ReversionRule(1.0, 0.3, None, None, 2), signals.ReversionRule(0.8, 0.1, 1.5, 1, 1, 0.0)):
+        size = rng.integers(1, 40, 200)
+        z = rng.normal(0, 1.3, size.sum())
+        z[rng.random(len(z)) < 0.05] = np.nan
+        edges = np.concatenate([[0], np.cumsum(size)])
+        together = signals.reversion_states(z, rule, edges)
+        alone = [np.concatenate(x) for x in zip(*(signals.reversion_states(z[a:b], rule) for a, b in zip(edges[:-1], edges[1:], strict=True)), strict=True)]
+        for a, b in zip(together, alone, strict=True):
+            assert (a == b).all()
+    early = signals.ReversionRule(1.0, 0.2, None, 1, 5, 0.5)
+    assert signals.reversion_states(np.array([-2.0, -2.0, 0.1, -2.0, -2.0, -2.0]), early)[0].tolist() == [1, 0, 0, 1, 0, 0]
+
+
+def test_reversion_stream_obeys_the_early_end_of_a_cooldown(spark, tmp_path):
+    rule = signals.ReversionRule(1.0, 0.2, None, 1, 5, 0.5)
+    rows = [("a", dt.datetime(2024, 1, 1, 0, i), z) for i, z in enumerate((-2.0, -2.0, 0.1, -2.0, -2.0, -2.0))]
+    df = spark.createDataFrame(rows, "k string, t timestamp, z double").coalesce(1)
+    df.write.parquet(f"{tmp_path}/in")
+    seen = []
+    replay.run_to_end(replay.reversion_stream(replay.stream_table(spark, f"{tmp_path}/in"), "k", "t", "z", rule), lambda b, n: seen.extend(b.collect()), f"{tmp_path}/state")
+    batch = signals.mean_reversion_signal(df, Axis(("t",), ("k",)), "z", rule).collect()
+    columns = ("t", "signal", "exit_reason", "bars_held")
+    assert sorted(tuple(r[c] for c in columns) for r in seen) == sorted(tuple(r[c] for c in columns) for r in batch)
+
+
+def test_rolls_and_clusters(spark):
+    from basisloom.operators import panel, portfolio
+
+    day = lambda d: dt.date(2024, 1, d)
+    rows = spark.createDataFrame([(day(d), k, 10.0 * k + d) for d in range(1, 6) for k in (1, 2, 3)], "t date, k long, x double")
+    rolls = spark.createDataFrame([(1, 2, day(2)), (1, 3, day(4)), (9, 1, day(1))], "from_id long, to_id long, effective date")
+    got = {(r["t"].day, r["k"]): r["x"] for r in panel.apply_rolls(rows, rolls, "t", "k").collect()}
+    assert [got[d, 1] for d in range(1, 6)] == [11.0, 22.0, 23.0, 34.0, 35.0] and got[5, 2] == 25.0 and len(got) == 15
+    corr = spark.createDataFrame([(a, b, c) for a, b, c in [("a", "b", 0.9), ("b", "c", 0.9), ("a", "c", 0.1), ("d", "a", None), ("d", "d", 1.0)]], "a string, b string, corr double")
+    corr = corr.unionByName(corr.selectExpr("b AS a", "a AS b", "corr")).unionByName(spark.createDataFrame([(k, k, 1.0) for k in "abcd"], corr.schema))
+    assert {(r["key"], r["cluster"]) for r in portfolio.clusters(corr, 0.8).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d")}
+
+
 def test_windows_stream_equals_batch(spark, tmp_path):
     rows = [(dt.datetime(2024, 1, 1, 0, m % 60, m % 7), "a" if m % 2 else "b", float(m)) for m in range(120)]
     df = spark.createDataFrame(rows, "ts timestamp, k string, x double")

@@ -228,155 +228,326 @@ def basket_trades(bars: DataFrame, by: Sequence[str] = ("ref", "scenario")) -> D
     return rows.groupBy(*by, "_trade").agg(F.min("bar").alias("entry_bar"), F.max(F.when(F.col("code").isin(EXIT_TP, EXIT_SL, EXIT_TIME), F.col("bar"))).alias("exit_bar"), F.max_by("code", "bar").alias("exit_code"), F.sum("pnl").alias("pnl"), F.sum("cost").alias("cost")).drop("_trade")
 
 
-def greedy_allocation(alpha: np.ndarray, most: np.ndarray, gross: float, groups: Sequence[tuple[np.ndarray, np.ndarray]] = ()) -> np.ndarray:
-    """Largest alpha first, each up to its bound, the gross cap and the room of its groups ((index per item, room per group))."""
-    out, room = np.zeros(len(alpha)), [r.astype(float).copy() for _, r in groups]
+#: Caps of an allocation: group of each item, side of each item, and by group what is there already (signed) and the most.
+Caps = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def greedy_allocation(alpha: np.ndarray, most: np.ndarray, gross: float, caps: Sequence[Caps] = ()) -> np.ndarray:
+    """Largest alpha first, each up to its bound, the gross cap and the signed room of its groups."""
+    out = np.zeros(len(alpha))
+    now = [current.astype(float).copy() for _, _, current, _ in caps]
     for i in np.argsort(-alpha, kind="stable"):
         if alpha[i] <= 0 or gross <= 0:
             break
-        x = min([most[i], gross, *(r[g[i]] for (g, _), r in zip(groups, room, strict=True))])
+        x = min([most[i], gross, *(cap[g[i]] - side[i] * have[g[i]] for (g, side, _, cap), have in zip(caps, now, strict=True))])
         if x > 0:
             out[i] = x
             gross -= x
-            for (g, _), r in zip(groups, room, strict=True):
-                r[g[i]] -= x
+            for (g, side, _, _), have in zip(caps, now, strict=True):
+                have[g[i]] += side[i] * x
     return out
 
 
-def linear_allocation(alpha: np.ndarray, most: np.ndarray, gross: float, groups: Sequence[tuple[np.ndarray, np.ndarray]] = ()) -> np.ndarray:
-    """max alpha.x with 0 <= x <= most, a gross cap and group caps: a dense simplex (bounds and caps as rows)."""
-    keep = np.flatnonzero((alpha > 0) & (most > 0))
-    if not len(keep):
-        return np.zeros(len(alpha))
-    rows, rhs = [np.eye(len(keep))], [most[keep]]
-    rows.append(np.ones((1, len(keep))))
-    rhs.append(np.array([gross]))
-    for g, r in groups:
-        rows.append((g[keep][None, :] == np.arange(len(r))[:, None]).astype(float))
-        rhs.append(np.maximum(r, 0))
-    a, b = np.vstack(rows), np.concatenate(rhs).astype(float)
+def simplex(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray | None:
+    """max c.x with a x <= b and x >= 0 by a dense two-phase simplex (least index: no cycling); None if nothing is feasible."""
     m, n = a.shape
-    table = np.zeros((m + 1, n + m + 1))
-    table[:m, :n], table[:m, n : n + m], table[:m, -1] = a, np.eye(m), b
-    table[m, :n] = -alpha[keep]
-    basis = list(range(n, n + m))
-    for _ in range(50 * (n + m)):
-        enter = next((j for j in range(n + m) if table[m, j] < -1e-12), -1)  # least index: no cycling
-        if enter < 0:
-            break
-        col = table[:m, enter]
-        ratio = np.where(col > 1e-12, table[:m, -1] / np.where(col > 1e-12, col, 1), np.inf)
-        least = ratio.min()
-        if not np.isfinite(least):
-            break
-        leave = min((i for i in range(m) if ratio[i] <= least + 1e-12), key=lambda i: basis[i])
-        table[leave] /= table[leave, enter]
-        for i in range(m + 1):
-            if i != leave and table[i, enter]:
-                table[i] -= table[i, enter] * table[leave]
-        basis[leave] = enter
-    x = np.zeros(n + m)
-    x[basis] = table[:m, -1]
+    low = np.flatnonzero(b < 0)
+    sign = np.where(b < 0, -1.0, 1.0)
+    extra = np.zeros((m, len(low)))
+    extra[low, np.arange(len(low))] = 1.0
+    table = np.hstack([a * sign[:, None], np.diag(sign), extra, np.abs(b)[:, None]])
+    basis = np.arange(n, n + m)
+    basis[low] = n + m + np.arange(len(low))
+
+    def climb(cost: np.ndarray, columns: int) -> None:
+        while True:
+            gain = cost[:columns] - cost[basis] @ table[:, :columns]
+            better = np.flatnonzero(gain > 1e-11)
+            if not len(better):
+                return
+            col = table[:, better[0]]
+            rows = np.flatnonzero(col > 1e-11)
+            if not len(rows):
+                return  # unbounded, which bounds on every item rule out
+            ratio = table[rows, -1] / col[rows]
+            ties = rows[ratio <= ratio.min() + 1e-12]
+            leave = ties[np.argmin(basis[ties])]
+            table[leave] /= table[leave, better[0]]
+            others = np.arange(m) != leave
+            table[others] -= np.outer(table[others, better[0]], table[leave])
+            basis[leave] = better[0]
+
+    if len(low):
+        climb(np.concatenate([np.zeros(n + m), -np.ones(len(low))]), n + m)
+        if table[basis >= n + m, -1].sum() > 1e-9:
+            return None
+    climb(np.concatenate([c, np.zeros(m + len(low))]), n + m)
+    x = np.zeros(n + m + len(low))
+    x[basis] = table[:, -1]
+    return np.maximum(x[:n], 0.0)
+
+
+def linear_allocation(alpha: np.ndarray, most: np.ndarray, gross: float, caps: Sequence[Caps] = ()) -> np.ndarray | None:
+    """max alpha.x with 0 <= x <= most, a gross cap and signed group caps; None where these cannot hold together."""
     out = np.zeros(len(alpha))
-    out[keep] = x[:n]
+    keep = np.flatnonzero((alpha > 0) & (most > 0))
+    if not len(keep):
+        return out
+    rows, rhs = [np.eye(len(keep)), np.ones((1, len(keep)))], [most[keep], np.array([gross])]
+    for g, side, current, cap in caps:
+        signed = (g[keep][None, :] == np.arange(len(cap))[:, None]) * side[keep].astype(float)
+        rows += [signed, -signed]
+        rhs += [cap - current, cap + current]
+    x = simplex(np.vstack(rows), np.concatenate(rhs).astype(float), alpha[keep])
+    if x is None:
+        return None
+    out[keep] = x
     return out
 
 
+#: What a stamp of the portfolio simulation did (fixed values).
+IDLE, NO_CANDIDATE, WAITING, WAITING_REDUCING = 0, 1, 2, 3
+DONE, DONE_PARTLY, NO_DEPTH, DONE_GREEDY = 100, 101, 102, 110
+INFEASIBLE, NOTHING_SIZED = 200, 201
+#: What became of an order (fixed values).
+FILLED, FILLED_PARTLY, UNFILLED, TOO_LITTLE = 0, 1, 2, 4
+
+
 @dataclass(frozen=True)
 class PortfolioRule:
-    """Gates, caps and execution of the portfolio simulation."""
+    """Gates, caps and execution of the portfolio simulation.
+
+    A trade that brings a position nearer to nothing is reducing and has gates of
+    its own.  gross_cap bounds the risk traded at a stamp; the caps of issuers and
+    maturity buckets (by number) bound the signed risk held.  After a trade nothing,
+    or with ``reduce_while_waiting`` only reducing trades, are done for ``cooldown`` stamps.
+    """
 
     z_inc: float = 2.0
     p_inc: float = 0.05
-    min_alpha_bps: float = 0.0
+    z_dec: float = 1.0
+    p_dec: float = 0.10
+    alpha_inc: float = 0.0
+    alpha_dec: float = 0.0
     gross_cap: float = 1000.0
+    issuer_caps: tuple[float, ...] = ()
+    bucket_caps: tuple[float, ...] = ()
     top_k: int = 10
     haircut: float = 1.0
     levels: int = 5
     min_fill: float = 0.0
+    min_maturity: float = 0.0
     cooldown: int = 0
+    reduce_while_waiting: bool = False
     use_lp: bool = True
+    capital: float = 0.0
 
 
 @dataclass
 class PortfolioState:
-    """What a chunk hands to the next."""
+    """What a chunk hands to the next: holdings and last mids by id, hedges among them, and what was booked."""
 
     pos: dict = field(default_factory=dict)
+    hedge: dict = field(default_factory=dict)
     cash: float = 0.0
     mids: dict = field(default_factory=dict)
-    wait: dict = field(default_factory=dict)
+    wait: int = 0
     equity: float = 0.0
+    hedge_value: float = 0.0
+
+
+def _number(x) -> float:
+    return float("nan") if x is None else float(x)
+
 
+def trade_size(q: float, least: float, step: float) -> float:
+    """Zero below the least size, else half-to-even to the step."""
+    if math.isnan(q) or abs(q) < (least or 0.0):
+        return 0.0
+    return round(q / step) * step if step and step > 1e-15 else q
 
-def portfolio_step(rows: Sequence[dict], state: PortfolioState, rule: PortfolioRule) -> dict:
-    """One stamp: rows have id, bid, ask (lists of (px, sz)), mid, dv01, fair, z, p, long_max, short_max, step, min_qty, bucket."""
-    alpha, most, pick, buckets = [], [], [], []
+
+def _walk(levels: Sequence[tuple[float, float]], qty: float, rule: PortfolioRule) -> tuple[float, float]:
+    """``take_levels`` for the few levels of one order."""
+    got = paid = 0.0
+    for px, sz in [(p, z) for p, z in levels if p is not None and z is not None and p > 0 and z > 0][: rule.levels]:
+        x = min(qty - got, sz * rule.haircut)
+        if x <= 0:
+            break
+        got, paid = got + x, paid + x * px
+    return got, paid
+
+
+def portfolio_candidates(rows: Sequence[dict], state: PortfolioState, rule: PortfolioRule, reducing_only: bool = False) -> list[tuple[float, float, int, bool, dict]]:
+    """(alpha, most risk, side, reducing, row) of every side worth trading, best first; alpha is price edge per unit of dv01."""
+    out = []
     for r in rows:
-        k = r["id"]
-        ok = r["mid"] and r["mid"] > 0 and r["bid"] and r["ask"] and 0 < r["bid"][0][0] <= r["mid"] <= r["ask"][0][0]
-        if not ok:
+        dv01, mid, fair = _number(r["dv01"]), _number(r["mid"]), _number(r["fair"])
+        if not r.get("tradable", True) or not dv01 > 1e-15 or math.isnan(fair) or not r["bid"] or not r["ask"]:
             continue
-        state.mids[k] = r["mid"]
-        if state.wait.get(k, 0) > 0:
-            state.wait[k] -= 1
+        bid, ask = _number(r["bid"][0][0]), _number(r["ask"][0][0])
+        if not (0 < bid <= mid <= ask):
             continue
-        if r["z"] is None or r["p"] is None or r["fair"] is None or abs(r["z"]) <= rule.z_inc or r["p"] >= rule.p_inc or not r["dv01"] or r["dv01"] <= 0:
-            continue
-        for side, px in ((1, r["ask"][0][0]), (-1, r["bid"][0][0])):
-            a = side * (r["fair"] - px) / r["mid"] * 1e4
-            have = state.pos.get(k, 0.0)
-            room = (r["long_max"] - have) if side > 0 else (have - r["short_max"])
-            if a > rule.min_alpha_bps and room > 0:
-                alpha.append(a)
-                most.append(room * r["dv01"])
-                pick.append((r, side))
-                buckets.append(r.get("bucket") or 0)
-    best = sorted(range(len(alpha)), key=lambda i: (-alpha[i], str(pick[i][0]["id"])))[: rule.top_k]
-    used = sum(abs(q) * next((r["dv01"] or 0.0 for r in rows if r["id"] == k), 0.0) for k, q in state.pos.items())
-    room = max(0.0, rule.gross_cap - used)
-    solve = linear_allocation if rule.use_lp else greedy_allocation
-    size = solve(np.array([alpha[i] for i in best]), np.array([most[i] for i in best]), room) if best else np.zeros(0)
-    cost = traded = 0.0
-    n = 0
-    for i, dv in zip(best, size, strict=True):
-        r, side = pick[i]
-        qty = dv / r["dv01"]
-        if r["step"]:
-            qty = round(qty / r["step"]) * r["step"]
-        if qty <= 0 or qty < r["min_qty"]:
-            continue
-        book = np.array(r["ask"] if side > 0 else r["bid"], float).reshape(-1, 2)
-        got, paid = take_levels(book[:, 0], book[:, 1], qty, rule.haircut, rule.levels)
-        if got <= 0 or got < rule.min_fill * qty:
+        have, z, p = state.pos.get(r["id"], 0.0), abs(_number(r["z"])), _number(r["p"])
+        for side, edge in ((1, fair - ask), (-1, bid - fair)):
+            reducing = side * have < -1e-15
+            opens = (z > rule.z_dec and p < rule.p_dec) if reducing else (z > rule.z_inc and p < rule.p_inc and not reducing_only)
+            if not opens or edge / dv01 <= (rule.alpha_dec if reducing else rule.alpha_inc):
+                continue
+            if not reducing and rule.min_maturity > 0 and _number(r.get("maturity", math.inf)) < rule.min_maturity:
+                continue
+            sizes = [_number(z) for _, z in (r["ask"] if side > 0 else r["bid"])]
+            if not sizes[0] > 1e-15:
+                continue
+            room = r["long_max"] - have if side > 0 else have - r["short_max"]
+            most = r.get("most_dec" if reducing else "most_inc")
+            room = min(room, abs(have) if reducing else math.inf, math.inf if most is None else most)
+            if room >= 1e-15:
+                depth = sum(z for z in sizes[: rule.levels] if z > 0) * rule.haircut
+                out.append((edge / dv01, min(room, depth) * dv01, side, reducing, r))
+    return sorted(out, key=lambda c: (-c[0], str(c[4]["id"])))[: rule.top_k]
+
+
+def _sized(found: list, rows: Sequence[dict], state: PortfolioState, rule: PortfolioRule) -> np.ndarray:
+    """Risk per candidate; nothing is traded where the caps cannot hold."""
+    alpha, most, side = (np.array([c[k] for c in found], float) for k in range(3))
+    caps = []
+    for name, cap in (("issuer", rule.issuer_caps), ("bucket", rule.bucket_caps)):
+        if cap:
+            held = np.zeros(len(cap))
+            for r in rows:
+                if 0 <= (r.get(name) if r.get(name) is not None else -1) < len(cap) and not math.isnan(_number(r["dv01"])):
+                    held[r[name]] += state.pos.get(r["id"], 0.0) * r["dv01"]
+            caps.append((np.array([c[4][name] for c in found]), side, held, np.array(cap, float)))
+    if not rule.use_lp:
+        return greedy_allocation(alpha, most, rule.gross_cap, caps)
+    size = linear_allocation(alpha, most, rule.gross_cap, caps)
+    return np.zeros(len(found)) if size is None else size
+
+
+def portfolio_step(rows: Sequence[dict], state: PortfolioState, rule: PortfolioRule, hedges: Sequence[dict] = ()) -> tuple[dict, list[dict]]:
+    """One stamp: (bar, fills).
+
+    rows have id, bid, ask (lists of (px, sz)), mid, dv01, fair, z, p, long_max, short_max, step, min_qty and may have
+    tradable, maturity, issuer, bucket, most_inc, most_dec, hedge_ratios (id -> signed ratio); hedges have id, bid, ask,
+    mid, dv01 and may have step and min_qty.  Hedges follow the risk of all positions at every stamp.
+    """
+    fills: list[dict] = []
+    cost = hedge_cost = hedge_paid = 0.0
+    waiting, code = state.wait > 0, IDLE
+    state.wait = max(0, state.wait - 1)
+    if waiting:
+        code = WAITING_REDUCING if rule.reduce_while_waiting else WAITING
+    if not waiting or rule.reduce_while_waiting:
+        found = portfolio_candidates(rows, state, rule, waiting)
+        if not found and not waiting:
+            code = NO_CANDIDATE
+        if found:
+            sizes = _sized(found, rows, state, rule)
+            for (alpha, _, side, reducing, r), risk in zip(found, sizes.tolist(), strict=True):
+                want = trade_size(risk / r["dv01"], r["min_qty"], r["step"])
+                if not want >= 1e-15:
+                    continue
+                got, paid = _walk(r["ask"] if side > 0 else r["bid"], want, rule)
+                became = UNFILLED if got < 1e-15 else TOO_LITTLE if got < rule.min_fill * want else FILLED_PARTLY if got < want - 1e-10 else FILLED
+                vwap = paid / got if got >= 1e-15 else None
+                if became in (UNFILLED, TOO_LITTLE):
+                    got = paid = 0.0
+                lost = abs(paid - got * r["mid"])
+                fills.append({"id": str(r["id"]), "hedge": False, "side": side, "wanted": want, "filled": got, "px": vwap, "mid": float(r["mid"]), "dv01": got * r["dv01"], "alpha": alpha, "reducing": reducing, "cost": lost, "became": became})
+                state.pos[r["id"]] = state.pos.get(r["id"], 0.0) + side * got
+                state.cash -= side * paid
+                cost += lost
+            kinds = {f["became"] for f in fills}
+            done = kinds & {FILLED, FILLED_PARTLY}
+            code = ((DONE if rule.use_lp else DONE_GREEDY) if kinds == {FILLED} else DONE_PARTLY) if done else NO_DEPTH if kinds else INFEASIBLE if rule.use_lp else NOTHING_SIZED
+            if done:
+                state.wait = rule.cooldown
+    for h in hedges:
+        mid, dv01 = _number(h["mid"]), _number(h["dv01"])
+        if math.isnan(mid):
             continue
-        state.pos[r["id"]] = state.pos.get(r["id"], 0.0) + side * got
-        state.cash -= side * paid
-        state.wait[r["id"]] = rule.cooldown
-        cost += abs(paid - got * r["mid"])
-        traded += got * r["dv01"]
-        n += 1
-    equity = state.cash + sum(q * state.mids.get(k, 0.0) for k, q in state.pos.items())
-    out = {"n_trades": n, "cost": cost, "traded_dv01": traded, "pnl": equity - state.equity, "equity": equity, "open_positions": sum(1 for q in state.pos.values() if abs(q) > 1e-12)}
-    state.equity = equity
-    return out
+        # without a dv01 there is no target: the hedge is closed
+        target = sum(state.pos.get(r["id"], 0.0) * r["dv01"] * ((r.get("hedge_ratios") or {}).get(h["id"]) or 0.0) for r in rows if _number(r["dv01"]) > 1e-15) / dv01 if dv01 > 1e-15 else 0.0
+        want = trade_size(target - state.hedge.get(h["id"], 0.0), h.get("min_qty") or 0.0, h.get("step") or 0.0)
+        side = 1 if want > 0 else -1
+        got, paid = _walk(h["ask"] if side > 0 else h["bid"], abs(want), rule) if abs(want) >= 1e-15 else (0.0, 0.0)
+        if got >= 1e-15:
+            lost = abs(paid - got * mid)
+            fills.append({"id": str(h["id"]), "hedge": True, "side": side, "wanted": abs(want), "filled": got, "px": paid / got, "mid": mid, "dv01": got * dv01, "alpha": None, "reducing": False, "cost": lost, "became": FILLED if got >= abs(want) - 1e-10 else FILLED_PARTLY})
+            state.hedge[h["id"]] = state.hedge.get(h["id"], 0.0) + side * got
+            state.cash -= side * paid
+            hedge_cost += lost
+            hedge_paid += side * paid
+    state.mids.update({k["id"]: float(k["mid"]) for k in (*rows, *hedges) if not math.isnan(_number(k["mid"]))})
+    value, hedge_value = (sum(q * state.mids.get(k, 0.0) for k, q in held.items()) for held in (state.pos, state.hedge))
+    equity = state.cash + value + hedge_value
+    risk = {k["id"]: 0.0 if math.isnan(_number(k["dv01"])) else float(k["dv01"]) for k in (*rows, *hedges)}
+    net, gross = (sum(f(q) * risk.get(k, 0.0) for k, q in state.pos.items()) for f in (float, abs))
+    bar = {
+        "code": code, "n_trades": sum(not f["hedge"] and f["filled"] > 0 for f in fills), "cost": cost, "hedge_cost": hedge_cost, "traded_dv01": sum(f["dv01"] for f in fills if not f["hedge"]), "pnl": equity - state.equity, "gross_pnl": equity - state.equity + cost + hedge_cost,
+        "hedge_pnl": hedge_value - state.hedge_value - hedge_paid, "equity": equity, "position_value": value, "hedge_value": hedge_value, "net_dv01": net, "gross_dv01": gross, "hedge_dv01": sum(q * risk.get(k, 0.0) for k, q in state.hedge.items()),
+        "cooldown": state.wait, "open_positions": sum(abs(q) > 1e-12 for q in state.pos.values()),
+    }
+    state.equity, state.hedge_value = equity, hedge_value
+    return bar, fills
+
+
+PORTFOLIO_BARS = (
+    "code int, n_trades int, cost double, hedge_cost double, traded_dv01 double, pnl double, gross_pnl double, hedge_pnl double, equity double, position_value double, hedge_value double, "
+    "net_dv01 double, gross_dv01 double, hedge_dv01 double, cooldown int, open_positions int"
+)
+PORTFOLIO_FILLS = "id string, hedge boolean, side int, wanted double, filled double, px double, mid double, dv01 double, alpha double, reducing boolean, cost double, became int"
+
+
+def _portfolio(market: DataFrame, by: str, ts: str, rule: PortfolioRule, fills: bool) -> DataFrame:
+    hedged = "hedges" in market.columns
+
+    def plain(rows) -> list[dict]:
+        made = [{**r, "bid": [(x["px"], x["sz"]) for x in r["bid"]], "ask": [(x["px"], x["sz"]) for x in r["ask"]]} for r in (rows if rows is not None else ())]
+        for r in made:
+            if isinstance(r.get("hedge_ratios"), list):
+                r["hedge_ratios"] = dict(r["hedge_ratios"])
+        return sorted(made, key=lambda r: str(r["id"]))
 
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        state, out = PortfolioState(cash=rule.capital, equity=rule.capital), []
+        part = part.sort_values(ts)
+        columns = [part[c].tolist() for c in (ts, "rows", *(["hedges"] if hedged else []))]
+        for stamp, rows, *rest in zip(*columns, strict=True):
+            bar, done = portfolio_step(plain(rows), state, rule, plain(rest[0]) if rest else ())
+            out += [{by: part[by].iloc[0], ts: stamp, **x} for x in (done if fills else [bar])]
+        return pd.DataFrame(out, columns=names)
 
-PORTFOLIO_BARS = "n_trades int, cost double, traded_dv01 double, pnl double, equity double, open_positions int"
+    kinds = dict(market.dtypes)
+    schema = f"{by} {kinds[by]}, {ts} {kinds[ts]}, {PORTFOLIO_FILLS if fills else PORTFOLIO_BARS}"
+    names = [by, ts, *(x.split()[0] for x in (PORTFOLIO_FILLS if fills else PORTFOLIO_BARS).split(", "))]
+    return market.groupBy(by).applyInPandas(run, schema)
 
 
 def portfolio_backtest(market: DataFrame, by: str = "book", ts: str = "ts", rule: PortfolioRule = PortfolioRule()) -> DataFrame:
-    """The portfolio simulation per book, stamps in order; market has one row per (book, stamp) with ``rows`` array<struct>."""
+    """Bars of the portfolio simulation per book, stamps in order; market has one row per (book, stamp) with ``rows`` and, on demand, ``hedges`` (array<struct>)."""
+    return _portfolio(market, by, ts, rule, False)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        state, out = PortfolioState(), []
-        for stamp, rows in part.sort_values(ts)[[ts, "rows"]].itertuples(index=False):
-            plain = [{**r, "bid": [(x["px"], x["sz"]) for x in r["bid"]], "ask": [(x["px"], x["sz"]) for x in r["ask"]]} for r in sorted(rows, key=lambda r: str(r["id"]))]
-            out.append({by: part[by].iloc[0], ts: stamp, **portfolio_step(plain, state, rule)})
-        return pd.DataFrame(out)
 
-    kinds = dict(market.dtypes)
-    return market.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {ts} {kinds[ts]}, {PORTFOLIO_BARS}")
+def portfolio_fills(market: DataFrame, by: str = "book", ts: str = "ts", rule: PortfolioRule = PortfolioRule()) -> DataFrame:
+    """Orders of the same simulation, instruments and hedges, with what became of them."""
+    return _portfolio(market, by, ts, rule, True)
+
+
+def instrument_pnl(fills: DataFrame, mids: DataFrame, by: str = "book", ts: str = "ts") -> DataFrame:
+    """Per book, stamp and instrument: holding after the stamp's fills and the pnl since the stamp before.
+
+    mids: (by, ts, id, mid) of all stamps.  What was held moves with the mid, what was traded from its price to the mid; no fold.
+    """
+    signed = F.col("side") * F.col("filled")
+    moved = fills.groupBy(by, ts, "id").agg(F.sum(signed).alias("_q"), F.sum(-signed * F.coalesce("px", F.lit(0.0))).alias("_cash"))
+    w = Window.partitionBy(by, "id").orderBy(ts)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = mids.select(by, ts, F.col("id").cast("string").alias("id"), F.last("mid", ignorenulls=True).over(upto).alias("_mid")).join(moved, [by, ts, "id"], "left").fillna(0.0, ["_q", "_cash"])
+    rows = rows.withColumn("holding", F.sum("_q").over(upto)).withColumn("_mid", F.coalesce("_mid", F.lit(0.0)))
+    moved = F.coalesce(F.lag("holding").over(w), F.lit(0.0)) * F.coalesce(F.col("_mid") - F.lag("_mid").over(w), F.lit(0.0))
+    return rows.select(by, ts, "id", "holding", (moved + F.col("_q") * F.col("_mid") + F.col("_cash")).alias("pnl"))
 
 
 def hedge_targets(positions: DataFrame, ratios: DataFrame, hedge_dv01: DataFrame, ts: str = "ts") -> DataFrame:

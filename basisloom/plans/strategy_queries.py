@@ -485,28 +485,63 @@ def basket_trades(t: Tables) -> DataFrame:
     return backtest.basket_trades(_baskets(t))
 
 
-_SINGLE = f"""{_MARKET}, s AS (SELECT DISTINCT k, 0::BIGINT AS i, 0 AS wait, 0::DOUBLE AS pos, 0::DOUBLE AS cash, 0::DOUBLE AS equity, 0 AS n, 0::DOUBLE AS cost, 0::DOUBLE AS traded, 0::DOUBLE AS pnl FROM b
-  UNION ALL SELECT k, i, CASE WHEN wait > 0 THEN wait - 1 WHEN does THEN 2 ELSE 0 END, npos, ncash, ncash + npos * mid, does::INT, CASE WHEN does THEN abs(paid - got * mid) ELSE 0 END, CASE WHEN does THEN got * dv ELSE 0 END, ncash + npos * mid - equity
+_SINGLE = f"""{_MARKET}, s AS (SELECT DISTINCT k, 0::BIGINT AS i, 0 AS wait, 0::DOUBLE AS pos, 0::DOUBLE AS cash, 0::DOUBLE AS equity, 0::DOUBLE AS hpos, 0::DOUBLE AS hval, 0 AS code, 0 AS dir, 0::DOUBLE AS q, 0::DOUBLE AS got, 0::DOUBLE AS paid, 0 AS does, 0 AS tries, 0::DOUBLE AS cost, 0::DOUBLE AS hcost, 0::DOUBLE AS pnl, 0::DOUBLE AS hpnl, 0::DOUBLE AS trade, 0::DOUBLE AS hpx, 0::DOUBLE AS alpha, 0 AS dec FROM b
+  UNION ALL SELECT k, i, CASE WHEN wait > 0 THEN wait - 1 WHEN does THEN 2 ELSE 0 END, npos, ncash - trade * hpx, ncash - trade * hpx + npos * mid + (hpos + trade) * hm, hpos + trade, (hpos + trade) * hm,
+    CASE WHEN wait > 0 THEN 2 WHEN NOT opens THEN 1 WHEN NOT tries THEN 200 WHEN does AND got >= q - 1e-10 THEN 100 WHEN does THEN 101 ELSE 102 END, dir, q, got, paid, does::INT, tries::INT, CASE WHEN does THEN abs(paid - got * mid) ELSE 0 END, abs(trade) * 0.25,
+    ncash - trade * hpx + npos * mid + (hpos + trade) * hm - equity, (hpos + trade) * hm - hval - trade * hpx, trade, hpx, alpha, dec::INT
+  FROM (SELECT *, npos * dv * -0.5 / 2 - hpos AS trade, hm + 0.25 * sign(npos * dv * -0.5 / 2 - hpos) AS hpx
   FROM (SELECT *, CASE WHEN does THEN pos + dir * got ELSE pos END AS npos, CASE WHEN does THEN cash - dir * paid ELSE cash END AS ncash
-  FROM (SELECT *, tries AND q >= 2 AND got > 0 AND got >= 0.5 * q AS does FROM (SELECT *, {_TAKE}
-  FROM (SELECT *, round_even(least(room * dv, greatest(0, 300 - abs(pos) * dv)) / dv, 0) AS q, wait = 0 AND coalesce(abs(z) > 1, false) AND alpha > 5 AND room > 0 AS tries
-  FROM (SELECT s.k, b.i, wait, pos, cash, equity, mid, v, dv, z, CASE WHEN z > 0 THEN -1 ELSE 1 END AS dir, CASE WHEN z > 0 THEN mid - 0.5 - (mid - 2 * z) ELSE mid - 2 * z - (mid + 0.5) END / mid * 1e4 AS alpha, CASE WHEN z > 0 THEN pos + 60 ELSE 60 - pos END AS room FROM s JOIN b ON b.k = s.k AND b.i = s.i + 1))))))"""
+  FROM (SELECT *, tries AND got >= 1e-15 AND got >= 0.5 * q AS does FROM (SELECT *, opens AND q >= 1e-15 AS tries, {_TAKE}
+  FROM (SELECT *, CASE WHEN least(least(room, 3 * v) * dv, 300) / dv < 2 THEN 0 ELSE round_even(least(least(room, 3 * v) * dv, 300) / dv, 0) END AS q,
+    wait = 0 AND coalesce(abs(z) > CASE WHEN dec THEN 0.8 ELSE 1 END, false) AND coalesce(alpha > CASE WHEN dec THEN 0.02 ELSE 0.05 END, false) AND room >= 1e-15 AS opens
+  FROM (SELECT *, CASE WHEN dec THEN least(head, abs(pos)) ELSE head END AS room
+  FROM (SELECT *, dir * pos < -1e-15 AS dec, 60 - dir * pos AS head FROM (SELECT s.k, b.i, wait, pos, cash, equity, hpos, hval, mid, v, dv, z, 50 + mid / 10 AS hm, CASE WHEN z > 0 THEN -1 ELSE 1 END AS dir, (2 * abs(z) - 0.5) / dv AS alpha FROM s JOIN b ON b.k = s.k AND b.i = s.i + 1)))))))))"""
+_BOOK_RULE = backtest.PortfolioRule(z_inc=1.0, z_dec=0.8, alpha_inc=0.05, alpha_dec=0.02, gross_cap=300.0, min_fill=0.5, cooldown=2)
 
 
-@query(
-    f"WITH RECURSIVE {_SINGLE} SELECT k AS book, b.t AS ts, n::INT AS n_trades, cost, traded AS traded_dv01, pnl, equity, (abs(pos) > 1e-12)::INT AS open_positions FROM s JOIN b USING (k, i) WHERE i > 0",
-    "cost traded_dv01 pnl equity",
-)
-def portfolio_backtests(t: Tables) -> DataFrame:
-    """The portfolio simulation on books of one instrument: gates, caps, sizes, fills and equity."""
+def _hedged_market(t: Tables) -> DataFrame:
     z, mid = F.col("z"), F.col("mid")
+    ratios = F.create_map(F.lit("h"), F.lit(-0.5))
     row = F.struct(
         F.lit("a").alias("id"), "bid", "ask", "mid", "dv01", (mid - 2 * z).alias("fair"), "z", F.lit(0.01).alias("p"), F.lit(60.0).alias("long_max"), F.lit(-60.0).alias("short_max"),
-        F.lit(1.0).alias("step"), F.lit(2.0).alias("min_qty"),
+        F.lit(1.0).alias("step"), F.lit(2.0).alias("min_qty"), ratios.alias("hedge_ratios"),
     )
-    market = _market(t).select(F.col("ref").alias("book"), "ts", F.array(row).alias("rows"))
-    rule = backtest.PortfolioRule(z_inc=1.0, min_alpha_bps=5.0, gross_cap=300.0, min_fill=0.5, cooldown=2)
-    return backtest.portfolio_backtest(market, rule=rule)
+    side = lambda away: F.array(F.struct((50 + mid / 10 + away).alias("px"), F.lit(1e6).alias("sz")))
+    hedge = F.struct(F.lit("h").alias("id"), side(-0.25).alias("bid"), side(0.25).alias("ask"), (50 + mid / 10).alias("mid"), F.lit(2.0).alias("dv01"))
+    return _market(t).select(F.col("ref").alias("book"), "ts", "mid", F.array(row).alias("rows"), F.array(hedge).alias("hedges"))
+
+
+@query(
+    f"""WITH RECURSIVE {_SINGLE} SELECT k AS book, b.t AS ts, code::INT AS code, does::INT AS n_trades, cost, hcost AS hedge_cost, does * got * b.dv AS traded_dv01, pnl, pnl + cost + hcost AS gross_pnl, hpnl AS hedge_pnl, equity, pos * mid AS position_value, hval AS hedge_value,
+      pos * b.dv AS net_dv01, abs(pos) * b.dv AS gross_dv01, hpos * 2 AS hedge_dv01, wait::INT AS cooldown, (abs(pos) > 1e-12)::INT AS open_positions FROM s JOIN b USING (k, i) WHERE i > 0""",
+    "cost hedge_cost traded_dv01 pnl gross_pnl hedge_pnl equity position_value hedge_value net_dv01 gross_dv01 hedge_dv01",
+)
+def portfolio_backtests(t: Tables) -> DataFrame:
+    """The portfolio simulation on books of one instrument and its hedge: gates, caps, sizes, fills, hedges and equity."""
+    return backtest.portfolio_backtest(_hedged_market(t), rule=_BOOK_RULE)
+
+
+@query(
+    f"""WITH RECURSIVE {_SINGLE}, f AS (SELECT k AS book, b.t AS ts, s.*, b.mid, b.dv FROM s JOIN b USING (k, i) WHERE i > 0)
+    SELECT book, ts, 'a' AS id, false AS hedge, dir::INT AS side, q AS wanted, does * got AS filled, CASE WHEN got >= 1e-15 THEN paid / got END AS px, mid, does * got * dv AS dv01, alpha, dec = 1 AS reducing, cost, (CASE WHEN got < 1e-15 THEN 2 WHEN does = 0 THEN 4 WHEN got < q - 1e-10 THEN 1 ELSE 0 END)::INT AS became FROM f WHERE tries = 1
+    UNION ALL SELECT book, ts, 'h', true, sign(trade)::INT, abs(trade), abs(trade), hpx, 50 + mid / 10, abs(trade) * 2, NULL, false, hcost, 0 FROM f WHERE abs(trade) >= 1e-15""",
+    "wanted filled px mid dv01 alpha cost",
+)
+def portfolio_orders(t: Tables) -> DataFrame:
+    """Orders of instruments and hedges in the portfolio simulation, with what became of them."""
+    return backtest.portfolio_fills(_hedged_market(t), rule=_BOOK_RULE)
+
+
+@query(
+    f"""WITH RECURSIVE {_SINGLE} SELECT k AS book, b.t AS ts, 'a' AS id, pos AS holding, coalesce(lag(pos) OVER w, 0) * coalesce(b.mid - lag(b.mid) OVER w, 0) + does * dir * (got * b.mid - paid) AS pnl
+    FROM s JOIN b USING (k, i) WHERE i > 0 WINDOW w AS (PARTITION BY k ORDER BY i)""",
+    "holding pnl",
+)
+def instrument_profits(t: Tables) -> DataFrame:
+    """Holding and profit per book, day and instrument."""
+    market = _hedged_market(t)
+    fills = backtest.portfolio_fills(market, rule=_BOOK_RULE).where("NOT hedge")
+    return backtest.instrument_pnl(fills, market.select("book", "ts", F.lit("a").alias("id"), "mid"))
 
 
 # -- learning and sweeps ----------------------------------------------------------------

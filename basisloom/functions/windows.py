@@ -155,17 +155,32 @@ def zscore(axis: Axis, c: Column | str, window: int, min_periods: int | None = N
     return clipped(z, clip)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _middle(ordered: Column) -> Column:
+    """The median of a sorted array."""
+    last = F.size(ordered) - 1
+    half = F.shiftright(last, 1)
+    return (F.get(ordered, half) + F.get(ordered, last - half)) / 2
+
+
 def robust_zscore(axis: Axis, c: Column | str, window: int, min_periods: int | None = None, eps: float = 1e-12, clip: float | None = None) -> Column:
-    """(x - median) / max(1.4826 * MAD, eps), the deviations taken from the frame's own median."""
+    """(x - median) / max(1.4826 * MAD, eps), the deviations taken from the frame's own median.
+
+    Both medians come from one list of the frame's values, sorted once.
+    """
     c = F.col(c) if isinstance(c, str) else c
     w = axis.frame(window)
     need = min_periods if min_periods is not None else window
-    values, mid = F.collect_list(c).over(w), F.percentile(c, F.lit(0.5)).over(w)
-    dev = F.array_sort(F.transform(values, lambda v: F.abs(v - mid)))
-    n = F.size(dev)
-    half = F.floor((n - 1) / 2).cast("int")
-    mad = (F.get(dev, half) + F.get(dev, (n - 1 - half).cast("int"))) / 2
-    z = F.when(F.count(c).over(w) >= need, (c - mid) / F.greatest(1.4826 * mad, F.lit(eps)))
+
+    def score(values: Column) -> Column:
+        deviations = _let(_middle(values), lambda mid: F.array_sort(F.transform(values, lambda v: F.abs(v - mid))))
+        return (c - _middle(values)) / F.greatest(1.4826 * _let(deviations, _middle), F.lit(eps))
+
+    z = F.when(F.count(c).over(w) >= need, _let(F.array_sort(F.collect_list(c).over(w)), score))
     return clipped(z, clip)
 
 

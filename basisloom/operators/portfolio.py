@@ -233,3 +233,38 @@ def target_changes(current: DataFrame, previous: DataFrame, key: str = "bond_id"
     a, b = current.select(key, F.col(value).alias("new")), previous.select(key, F.col(value).alias("old"))
     out = a.join(b, key, "full").fillna(0.0, ["new", "old"])
     return out.withColumn("change", F.col("new") - F.col("old")).withColumn("pct", F.when(F.col("old") != 0, F.col("change") / F.abs("old")))
+
+
+def strategy_signals(df: DataFrame, ts: str, ids: Sequence[str], weights: Sequence[float] = (1.0, -2.0, 1.0), signal: str = "signal", z: str = "zscore", strength: str | None = "strength", name: Column | None = None, gross: float | None = None) -> DataFrame:
+    """Rows of a signal as nested strategy signals: timestamp, strategy_id, legs, direction, signal_value, target_gross_dv01, confidence.
+
+    ids: columns with the legs' bonds; the name defaults to fly_<ids>.
+    """
+    legs = F.array(*(F.struct(F.col(i).cast("string").alias("bond_id"), F.lit(float(w)).alias("weight")) for i, w in zip(ids, weights, strict=True)))
+    name = name if name is not None else F.concat_ws("_", F.lit("fly"), *(F.col(i).cast("string") for i in ids))
+    confidence = F.col(strength).cast("double") if strength else F.lit(None).cast("double")
+    return df.select(F.col(ts).alias("timestamp"), name.alias("strategy_id"), legs.alias("legs"), F.col(signal).cast("int").alias("direction"), F.col(z).cast("double").alias("signal_value"), F.lit(gross).cast("double").alias("target_gross_dv01"), confidence.alias("confidence"))
+
+
+def chosen_signals(signals: DataFrame, strategies: Sequence[str] | None = None, direction: int | None = None, active: bool = False) -> DataFrame:
+    """Signals of given strategies, of one direction, or those that are not flat."""
+    if strategies is not None:
+        signals = signals.where(F.col("strategy_id").isin(list(strategies)))
+    if direction is not None:
+        signals = signals.where(F.col("direction") == direction)
+    return signals.where("direction <> 0") if active else signals
+
+
+def cov_of_correlations(df: DataFrame, key: str, r: str, corr: DataFrame) -> DataFrame:
+    """(a, b, value): pairwise correlations times each key's own deviation, on whatever dates it has."""
+    std = df.groupBy(F.col(key).alias("_k")).agg(F.stddev_samp(r).alias("_s"))
+    a, b = std.select(F.col("_k").alias("a"), F.col("_s").alias("_sa")), std.select(F.col("_k").alias("b"), F.col("_s").alias("_sb"))
+    return corr.join(a, "a").join(b, "b").select("a", "b", (F.col("corr") * F.col("_sa") * F.col("_sb")).alias("value"))
+
+
+def weight_faults(weights: DataFrame, by: Sequence[str] = (), weight: str = "weight", tolerance: float = 1e-6) -> DataFrame:
+    """Per portfolio: missing and negative weights, their sum, and whether all is well."""
+    w = F.col(weight)
+    missing = F.coalesce(F.isnan(w) | w.isNull(), F.lit(True))
+    out = weights.groupBy(*by).agg(F.sum(missing.cast("long")).alias("n_missing"), F.sum((~missing & (w < 0)).cast("long")).alias("n_negative"), F.coalesce(F.sum(F.when(~missing, w)), F.lit(0.0)).alias("total"))
+    return out.withColumn("is_valid", (F.col("n_missing") == 0) & (F.col("n_negative") == 0) & (F.abs(F.col("total") - 1) <= tolerance))

@@ -324,3 +324,24 @@ def kpss(df: DataFrame, axis: Axis, c: str, out: str = "kpss") -> DataFrame:
     rows = rows.withColumn("_s", F.sum("_e").over(axis.frame(None)))
     n = F.count(F.lit(1))
     return rows.groupBy(*axis.by).agg(n.alias("n"), (F.sum(F.col("_s") * F.col("_s")) / (n * n) / F.nullif(F.sum(F.col("_e") * F.col("_e")) / n, F.lit(0.0))).alias(out))
+
+
+def rolling_kpss(axis: Axis, c: str, window: int = 60) -> tuple[Column, Column]:
+    """(statistic, p-step) of level stationarity over each full frame, with the short-run variance.
+
+    The p-value steps at the test's critical values (fixed values); frames of fewer
+    than ten rows or without variance say 0.
+    """
+    w = axis.frame(window)
+    full = F.count(c).over(w) == window
+    mean = F.avg(c).over(w)
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"), F.lit(0.0).alias("ee"))
+
+    def add(acc: Column, x: Column) -> Column:
+        s = acc["s"] + x
+        return F.struct(s.alias("s"), (acc["ss"] + s * s).alias("ss"), (acc["ee"] + x * x).alias("ee"))
+
+    sums = F.aggregate(F.transform(F.collect_list(c).over(w), lambda v: v - mean), start, add, lambda a: a["ss"] / window / F.nullif(a["ee"], F.lit(0.0)))
+    stat = F.when(full, sums)
+    p = F.when(stat > 0.739, 0.01).when(stat > 0.463, 0.05).when(stat > 0.347, 0.10).otherwise(0.50)
+    return stat, F.when(full, F.when(stat.isNull() | F.lit(window < 10), 0.0).otherwise(p))

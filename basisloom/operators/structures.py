@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.windows import Axis
+from .panel import resolve_mapping
 
 LEGS = ("front", "belly", "back")
 
@@ -127,6 +129,45 @@ def cross_pairs(df: DataFrame, bucket: str, side: str, key: str) -> DataFrame:
     return a.join(b, bucket).where("side_a < side_b")
 
 
+def mapped_structures(mapping: DataFrame, asked: DataFrame, kind: str, buckets: Sequence[Sequence[str]], roles: Sequence[str], label: str, country: str = "country", bucket: str = "bucket") -> DataFrame:
+    """Structures of the instruments in force: per (country, asof) of ``asked`` and tuple of buckets one leg per bucket; all must be mapped.
+
+    mapping: country, bucket, isin, effective_from, effective_to.  All countries, dates
+    and tuples are resolved in one pass.
+    """
+    names = sorted({b for row in buckets for b in row})
+    wanted = asked.select(country, "asof").distinct().withColumn(bucket, F.explode(F.array(*(F.lit(n) for n in names))))
+    found = resolve_mapping(mapping, wanted, [country, bucket]).where(F.col("isin").isNotNull())
+    table = found.groupBy(country, "asof").agg(F.map_from_entries(F.collect_list(F.struct(bucket, F.col("isin").cast("string")))).alias("_isin"))
+
+    def one(row: Sequence[str]) -> Column:
+        legs = F.array(*(F.struct(F.lit(role).alias("role"), F.try_element_at("_isin", F.lit(b)).alias("isin")) for b, role in zip(row, roles, strict=True)))
+        return F.struct(F.lit(kind).alias("type"), F.concat(F.col(country), F.lit(f"_{label}_{''.join(row)}_{kind.rsplit('_', 1)[-1]}")).alias("name"), F.lit(",".join(row)).alias("tenors"), legs.alias("legs"))
+
+    rows = table.select(country, "asof", F.explode(F.array(*(one(r) for r in buckets))).alias("_s")).select("asof", country, "_s.*")
+    return rows.where(F.forall("legs", lambda leg: leg["isin"].isNotNull()))
+
+
+def mapped_spreads(mapping: DataFrame, asked: DataFrame, pairs: Sequence[tuple[str, str]], buckets: Sequence[str], kind: str = "CROSS_COUNTRY_SPREAD", country: str = "country", bucket: str = "bucket") -> DataFrame:
+    """Two countries' instruments of one bucket against each other, per asof of ``asked``."""
+    both = mapping.withColumn("_side", F.col(country)).withColumn(country, F.lit("")).withColumn(bucket, F.concat("_side", F.lit("|"), F.col(bucket))).drop("_side")
+    dates = asked.select(F.lit("").alias(country), "asof").distinct()
+    out = None
+    for a, b in pairs:
+        part = mapped_structures(both, dates, kind, [(f"{a}|{t}", f"{b}|{t}") for t in buckets], (a, b), "BM", country, bucket)
+        tenor = F.substring_index(F.col("tenors"), "|", -1)
+        part = part.select("asof", F.lit(None).cast("string").alias(country), "type", F.concat(F.lit(f"{a}{b}_BM_"), tenor, F.lit("_SPREAD")).alias("name"), tenor.alias("tenors"), "legs")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def structure_table(*universes: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
+    """Structures of all generators in one table, legs as ``role:isin;...``; of chosen types on demand."""
+    rows = reduce(lambda a, b: a.unionByName(b), universes)
+    rows = rows if types is None else rows.where(F.col("type").isin(list(types)))
+    return rows.withColumn("legs", F.array_join(F.transform("legs", lambda x: F.concat(x["role"], F.lit(":"), x["isin"])), ";"))
+
+
 def _normal(axis: Axis, y: str, x1: str, x2: str, window: int | None, min_obs: int) -> dict[str, Column]:
     """Rolling means, variances and covariances of y on (x1, x2) over complete rows."""
     ok = F.col(y).isNotNull() & F.col(x1).isNotNull() & F.col(x2).isNotNull()

@@ -10,7 +10,7 @@ from ..functions import windows as win
 from ..functions.windows import Axis
 from ..operators import backtest, distributions, learning, lifecycle, metrics, panel, portfolio, selection, signals, strategies, structures, sweeps
 from .registry import DAILY, DAYS, PANEL, RETURNS, SQL, Tables, query
-from .series_queries import _RULE, _signals
+from .series_queries import _RULE, _SIG, _signals
 from .table_queries import _CDF, _FULL, _LEGS, _structure
 
 _Z = f"""{DAILY}, z AS (SELECT k, t, x, v, row_number() OVER (PARTITION BY k ORDER BY t) AS i, CASE WHEN count(x) OVER f >= 5 THEN (x - avg(x) OVER f) / greatest(stddev_samp(x) OVER f, 1e-12) END AS z
@@ -373,6 +373,75 @@ def annual_turnovers(t: Tables) -> DataFrame:
     return rows.groupBy("k").agg(metrics.annual_turnover(F.col("tr"), F.col("v")).alias("turnover"))
 
 
+@query(
+    f"""WITH {DAILY}, a AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t) AS i FROM q), f AS (SELECT a.k, a.t, a.i, b.i AS j, b.x - avg(b.x) OVER (PARTITION BY a.k, a.i) AS e FROM a JOIN a b ON b.k = a.k AND b.i BETWEEN a.i - 11 AND a.i),
+    s AS (SELECT *, sum(e) OVER (PARTITION BY k, i ORDER BY j) AS s FROM f), g AS (SELECT k, t, count(*) AS n, sum(s * s) / 12 / nullif(sum(e * e), 0) AS kpss FROM s GROUP BY k, t)
+    SELECT k, t, CASE WHEN n = 12 THEN kpss END AS kpss, CASE WHEN n < 12 THEN NULL WHEN kpss IS NULL THEN 0 WHEN kpss > 0.739 THEN 0.01 WHEN kpss > 0.463 THEN 0.05 WHEN kpss > 0.347 THEN 0.1 ELSE 0.5 END AS p FROM g""",
+    "kpss p",
+)
+def rolling_stationarity(t: Tables) -> DataFrame:
+    """Rolling level-stationarity statistic and p-step of twelve days."""
+    stat, p = signals.rolling_kpss(DAYS, "x", 12)
+    return t.daily().select("k", "t", stat.alias("kpss"), p.alias("p"))
+
+
+_MAPPED = """m AS (SELECT c, b, id, a, lead(a) OVER (PARTITION BY c, b ORDER BY a, id) AS z FROM (SELECT o_orderpriority AS c, o_orderstatus AS b, o_orderkey AS id, o_orderdate::DATE AS a FROM orders)), ask AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS d FROM orders),
+  n AS (SELECT d, c, b, arg_max(id, (a, id))::VARCHAR AS id FROM ask JOIN m ON a <= d AND (z IS NULL OR d < z) GROUP BY ALL)"""
+
+
+def _mapped(t: Tables) -> tuple[DataFrame, DataFrame]:
+    from pyspark.sql.window import Window
+
+    rows = t.orders.select(F.col("o_orderpriority").alias("country"), F.col("o_orderstatus").alias("bucket"), F.col("o_orderkey").alias("isin"), F.to_date("o_orderdate").alias("effective_from"))
+    rows = rows.withColumn("effective_to", F.lead("effective_from").over(Window.partitionBy("country", "bucket").orderBy("effective_from", "isin")))
+    asked = t.orders.select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("asof")).distinct()
+    return rows, asked.join(F.broadcast(rows.select("country").distinct()), F.lit(True))  # five countries
+
+
+@query(
+    f"""WITH {_MAPPED}, f AS (SELECT x.d, x.c, x.id AS i1, y.id AS i2, z.id AS i3 FROM n x JOIN n y ON y.d = x.d AND y.c = x.c AND y.b = 'O' JOIN n z ON z.d = x.d AND z.c = x.c AND z.b = 'P' WHERE x.b = 'F')
+    SELECT d AS asof, c AS country, 'CTD_FLY' AS type, c || '_CTD_FOP_FLY' AS name, 'F,O,P' AS tenors, 'short:' || i1 || ';mid:' || i2 || ';long:' || i3 AS legs FROM f
+    UNION ALL SELECT x.d, x.c, 'CTD_SWITCH', x.c || '_CTD_FO_SWITCH', 'F,O', 'left:' || x.id || ';right:' || y.id FROM n x JOIN n y ON y.d = x.d AND y.c = x.c AND y.b = 'O' WHERE x.b = 'F'
+    UNION ALL SELECT x.d, NULL, 'CROSS_COUNTRY_SPREAD', '1-URGENT5-LOW_BM_' || x.b || '_SPREAD', x.b, '1-URGENT:' || x.id || ';5-LOW:' || y.id FROM n x JOIN n y ON y.d = x.d AND y.b = x.b AND y.c = '5-LOW' WHERE x.c = '1-URGENT' AND x.b IN ('F', 'O')"""
+)
+def structure_universe(t: Tables) -> DataFrame:
+    """Flies, switches and cross-country spreads of the instruments in force at every month's start."""
+    mapping, asked = _mapped(t)
+    flies = structures.mapped_structures(mapping, asked, "CTD_FLY", [("F", "O", "P")], ("short", "mid", "long"), "CTD")
+    switches = structures.mapped_structures(mapping, asked, "CTD_SWITCH", [("F", "O")], ("left", "right"), "CTD")
+    return structures.structure_table(flies, switches, structures.mapped_spreads(mapping, asked, [("1-URGENT", "5-LOW")], ["F", "O"]))
+
+
+@query(
+    f"""WITH RECURSIVE {{sig}}, a AS (SELECT z.t, 'fly_' || z.k || '_' || (z.k + 1) || '_' || (z.k + 2) AS strategy_id, s.pos, z.z, z.k FROM z JOIN s USING (k, i) WHERE s.pos <> 0)
+    SELECT t AS timestamp, strategy_id, pos::INT AS direction, z AS signal_value, least(abs(z) / 4, 1) AS confidence, (k + o)::VARCHAR AS bond_id, w::DOUBLE AS weight FROM a, (VALUES (0, 1.0), (1, -2.0), (2, 1.0)) l(o, w)""".replace("{sig}", _SIG),
+    "signal_value confidence weight",
+)
+def active_strategy_signals(t: Tables) -> DataFrame:
+    """Signals that are not flat, with their legs."""
+    rows = _signals(t).withColumns({"b": F.col("k") + 1, "c": F.col("k") + 2, "strength": signals.signal_strength(F.col("z"), F.col("signal"))})
+    made = portfolio.chosen_signals(portfolio.strategy_signals(rows, "t", ["k", "b", "c"], z="z"), active=True)
+    return made.select("timestamp", "strategy_id", "direction", "signal_value", "confidence", F.explode("legs").alias("leg")).select("timestamp", "strategy_id", "direction", "signal_value", "confidence", "leg.*")
+
+
+@query(f"WITH {RETURNS}, v AS (SELECT s, stddev_samp(r) AS v FROM r GROUP BY s), m AS (SELECT x.s AS a, y.s AS b, corr(x.r, y.r) AS c FROM r x JOIN r y ON x.d = y.d GROUP BY ALL HAVING count(*) >= 12) SELECT a, b, c * p.v * q.v AS value FROM m JOIN v p ON p.s = a JOIN v q ON q.s = b", "value")
+def pairwise_covariances(t: Tables) -> DataFrame:
+    """Pairwise correlations scaled by each strategy's own deviation."""
+    corr = portfolio.pairwise(t.returns(), "d", "s", "r", 12).where("corr IS NOT NULL")
+    return portfolio.cov_of_correlations(t.returns(), "s", "r", corr)
+
+
+@query(f"WITH w AS ({SQL['rolling_weights']}), x AS (SELECT d, s, CASE WHEN month(d) = 3 THEN -weight WHEN month(d) = 4 AND s = '5-LOW' THEN NULL ELSE weight END AS weight FROM w) SELECT d::VARCHAR AS d, count(*) - count(weight) AS n_missing, sum((weight < 0)::INT)::BIGINT AS n_negative, sum(weight) AS total, count(*) = count(weight) AND min(weight) >= 0 AND abs(sum(weight) - 1) <= 1e-4 AS is_valid FROM x GROUP BY d", "total")
+def weight_checks(t: Tables) -> DataFrame:
+    """Faults of every month's weights, some of them planted."""
+    from .registry import QUERIES
+
+    month = F.month("d")
+    rows = QUERIES["rolling_weights"](t.spark, t.folder)
+    rows = rows.withColumn("weight", F.when(month == 3, -F.col("weight")).when((month == 4) & (F.col("s") == "5-LOW"), None).otherwise(F.col("weight")))
+    return portfolio.weight_faults(rows, ["d"], tolerance=1e-4).withColumn("d", F.col("d").cast("timestamp_ntz").cast("string"))
+
+
 # -- accounting, books and simulations --------------------------------------------------
 
 

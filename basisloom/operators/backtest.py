@@ -97,6 +97,50 @@ def lot_stats(trips: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return trips.groupBy(*by).agg(F.count(F.lit(1)).alias("n_trips"), F.sum("qty").alias("qty"), F.sum("pnl").alias("pnl"), F.avg((p > 0).cast("double")).alias("hit_rate"), F.when(loss > 0, gain / F.nullif(loss, F.lit(0.0))).otherwise(F.lit(math.inf)).alias("profit_factor"))
 
 
+def hedged_round_trips(trips: DataFrame, ratios: DataFrame, dv01: DataFrame, hedges: DataFrame, bars: DataFrame, key: str, bar: str = "bar") -> DataFrame:
+    """Round trips with the profit of their hedges: theoretical_pnl and net_pnl.
+
+    trips as :func:`fifo_round_trips` gives them; ratios (bar, key, hedge, ratio), dv01
+    (bar, key, dv01), hedges (bar, hedge, hedge_dv01, bid, ask), bars (bar, hedge_pnl).
+    Theoretical: each hedge is traded across its spread at entry and at exit.  Net:
+    a bar's hedge profit is shared by all open trips as their hedges' dv01, from
+    the entry up to the bar before the exit.  A share grows with a trip's quantity,
+    so running sums per key say it for all trips and no trip meets its bars.
+    """
+    need = ratios.join(dv01, [bar, key])
+    side = ["entry_bar", "exit_bar", "side"]
+    kinds = trips.select(key, *side).distinct()
+    here = need.join(hedges, [bar, "hedge"]).where(F.abs("hedge_dv01") >= 1e-15).select(F.col(bar).alias("entry_bar"), key, "hedge", (F.col("dv01") * F.col("ratio") / F.col("hedge_dv01")).alias("_q"), F.col("bid").alias("_bid"), F.col("ask").alias("_ask"))
+    there = hedges.select(F.col(bar).alias("exit_bar"), "hedge", "bid", "ask")
+    q = F.col("side") * F.col("_q")
+    unit = kinds.join(here, [key, "entry_bar"]).join(there, ["exit_bar", "hedge"])
+    unit = unit.groupBy(key, *side).agg(F.sum(q * F.when(q > 0, F.col("bid") - F.col("_ask")).otherwise(F.col("ask") - F.col("_bid"))).alias("_theory"))
+
+    demand = need.groupBy(key, bar).agg(F.sum(F.abs(F.col("dv01") * F.col("ratio"))).alias("_need"))
+    moves = trips.select(key, F.explode(F.array(F.struct(F.col("entry_bar").alias(bar), F.col("qty").alias("_dq")), F.struct(F.col("exit_bar").alias(bar), (-F.col("qty")).alias("_dq")))).alias("_m")).select(key, "_m.*")
+    both = demand.select(key, bar, "_need", F.lit(0.0).alias("_dq")).unionByName(moves.select(key, bar, F.lit(0.0).alias("_need"), "_dq")).groupBy(key, bar).agg(F.sum("_need").alias("_need"), F.sum("_dq").alias("_dq"))
+    order = Window.partitionBy(key).orderBy(bar)
+    held = both.withColumn("_load", F.col("_need") * F.sum("_dq").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    total = held.groupBy(bar).agg(F.sum("_load").alias("_total")).join(bars.select(bar, "hedge_pnl"), bar).select(bar, F.when(F.col("_total") >= 1e-15, F.col("hedge_pnl") / F.when(F.col("_total") >= 1e-15, F.col("_total"))).otherwise(0.0).alias("_rate"))
+    upto = held.join(total, bar, "left").select(key, bar, F.coalesce(F.sum(F.coalesce("_rate", F.lit(0.0)) * F.col("_need")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_upto"))
+    out = trips.join(unit, [key, *side], "left")
+    for end in ("entry", "exit"):
+        out = out.join(upto.select(key, F.col(bar).alias(f"{end}_bar"), F.col("_upto").alias(f"_{end}")), [key, f"{end}_bar"])
+    return out.select(key, *side, "qty", "pnl", (F.col("pnl") + F.col("qty") * F.coalesce("_theory", F.lit(0.0))).alias("theoretical_pnl"), (F.col("pnl") + F.col("qty") * (F.col("_exit") - F.col("_entry"))).alias("net_pnl"))
+
+
+def close_bars(bars: DataFrame, ts: str, close: str) -> DataFrame:
+    """The bars that stand at one time of day, ``HH:mm`` or ``HH:mm:ss``."""
+    return bars.where(F.date_format(ts, "HH:mm:ss") == (close if close.count(":") == 2 else f"{close}:00"))
+
+
+def bucket_exposures(positions: DataFrame, by: Sequence[str], bucket: str, qty: str, dv01: str) -> DataFrame:
+    """Signed and gross dv01 of the positions in each bucket."""
+    x = F.coalesce(F.col(qty) * F.col(dv01), F.lit(0.0))
+    return positions.groupBy(*by, bucket).agg(F.sum(x).alias("net_dv01"), F.sum(F.abs(x)).alias("gross_dv01"), F.sum((x != 0).cast("int")).alias("n_open"))
+
+
+
 def take_levels(px: np.ndarray, sz: np.ndarray, qty: float, haircut: float, levels: int) -> tuple[float, float]:
     """Filled size and notional of a walk down one book side; bad levels are skipped."""
     ok = (px > 0) & (sz > 0)

@@ -7,6 +7,7 @@ import math
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -255,3 +256,56 @@ def folds(df: DataFrame) -> Iterator[tuple[int, DataFrame]]:
     """The folds of a walk-forward table, in order; there are as many as steps in its span."""
     for row in df.select("fold").distinct().orderBy("fold").collect():
         yield row[0], df.where(F.col("fold") == row[0])
+
+
+def quantile_fit(df: DataFrame, features: Sequence[str], target: str, quantiles: Sequence[float], rounds: int = 40, ridge: float = 1e-9) -> dict[float, list[float]]:
+    """Linear quantile models, {quantile: [intercept, coefficients]}, by reweighted least squares on sums over partitions.
+
+    A round is one aggregate for all quantiles, whose size is that of the features
+    squared; weights follow the residuals' side and inverse size, floored ever
+    lower.  Rows with a null or NaN are left out; a table without rows is an error.
+    """
+    k = len(features) + 1
+    rows = df.select(*(F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate([*features, target]))).dropna()
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), *(f(F.col(c)).alias(f"{name}{c}") for c in rows.columns for name, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    if not stats["n"]:
+        raise ValueError("no complete rows")
+    scale = {c: stats[f"s{c}"] or 1.0 for c in rows.columns}
+    rows = rows.select(*(((F.col(c) - stats[f"m{c}"]) / scale[c]).alias(c) for c in rows.columns)).persist()
+    x, y = [F.lit(1.0), *(F.col(f"_{i}") for i in range(k - 1))], F.col(f"_{k - 1}")
+    beta = {q: None for q in quantiles}
+    try:
+        for turn in range(rounds):
+            floor, sums = max(0.5**turn, 1e-6), []
+            for j, q in enumerate(quantiles):
+                if beta[q] is None:
+                    w = F.lit(1.0)
+                else:
+                    res = y - sum((float(b) * c for b, c in zip(beta[q], x, strict=True)), F.lit(0.0))
+                    w = F.when(res > 0, q).otherwise(1 - q) / F.greatest(F.abs(res), F.lit(floor))
+                sums += [F.sum(w * x[a] * x[b]).alias(f"x{j}_{a}_{b}") for a in range(k) for b in range(a, k)] + [F.sum(w * x[a] * y).alias(f"y{j}_{a}") for a in range(k)]
+            got = rows.agg(*sums).first()
+            for j, q in enumerate(quantiles):
+                m = np.array([[got[f"x{j}_{min(a, b)}_{max(a, b)}"] for b in range(k)] for a in range(k)])
+                beta[q] = np.linalg.solve(m + ridge * np.trace(m) / k * np.eye(k), np.array([got[f"y{j}_{a}"] for a in range(k)]))
+    finally:
+        rows.unpersist()
+    out = {}
+    for q in quantiles:
+        coef = [float(beta[q][i + 1]) * scale[f"_{k - 1}"] / scale[f"_{i}"] for i in range(k - 1)]
+        level = stats[f"m_{k - 1}"] + float(beta[q][0]) * scale[f"_{k - 1}"] - sum(c * stats[f"m_{i}"] for i, c in enumerate(coef))
+        out[q] = [level, *coef]
+    return out
+
+
+def quantile_predict(df: DataFrame, models: dict[float, list[float]], features: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
+    """A column per quantile (``q10`` and so on); in each row the values are sorted, so that quantiles do not cross."""
+    asked = sorted(models)
+    names = names or [f"q{round(q * 100):02d}" for q in asked]
+    each = F.array_sort(F.array(*(sum((float(b) * F.col(c).cast("double") for b, c in zip(models[q][1:], features, strict=True)), F.lit(float(models[q][0]))) for q in asked)))
+    return df.withColumn("_q", each).select("*", *(F.col("_q")[i].alias(n) for i, n in enumerate(names))).drop("_q")
+
+
+def pinball_loss(y: Column, prediction: Column, q: float) -> Column:
+    """Mean pinball loss."""
+    return F.avg(F.greatest(q * (y - prediction), (q - 1) * (y - prediction)))

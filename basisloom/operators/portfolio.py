@@ -23,14 +23,14 @@ def complete_dates(df: DataFrame, ts: str, key: str, r: str) -> DataFrame:
     return rows.join(full, ts, "left_semi")
 
 
-def pairwise(df: DataFrame, ts: str, key: str, r: str, min_obs: int = 60) -> DataFrame:
-    """(a, b, n, corr, cov) over the dates that both have; null below ``min_obs``."""
+def pairwise(df: DataFrame, ts: str, key: str, r: str, min_obs: int = 60, by: Sequence[str] = ()) -> DataFrame:
+    """(by, a, b, n, corr, cov) over the dates that both have; null below ``min_obs``."""
     rows = df.where(F.col(r).isNotNull())
-    a = rows.select(ts, F.col(key).alias("a"), F.col(r).alias("_x"))
-    b = rows.select(ts, F.col(key).alias("b"), F.col(r).alias("_y"))
-    out = a.join(b, ts).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("corr"), F.covar_samp("_x", "_y").alias("cov"))
+    a = rows.select(*by, ts, F.col(key).alias("a"), F.col(r).alias("_x"))
+    b = rows.select(*by, ts, F.col(key).alias("b"), F.col(r).alias("_y"))
+    out = a.join(b, [*by, ts]).groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("corr"), F.covar_samp("_x", "_y").alias("cov"))
     enough = F.col("n") >= min_obs
-    return out.select("a", "b", "n", F.when(enough, F.col("corr")).alias("corr"), F.when(enough, F.col("cov")).alias("cov"))
+    return out.select(*by, "a", "b", "n", F.when(enough, F.col("corr")).alias("corr"), F.when(enough, F.col("cov")).alias("cov"))
 
 
 def sample_cov(df: DataFrame, ts: str, key: str, r: str) -> DataFrame:
@@ -59,13 +59,14 @@ def shrink_to_diagonal(cov: DataFrame, alpha: float = 0.1) -> DataFrame:
     return cov.select("a", "b", F.when(F.col("a") == F.col("b"), F.col("value")).otherwise(F.col("value") * (1 - alpha)).alias("value"))
 
 
-def clusters(corr: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(key, cluster): components over pairs with corr >= threshold, named by their smallest key.
+def clusters(corr: DataFrame, threshold: float = 0.8, by: Sequence[str] = ()) -> DataFrame:
+    """(by, key, cluster): components over pairs with corr >= threshold, named by their smallest key.
 
-    Links are united in one task, whose size is the number of strategies squared
-    as for all matrices here; nothing comes to the driver.
+    The links of one value of ``by`` are united in one task, whose size is the number
+    of strategies squared as for all matrices here; nothing comes to the driver.
     """
-    kind = dict(corr.dtypes)["a"]
+    kinds = dict(corr.dtypes)
+    kind = kinds["a"]
 
     def unite(rows: pd.DataFrame) -> pd.DataFrame:
         root = {k: k for k in sorted({*rows["a"], *rows["b"]})}
@@ -79,17 +80,17 @@ def clusters(corr: DataFrame, threshold: float = 0.8) -> DataFrame:
         for a, b in rows.loc[rows["linked"], ["a", "b"]].itertuples(index=False):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-        return pd.DataFrame({"key": list(root), "cluster": [find(k) for k in root]})
+        return pd.DataFrame({**{c: rows[c].iloc[0] for c in by}, "key": list(root), "cluster": [find(k) for k in root]})
 
     linked = F.coalesce(F.col("corr") >= threshold, F.lit(False)) & (F.col("a") != F.col("b"))
-    rows = corr.select("a", "b", linked.alias("linked")).where("linked OR a = b")
-    return rows.groupBy().applyInPandas(unite, f"key {kind}, cluster {kind}")
+    rows = corr.select(*by, "a", "b", linked.alias("linked")).where("linked OR a = b")
+    return rows.groupBy(*by).applyInPandas(unite, "".join(f"{c} {kinds[c]}, " for c in by) + f"key {kind}, cluster {kind}")
 
 
-def best_of_clusters(labels: DataFrame, metrics: DataFrame, score: str, keep: int = 1) -> DataFrame:
+def best_of_clusters(labels: DataFrame, metrics: DataFrame, score: str, keep: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """The best keys of each cluster."""
-    w = Window.partitionBy("cluster").orderBy(F.col(score).desc_nulls_last(), "key")
-    return labels.join(metrics, "key").withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep)
+    w = Window.partitionBy(*by, "cluster").orderBy(F.col(score).desc_nulls_last(), "key")
+    return labels.join(metrics, [*by, "key"]).withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep)
 
 
 def passes(metrics: DataFrame, least: dict[str, float] | None = None, most: dict[str, float] | None = None) -> DataFrame:

@@ -345,3 +345,81 @@ def rolling_kpss(axis: Axis, c: str, window: int = 60) -> tuple[Column, Column]:
     stat = F.when(full, sums)
     p = F.when(stat > 0.739, 0.01).when(stat > 0.463, 0.05).when(stat > 0.347, 0.10).otherwise(0.50)
     return stat, F.when(full, F.when(stat.isNull() | F.lit(window < 10), 0.0).otherwise(p))
+
+
+#: Response surfaces of the unit-root distribution (fixed values): the statistic's smallest and largest value, where the
+#: tail polynomial takes over, polynomials of both parts, and critical values at 1, 5 and 10 % in powers of 1 / n.
+UNIT_ROOT = {
+    "n": (-19.04, 1.51, -1.04, (0.6344, 1.2378, 0.032496), (0.4797, 0.93557, -0.06999, 0.033066), ((-2.56574, -2.2358, -3.627, 0.0), (-1.94100, -0.2686, -3.365, 31.223), (-1.61682, 0.2656, -2.714, 25.364))),
+    "c": (-18.83, 2.74, -1.61, (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368), ((-3.43035, -6.5393, -16.786, -79.433), (-2.86154, -2.8903, -4.234, -40.040), (-2.56677, -1.5384, -2.809, 0.0))),
+    "ct": (-16.18, 0.7, -2.89, (3.2512, 1.6047, 0.049588), (2.5261, 0.61654, -0.37956, -0.060285), ((-3.95877, -9.0531, -28.428, -134.155), (-3.41049, -4.3904, -9.036, -45.374), (-3.12705, -2.5856, -3.925, -22.380))),
+}
+
+
+def unit_root_p(t: float, trend: str = "c") -> float:
+    """p-value of the unit-root statistic."""
+    least, most, join, tail, body, _ = UNIT_ROOT[trend]
+    if not least < t <= most:
+        return float(t > most)
+    z = sum(b * t**i for i, b in enumerate(tail if t <= join else body))
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def _unit_root(x: np.ndarray, maxlag: int | None, criterion: str | None, trend: str) -> tuple[float, int, int]:
+    """(statistic, lag, rows of the regression) of a series without gaps."""
+    n, fixed = len(x), {"n": 0, "c": 1, "ct": 2}[trend]
+    if maxlag is None:
+        maxlag = math.ceil(12 * (n / 100) ** 0.25)
+    maxlag = max(0, min(maxlag, n // 2 - fixed - 1))
+    d = np.diff(x)
+
+    def fit(lag: int, skip: int) -> tuple[float, float, float, int, int]:
+        y = d[skip:]
+        cols = [x[skip:-1], *(d[skip - j : len(d) - j] for j in range(1, lag + 1)), *([np.ones(len(y))] if fixed else []), *([np.arange(1.0, len(y) + 1)] if fixed > 1 else [])]
+        a = np.column_stack(cols)
+        q, r = np.linalg.qr(a)
+        ri = np.linalg.pinv(r)
+        b = ri @ (q.T @ y)
+        ssr = float(((y - a @ b) ** 2).sum())
+        se = np.sqrt(ssr / max(len(y) - a.shape[1], 1) * (ri**2).sum(axis=1))
+        t = np.divide(b, se, out=np.full(len(b), -math.inf), where=se > 0)
+        return ssr, float(t[0]), float(t[lag]), len(y), a.shape[1]
+
+    lag = maxlag
+    if criterion in ("aic", "bic"):
+        made = [fit(k, maxlag) for k in range(maxlag + 1)]  # all on the rows that the longest has
+        lag = min(range(maxlag + 1), key=lambda k: (made[k][3] * math.log(max(made[k][0], 1e-300) / made[k][3]) + made[k][4] * (2 if criterion == "aic" else math.log(made[k][3])), k))
+    elif criterion == "t-stat":
+        lag = next((k for k in range(maxlag, 0, -1) if abs(fit(k, maxlag)[2]) >= 1.6448536269514722), 0)
+    elif criterion is not None:
+        raise ValueError(f"no criterion {criterion}")
+    _, t, _, rows, _ = fit(lag, lag)
+    return t, lag, rows
+
+
+def adf_test(df: DataFrame, axis: Axis, c: str, maxlag: int | None = None, criterion: str | None = "aic", trend: str = "c", min_obs: int = 30) -> DataFrame:
+    """Per series the augmented unit-root test: n_obs, test_stat, used_lag, p_value, crit_1, crit_5, crit_10, reject.
+
+    Nulls are left out; the lag is chosen by ``criterion`` (aic, bic, t-stat, or None for
+    ``maxlag`` itself) on the rows that all candidates share.  Series shorter than
+    ``min_obs`` have n_obs only; a constant one is rejected with an infinite statistic.
+    """
+    asymptotic = UNIT_ROOT[trend][5]
+    names = ("test_stat", "used_lag", "p_value", "crit_1", "crit_5", "crit_10")
+
+    def test(x: np.ndarray) -> tuple:
+        if len(x) < min_obs:
+            return (None,) * 6
+        if x.std() < 1e-12:
+            return -math.inf, 0, 0.0, *(a[0] for a in asymptotic)
+        t, lag, rows = _unit_root(x, maxlag, criterion, trend)
+        return t, lag, unit_root_p(t, trend), *(sum(b / rows**i for i, b in enumerate(a)) for a in asymptotic)
+
+    def step(rows: pd.DataFrame) -> dict:
+        # a value stands in the last row of its series
+        head, found = [None] * (len(rows) - 1), test(rows[c].to_numpy(float))
+        return {"n_obs": [len(rows)] * len(rows), "_end": [False] * len(head) + [True], **{k: np.array(head + [v], object) for k, v in zip(names, found, strict=True)}}
+
+    rows = df.select(*axis.by, *axis.order, F.col(c).cast("double").alias(c)).where(F.col(c).isNotNull() & ~F.isnan(c))
+    out = axis.fold(rows, step, "n_obs int, _end boolean, test_stat double, used_lag int, p_value double, crit_1 double, crit_5 double, crit_10 double").where("_end")
+    return out.select(*axis.by, "n_obs", *names, (F.col("p_value") < 0.05).alias("reject"))

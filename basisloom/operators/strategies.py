@@ -47,6 +47,27 @@ def select_strategies(df: DataFrame, ts: str, key: str, r: str, rule: Selection
     return portfolio.best_of_clusters(labels, passed, rule.score, rule.keep), stats
 
 
+def select_at(df: DataFrame, asked: DataFrame, ts: str, key: str, r: str, rule: Selection = Selection(), lookback: int = 252, active: bool = True, overlap: int = 60) -> tuple[DataFrame, DataFrame]:
+    """(chosen strategies, metrics of all that have enough rows) as of each date ``asof`` of ``asked``.
+
+    A selection sees the ``lookback`` dates up to its own; with ``active`` a strategy
+    must have a return on the last of them.  All dates are answered in one pass.
+    """
+    rows = df.where(F.col(r).isNotNull()).select(ts, key, r)
+    days = rows.select(ts).distinct().withColumn("_i", F.row_number().over(Window.orderBy(ts)))  # one row per date
+    last = days.join(asked.select("asof").distinct(), F.col(ts) <= F.col("asof")).groupBy("asof").agg(F.max("_i").alias("_last"))
+    seen = days.join(last, (F.col("_i") <= F.col("_last")) & (F.col("_i") > F.col("_last") - lookback))
+    window = rows.join(seen, ts)
+    enough = window.groupBy("asof", key).agg(F.count(F.lit(1)).alias("_n"), F.max((F.col("_i") == F.col("_last")).cast("int")).alias("_now"))
+    enough = enough.where((F.col("_n") >= rule.min_obs) & ((F.col("_now") == 1) if active else F.lit(True))).select("asof", key)
+    window = window.join(enough, ["asof", key], "left_semi")
+    stats = metrics.return_metrics(window, ["asof", key], ts, r, rule.year).withColumnRenamed(key, "key")
+    passed = portfolio.passes(stats, dict(rule.least), dict(rule.most))
+    left = window.join(passed.select("asof", F.col("key").alias(key)), ["asof", key], "left_semi")
+    labels = portfolio.clusters(portfolio.pairwise(left, ts, key, r, min(rule.min_obs, overlap), ["asof"]), rule.threshold, ["asof"])
+    return portfolio.best_of_clusters(labels, passed, rule.score, rule.keep, ["asof"]), stats
+
+
 def ledoit_wolf(x: np.ndarray) -> np.ndarray:
     """Shrinkage to a scaled identity with the weight that minimises expected squared error."""
     n, p = x.shape

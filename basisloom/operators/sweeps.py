@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.panels import read_run, write_run
+from . import selection
+
 PRESETS = {"FAST": {"levels": 1, "haircut": 1.0, "cost_gate": False}, "REALISTIC": {"levels": 5, "haircut": 0.5, "cost_gate": True}, "STRESS": {"levels": 3, "haircut": 0.25, "cost_gate": True}}
 
 
@@ -42,6 +45,39 @@ def run_sweep(scenarios: DataFrame, run: Callable[[DataFrame], DataFrame], score
     return scored, run(scenarios.join(best.select(key), key, "left_semi"))
 
 
+def configured_sweep(spark: SparkSession, config: Mapping, run: Callable[[DataFrame], DataFrame], score: Callable[[DataFrame], DataFrame], folder: str | None = None) -> dict[str, DataFrame]:
+    """The sweep that a configuration names: ``grid``, ``base``, ``preset``, ``name``, ``top`` (unknown names are errors).
+
+    Gives scenarios, summary and best, and writes them with the configuration if a
+    folder is named; what is written is read back and not computed again.
+    """
+    if unknown := set(config) - {"grid", "base", "preset", "name", "top"}:
+        raise KeyError(f"unknown settings {sorted(unknown)}")
+    base = {**(PRESETS[config["preset"]] if "preset" in config else {}), **config.get("base", {})}
+    scenarios = grid(spark, config["grid"], base, config.get("name", "sweep"))
+    summary, best = run_sweep(scenarios, run, score, config.get("top", 10))
+    tables = {"scenarios": scenarios, "summary": summary, "best": best}
+    if folder is not None:
+        write_run(spark, folder, tables, config)
+        tables = {k: v for k, v in read_run(spark, folder)[0].items() if k in tables}
+    return tables
+
+
+def reference_sweep(scenarios: DataFrame, run: Callable[[DataFrame], DataFrame], ref: str, metrics: Sequence[str], score: str, params: Sequence[str], top: int = 10, key: str = "scenario") -> dict[str, DataFrame]:
+    """A sweep over many references at once: ``run`` gives metrics per (scenario, reference).
+
+    summary (ranked within each reference), best (its first row), averages (over each
+    reference's ``top`` rows, then over references) and leaderboard (per parameter tuple).
+    """
+    rows = run(scenarios).join(scenarios.select(key, *params), key)
+    place = F.row_number().over(Window.partitionBy(ref).orderBy(F.col(score).desc_nulls_last(), key))
+    summary = rows.withColumn("rank", place)
+    return {
+        "summary": summary, "best": summary.where("rank = 1").drop("rank"), "averages": selection.mean_of_means(rows, ref, metrics, score, top, key),
+        "leaderboard": selection.leaderboard(rows, params, metrics, score, top, ref, top, key),
+    }
+
+
 def near_equal_parts(df: DataFrame, key: str, parts: int) -> DataFrame:
     """``part``: contiguous slices of the keys whose sizes differ by one at most, larger ones first."""
     return df.withColumn("part", F.ntile(parts).over(Window.orderBy(key)) - 1)

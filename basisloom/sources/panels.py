@@ -129,6 +129,31 @@ def load_market(spark: SparkSession, folder: str, ref: str, carry: bool = True)
     return out.fillna({"mid_px": 0.0, "dv01": 1.0})
 
 
+def static_table(meta: DataFrame, required: str, ids: DataFrame | None = None, key: str = "instrument_id", bucket: str | None = None, caps: Mapping[str, float] | None = None) -> DataFrame:
+    """A static table, one row per wanted instrument (all of the table, if none are named) with its required columns.
+
+    ``bucket`` becomes the number of its cap in the order of ``caps`` (unknown buckets
+    fall into the first, as in the source's contract) and ``bucket_cap`` that cap.
+    """
+    names = T.StructType.fromDDL(required).fieldNames()
+    if missing := [c for c in names if c not in meta.columns and c != key]:
+        raise ValueError(f"missing columns {missing}")
+    rows = meta.select(key, *(c for c in names if c != key), *([bucket] if bucket and bucket not in names else [])).dropDuplicates([key])
+    out = rows if ids is None else ids.select(key).distinct().join(rows, key, "left")
+    if bucket and caps:
+        at = F.coalesce(F.array_position(F.array(*(F.lit(c) for c in caps)), F.col(bucket).cast("string")), F.lit(0))
+        at = F.greatest(at - 1, F.lit(0)).cast("int")
+        out = out.withColumn(bucket, at).withColumn("bucket_cap", F.element_at(F.array(*(F.lit(float(v)) for v in caps.values())), F.col(bucket) + 1))
+    return out
+
+
+def disable_empty(meta: DataFrame, market: DataFrame, columns: Sequence[str], key: str = "instrument_id", tradable: str = "tradable") -> DataFrame:
+    """``tradable`` becomes 0 for instruments of which a column has no value at all; one aggregate over the market."""
+    full = market.groupBy(key).agg(F.least(*(F.count(clean(c)) for c in columns), F.lit(1 << 40)).alias("_values"))
+    rows = meta.join(full, key, "left")
+    return rows.withColumn(tradable, F.when(F.coalesce("_values", F.lit(0)) > 0, F.col(tradable)).otherwise(0.0)).drop("_values")
+
+
 def write_run(spark: SparkSession, folder: str, tables: Mapping[str, DataFrame], meta: Mapping) -> None:
     """Result tables as Parquet and the run's parameters as one JSON row."""
     for name, df in tables.items():

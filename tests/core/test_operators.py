@@ -522,3 +522,71 @@ def test_many_structures(spark):
     got = research.many_structures(panel_, flies, [{"window": 10, "entry": 1.0}, {"window": 20, "entry": 1.5}], "ts", "id", "ttm", "y").orderBy("rank").collect()
     assert [r["rank"] for r in got] == [1, 2, 3, 4] and all(r["bars"] == 120 for r in got)
     assert got[0]["sharpe"] >= got[-1]["sharpe"]
+
+
+def test_unit_root_lags_against_dense_regressions(spark):
+    rng = np.random.default_rng(3)
+    series = {"walk": rng.normal(size=120).cumsum(), "noise": rng.normal(size=90), "flat": np.ones(60), "short": np.arange(5.0)}
+    ar = np.zeros(150)
+    for i in range(3, 150):
+        ar[i] = 0.5 * ar[i - 1] + 0.3 * ar[i - 3] + rng.normal()
+    series["lagged"] = ar
+    rows = [(k, i, float(x)) for k, xs in series.items() for i, x in enumerate(xs)] + [("walk", 500, None), ("noise", 500, float("nan")), ("void", 0, None)]
+    df = spark.createDataFrame(rows, "k string, t int, x double")
+
+    def dense(x, lag, skip):
+        d = np.diff(x)
+        a = np.array([[1.0, x[i], *(d[i - j] for j in range(1, lag + 1))] for i in range(skip, len(d))])
+        y = d[skip:]
+        b, *_ = np.linalg.lstsq(a, y, rcond=None)
+        ssr = ((y - a @ b) ** 2).sum()
+        return b[1] / np.sqrt(ssr / (len(y) - a.shape[1]) * np.linalg.inv(a.T @ a)[1, 1]), len(y) * np.log(ssr / len(y)) + 2 * a.shape[1]
+
+    got = {r["k"]: r for r in signals.adf_test(df, Axis(("t",), ("k",)), "x", maxlag=6).collect()}
+    assert set(got) == set(series)  # a series without values has no row
+    for k in ("walk", "noise", "lagged"):
+        lag = min(range(7), key=lambda n: dense(series[k], n, 6)[1])
+        assert got[k]["used_lag"] == lag and got[k]["test_stat"] == pytest.approx(dense(series[k], lag, lag)[0])
+        assert got[k]["n_obs"] == len(series[k]) and got[k]["reject"] == (got[k]["p_value"] < 0.05)
+    assert got["noise"]["reject"] and not got["walk"]["reject"]
+    assert got["flat"]["p_value"] == 0 and got["short"]["test_stat"] is None and got["short"]["n_obs"] == 5
+    for trend, at in (("n", -1.941), ("c", -2.8615), ("ct", -3.4105)):  # the critical values have their own probabilities
+        assert signals.unit_root_p(at, trend) == pytest.approx(0.05, abs=1e-3)
+    assert signals.unit_root_p(-40.0) == 0 and signals.unit_root_p(5.0) == 1
+
+
+def test_quantile_models_reach_the_least_loss(spark):
+    rng = np.random.default_rng(5)
+    x = rng.uniform(0, 10, 400)
+    y = 3 + 2 * x + rng.gumbel(0, 1 + 0.2 * x)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0), (2.0, None)], "x double, y double")
+    models = learning.quantile_fit(df, ["x"], "y", [0.1, 0.5, 0.9])
+    for q, (a, b) in models.items():
+        loss = lambda a, b: np.maximum(q * (y - a - b * x), (q - 1) * (y - a - b * x)).mean()  # noqa: E731,B023
+        # an optimum goes through two points
+        pairs = [(y[i] - (y[j] - y[i]) / (x[j] - x[i]) * x[i], (y[j] - y[i]) / (x[j] - x[i])) for i, j in itertools.combinations(range(0, 400), 2) if i % 4 == 0 and x[i] != x[j]]
+        best = min(loss(*p) for p in pairs)
+        assert loss(a, b) <= best * 1.002
+    rows = learning.quantile_predict(df, models, ["x"]).where("x IS NOT NULL").collect()
+    assert all(r["q10"] <= r["q50"] <= r["q90"] for r in rows)
+    with pytest.raises(ValueError):
+        learning.quantile_fit(df.where("x > 99"), ["x"], "y", [0.5])
+
+
+def test_static_tables_and_configured_sweeps(spark, tmp_path):
+    meta = spark.createDataFrame([("a", 1.0, "X"), ("b", 1.0, "Y"), ("c", 1.0, None)], "instrument_id string, tradable double, issuer string")
+    ids = spark.createDataFrame([("a",), ("b",), ("z",)], "instrument_id string")
+    rows = panels.static_table(meta, "instrument_id string, tradable double", ids, bucket="issuer", caps={"Y": 2.0, "X": 3.0})
+    assert {r["instrument_id"]: (r["issuer"], r["bucket_cap"]) for r in rows.collect()} == {"a": (1, 3.0), "b": (0, 2.0), "z": (0, 2.0)}
+    with pytest.raises(ValueError):
+        panels.static_table(meta, panels.META)
+    market = spark.createDataFrame([("a", 1.0, None), ("a", None, 2.0), ("b", 1.0, float("nan"))], "instrument_id string, mid double, score double")
+    assert {r["instrument_id"]: r["tradable"] for r in panels.disable_empty(meta, market, ["mid", "score"]).collect()} == {"a": 1.0, "b": 0.0, "c": 0.0}
+
+    config = {"preset": "FAST", "grid": {"x": [1, 2, 3]}, "top": 2}
+    run = lambda s: s.select("scenario", (F.col("x") * F.col("haircut")).alias("y"))
+    got = sweeps.configured_sweep(spark, config, run, lambda r: r.withColumnRenamed("y", "score"), f"file://{tmp_path}/run")
+    assert {k: v.count() for k, v in got.items()} == {"scenarios": 3, "summary": 3, "best": 2}
+    assert panels.read_run(spark, f"file://{tmp_path}/run")[1] == config
+    with pytest.raises(KeyError):
+        sweeps.configured_sweep(spark, {"grdi": {}}, run, run)

@@ -19,11 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, exchanges, parts_for
 
 #: Bytes compared at the first level, and the factor by which the run grows.
 FIRST_RUN, GROWTH = 48, 8
 
+#: MB of the input to a partition of an exchange, where the session's number of partitions would make them larger.
+PART_MB = 32
+
 
 def normalised(text: Column) -> Column:
     """White space of ASCII as single spaces; null as empty."""
@@ -38,9 +41,14 @@ def _join(rows: DataFrame, split: DataFrame, on: list[str]) -> DataFrame:
 def equal_text_classes(docs: DataFrame, scratch: Scratch | None = None, first_run: int = FIRST_RUN, growth: int = GROWTH) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
     scratch = scratch or Scratch(docs.sparkSession, "exact")
+    with exchanges(docs.sparkSession, parts_for(docs, PART_MB)):
+        return _classes(docs, scratch, first_run, growth)
+
+
+def _classes(docs: DataFrame, scratch: Scratch, run: int, growth: int) -> DataFrame:
+    """The levels of :func:`equal_text_classes`, every one a written table."""
     norm = normalised(F.col("text"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"))
-    run = first_run
 
     # the first level reads the table twice instead of writing it
     head = base.select(F.substring(F.col("norm").cast("binary"), 1, run).alias("head"))

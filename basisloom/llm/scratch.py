@@ -14,6 +14,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -97,6 +99,23 @@ def parts_for(df: DataFrame, mb: float, least: int = 8, most: int = 200_000) ->
     return max(least, min(most, -(-input_bytes(df) // int(mb * 1e6))))
 
 
+@contextmanager
+def exchanges(spark: SparkSession, least: int) -> Iterator[None]:
+    """Tables written inside are planned with at least this number of shuffle partitions.
+
+    Unlike a repartition by a number, which Spark keeps as it is, it may still merge
+    small partitions and divide skewed ones.  The session's own number comes back
+    at the end and is never lowered.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(before), least)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def keep_only(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
     """Semi or anti join of ``df`` with a written key table; broadcast only when its counted rows are few."""
     from pyspark.sql import functions as F

@@ -37,7 +37,8 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import write_store
 
     docs = _table(spark, sf_dir, "documents")
-    rows = write_store(docs, end_id=2).lookup(docs.select("doc_id"))
+    store = write_store(docs, end_id=2)
+    rows = store.lookup(docs.select("doc_id"), parts=max(8, len(store.manifest["shards"])))
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -194,8 +194,12 @@ class TokenStore:
             self.base[shard] = base
             base += n_ids
 
-    def lookup(self, keys: DataFrame) -> DataFrame:
-        """Documents of the given doc_id keys, read through the index: doc_id, start, n_tokens, ids (uint32, binary)."""
+    def lookup(self, keys: DataFrame, parts: int | None = None) -> DataFrame:
+        """Documents of the given doc_id keys, read through the index: doc_id, start, n_tokens, ids (uint32, binary).
+
+        ``parts`` is the number of tasks that read shards; without it Spark deals the
+        shards out by the size of their keys, which suits a few keys but not a scan.
+        """
         uri, buckets, base, filled = self.uri, self.buckets, self.base, {b for b, _ in self.manifest["index"]}
 
         def find(bucket: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -241,7 +245,8 @@ class TokenStore:
         key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key")
         wanted = keys.select(key).distinct().withColumn("bucket", bucket_of(F.col("key"), buckets))
         places = wanted.groupBy("bucket").applyInPandas(find, "shard int, key long, position long, n int")
-        return places.repartition("shard").sortWithinPartitions("shard", "position").mapInArrow(fetch, "doc_id long, start long, n_tokens long, ids binary")
+        dealt = places.repartitionById(parts, F.col("shard")) if parts else places.repartition("shard")
+        return dealt.sortWithinPartitions("shard", "position").mapInArrow(fetch, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def bucket_of(key, buckets: int):

@@ -40,6 +40,9 @@ STRENGTH, SHRINK = 2.0, 8.0
 #: A second language whose loss is within this part of a bit's weight makes a document ambiguous.
 AMBIGUOUS = 0.05
 
+#: Bytes whose n-grams are held at once.
+RUN = 1 << 20
+
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -52,26 +55,35 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
 
-def gram_slots(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all n-grams of a block and the document of each."""
+def gram_runs(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slots of the n-grams of a block and the document of each: one size and at most RUN bytes at a time.
+
+    Only a document that is a block of its own is longer than a run, so that where
+    runs end does not depend on a document's neighbours.
+    """
     text = _FOLD[data]
     upper = (text[1:] >= 0x80) & (text[1:] <= 0x9E) & (text[:-1] == 0xC3)
     text[1:][upper] += 0x20  # capital letters of the Latin-1 range
-    doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    slots, docs = [], []
-    for n in GRAMS:
-        m = len(text) - n + 1
-        if m <= 0:
-            continue
-        h = np.zeros(m, U64)
-        for k in range(n):
-            h += _SLOT[n][k][text[k : k + m]]
-        keep = (doc[:m] == doc[n - 1 :]) & ((text[:m] != 32) | (text[n - 1 :] != 32))
-        slots.append(((h[keep] >> U64(20)) & U64(SLOTS - 1)).astype(np.int64))
-        docs.append(doc[:m][keep])
-    if not slots:
+    doc = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))
+    for at in range(0, len(text), RUN):
+        for n in GRAMS:
+            run, of = text[at : at + RUN + n - 1], doc[at : at + RUN + n - 1]
+            m = len(run) - n + 1
+            if m <= 0:
+                continue
+            h = np.zeros(m, U64)
+            for k in range(n):
+                h += _SLOT[n][k][run[k : k + m]]
+            keep = (of[:m] == of[n - 1 :]) & ((run[:m] != 32) | (run[n - 1 :] != 32))
+            yield ((h[keep] >> U64(20)) & U64(SLOTS - 1)).astype(np.int64), of[:m][keep]
+
+
+def gram_slots(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All of :func:`gram_runs` at once."""
+    runs = list(gram_runs(data, offs))
+    if not runs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(slots), np.concatenate(docs)
+    return np.concatenate([s for s, _ in runs]), np.concatenate([d for _, d in runs])
 
 
 @dataclass
@@ -111,12 +123,13 @@ def fit(docs: DataFrame, smoothing: float = 0.5) -> Model:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(1).to_pylist()
-            for lo, hi, data, offs in blocks(batch.column(0)):
-                slots, doc = gram_slots(data, offs)
+            for lo, hi, data, offs in blocks(batch.column(0), RUN):
                 names = sorted(set(langs[lo:hi]))
                 number = np.array([names.index(x) for x in langs[lo:hi]])
-                got = np.bincount(number[doc] * SLOTS + slots, minlength=len(names) * SLOTS).reshape(len(names), SLOTS)
-                for name, row in zip(names, got, strict=True):
+                got = np.zeros(len(names) * SLOTS, np.int64)
+                for slots, doc in gram_runs(data, offs):
+                    got += np.bincount(number[doc] * SLOTS + slots, minlength=len(got))
+                for name, row in zip(names, got.reshape(len(names), SLOTS), strict=True):
                     total[name] = total.get(name, 0) + row.astype(float)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["key", "vector"])
 
@@ -154,14 +167,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         m: Model = shared.value
         for batch in batches:
             texts, at, pred, score, unsure = batch.column(number), 0, [], [], []
-            for lo, hi, data, offs in blocks(texts):
+            for lo, hi, data, offs in blocks(texts, RUN):
                 n_docs = hi - lo
-                slots, doc = gram_slots(data, offs)
-                size = np.maximum(np.bincount(doc, minlength=n_docs), 1)
-                margins = np.zeros((n_docs, m.weights.shape[1]))
-                for b in range(margins.shape[1]):
-                    margins[:, b] = np.bincount(doc, weights=m.weights[slots, b], minlength=n_docs)
-                margins *= (STRENGTH / (size + SHRINK))[:, None]
+                size, margins = np.zeros(n_docs, np.int64), np.zeros((n_docs, m.weights.shape[1]))
+                for slots, doc in gram_runs(data, offs):
+                    size += np.bincount(doc, minlength=n_docs)
+                    for b in range(margins.shape[1]):
+                        margins[:, b] += np.bincount(doc, weights=m.weights[slots, b], minlength=n_docs)
+                margins *= (STRENGTH / (np.maximum(size, 1) + SHRINK))[:, None]
                 ascii_letter = np.concatenate([[0], np.cumsum((_FOLD[data] != 32) & (data < 0x80))])
                 lettered = ascii_letter[offs[1:]] > ascii_letter[offs[:-1]]
                 for i in np.flatnonzero(~lettered & (np.diff(offs) > 0)).tolist():
